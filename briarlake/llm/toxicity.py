@@ -26,6 +26,8 @@ from briarlake.llm._store import ids_and_text
 PER_CLASS = 2500
 #: A lexicon entry stands in so many toxic sample texts at least.
 SUPPORT = 3
+#: A text uses a stem that makes up this share of its tokens; clean texts that use an entry are at most this share of toxic ones.
+RATE, PURITY = 0.01, 0.04
 #: Stems have so many letters, misspelled words so many at least.
 STEM, FUZZY = (4, 7), 5
 #: Words this long may have two errors.
@@ -34,7 +36,7 @@ TWO_ERRORS = 9
 CONTEXT, QUOTE_BYTES = 4, 80
 CACHE = 600_000
 _BUCKETS = 4096
-_N = 6
+_N = 7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_hits int, n_quoted int, n_misspelled int"
 _QUOTES = re.compile('["\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a]')
 
@@ -163,7 +165,7 @@ class Model:
         return {**self.__dict__, "known": {}}
 
     def hits(self, batch: pa.RecordBatch):
-        """Per hit: row, entry, errors, quoted, context buckets."""
+        """Per hit: row, entry, errors, quoted, context buckets; per row: tokens."""
         raw, offsets, words, distinct, which = _tokens(batch)
         if len(self.known) > CACHE:
             self.known = {}
@@ -185,11 +187,11 @@ class Model:
             letters = b"".join(distinct[which[j]] for j in around)
             sizes = np.array([len(distinct[which[j]]) for j in around], np.int64)
             buckets.append(word_hashes(np.frombuffer(letters, np.uint8), sizes) % np.uint64(_BUCKETS) if len(sizes) else np.zeros(0, np.uint64))
-        return row, kinds[which[at], 0] if len(at) else at, kinds[which[at], 1] if len(at) else at, quoted, buckets
+        return row, kinds[which[at], 0] if len(at) else at, kinds[which[at], 1] if len(at) else at, quoted, buckets, np.diff(words.bounds)
 
     def features(self, found, n: int) -> np.ndarray:
-        """Per row: 1, strongest plain hit, plain hits, misspelled hits, quoted hits, mean context."""
-        row, entry, errors, quoted, buckets = found
+        """Per row: 1, strongest plain hit, plain hits, misspelled hits, quoted hits, mean context, hits in 100 tokens."""
+        row, entry, errors, quoted, buckets, tokens = found
         out = np.zeros((n, _N))
         out[:, 0] = 1
         if len(row):
@@ -200,48 +202,74 @@ class Model:
             out[:, 3] = np.log1p(np.bincount(row[~quoted & (errors > 0)], minlength=n))
             out[:, 4] = np.log1p(np.bincount(row[quoted], minlength=n))
             out[:, 5] = np.bincount(row, context, n) / np.maximum(np.bincount(row, minlength=n), 1)
+            out[:, 6] = np.minimum(np.bincount(row[~quoted], minlength=n) * 100 / np.maximum(tokens, 1), 4)
         return out
 
     def scores(self, features: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(features @ self.weight, -35, 35)))
 
 
-def _learn_entries(token_sets: list[set[str]], y: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """Words and stems that toxic texts hold and clean ones hardly do, with their log ratios.
+def _stems(token: str) -> list[str]:
+    """The stems of a token: some first letters, with more to follow."""
+    return [token[:k] + "*" for k in range(STEM[0], min(STEM[1], len(token) - 1) + 1)]
 
-    Of nested candidates with about the same texts the longest stands for all; else the shortest.
+
+def _first_of_copies(texts: list[Counter]) -> list[bool]:
+    """False for texts whose tokens are nearly those of an earlier one: two of six minima agree, in pairs."""
+    seen, out = set(), []
+    for c in texts:
+        if not c:
+            out.append(True)
+            continue
+        names = [t.encode() for t in c]
+        h = word_hashes(np.frombuffer(b"".join(names), np.uint8), np.array([len(t) for t in names]))
+        low = [int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) for k in range(6)]
+        pairs = {(k, low[k], low[k + 1]) for k in (0, 2, 4)}
+        out.append(not pairs & seen)
+        seen |= pairs
+    return out
+
+
+def _learn_entries(texts: list[Counter], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+    """Words and stems that toxic texts use often and clean ones hardly do, with their log ratios.
+
+    A text uses a word that it holds, and a stem that makes up `RATE` of its tokens at least: one chance word with that stem
+    in a long clean text is no use. Of copies one counts. Of nested candidates with about the same texts the longest stands
+    for all; else the shortest. Rare candidates count only in toxic texts that no common one explains.
     """
+
+    def used(counts: Counter) -> set[str]:
+        stems: Counter = Counter()
+        for t, n in counts.items():
+            for stem in _stems(t):
+                stems[stem] += n
+        least = RATE * counts.total()
+        return {*counts, *(w for w, n in stems.items() if n >= least)}
+
+    own = [i for i, fresh in enumerate(_first_of_copies(texts)) if fresh]
+    sets, y = [used(texts[i]) for i in own], y[own]
     toxic, clean = Counter(), Counter()
-    for s, label in zip(token_sets, y.tolist(), strict=True):
-        own = set(s)
-        for t in s:
-            own.update(t[:k] + "*" for k in range(STEM[0], min(STEM[1], len(t) - 1) + 1))
-        (toxic if label else clean).update(own)
+    for s, label in zip(sets, y.tolist(), strict=True):
+        (toxic if label else clean).update(s)
     n1, n0 = max(1, int(y.sum())), max(1, int((1 - y).sum()))
-    ratio = lambda w: float(np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)))
-    rate = lambda w: clean[w] / n0 <= 0.04 * toxic[w] / n1
-    good = {w for w in toxic if toxic[w] >= SUPPORT and rate(w)}
-    # a toxic text names its reason with common entries: rare ones that only repeat what common ones explain are noise
-    floor = max(SUPPORT, 0.02 * n1)
-    strong = {w for w in good if toxic[w] >= floor}
-    unexplained = [s for s, label in zip(token_sets, y.tolist(), strict=True) if label and not any(w in strong or any(w[:k] + "*" in strong for k in range(*STEM)) for w in s)]
-    again = Counter(c for s in unexplained for c in {x for t in s for x in (t, *(t[:k] + "*" for k in range(STEM[0], min(STEM[1], len(t) - 1) + 1)))})
-    good = strong | {w for w in good if again[w] >= SUPPORT}
-    longer: dict[str, int] = {}
+    good = {w for w in toxic if toxic[w] >= SUPPORT and clean[w] / n0 <= PURITY * toxic[w] / n1}
+    strong = {w for w in good if toxic[w] >= max(SUPPORT, 0.02 * n1)}
+    again = Counter(w for s, label in zip(sets, y.tolist(), strict=True) if label and not s & strong for w in s)
+    good = strong | {w for w in good if again[w] >= max(SUPPORT, 0.01 * n1)}
+    above = lambda w: _stems(w) if not w.endswith("*") else [x for x in _stems(w[:-1])]
+    longer: Counter = Counter()
     for w in good:
-        bare = w.rstrip("*")
-        for k in range(STEM[0], len(bare) + (not w.endswith("*"))):
-            if k < len(bare) or not w.endswith("*"):
-                longer[bare[:k] + "*"] = max(longer.get(bare[:k] + "*", 0), toxic[w])
-    good = {w for w in good if longer.get(w, 0) < 0.9 * toxic[w]}
-    entries = [w for w in good if not any(w.rstrip("*")[:k] + "*" in good for k in range(STEM[0], len(w.rstrip("*")) + (not w.endswith("*"))) if w.rstrip("*")[:k] + "*" != w)]
-    entries.sort(key=lambda w: (-toxic[w], w))
-    return entries, np.array([ratio(w) for w in entries])
+        for stem in above(w):
+            longer[stem] = max(longer[stem], toxic[w])
+    good = {w for w in good if longer[w] < 0.9 * toxic[w]}
+    entries = sorted((w for w in good if not any(x in good for x in above(w))), key=lambda w: (-toxic[w], w))
+    strength = [np.log((toxic[w] + 0.5) / (n1 + 1)) - np.log((clean[w] + 0.5) / (n0 + 1)) for w in entries]
+    return entries, np.array(strength)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray, prior: np.ndarray) -> np.ndarray:
     """Newton's method for the weights, held near `prior` by an L2 term."""
-    w, hold = prior.copy(), np.array([1e-3] + [0.3] * (x.shape[1] - 1))
+    w, hold = prior.copy(), np.array([1e-3] + [1.0] * (x.shape[1] - 1))
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -35, 35)))
         g = x.T @ (cost * (p - y)) + hold * (w - prior)
@@ -262,13 +290,13 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
         return nothing
     table = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
     parts = list(slices([table], "text"))
-    token_sets: list[set[str]] = []
+    counted: list[Counter] = []
     for part in parts:
         _, _, words, distinct, which = _tokens(part)
         names = [t.decode("utf-8", "replace") for t in distinct]
-        token_sets += [{names[j] for j in set(which[a:b].tolist())} for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-    entries, strength = _learn_entries(token_sets, y)
-    benign = {t for s, label in zip(token_sets, y.tolist(), strict=True) if not label for t in s if len(t) >= FUZZY - 2}
+        counted += [Counter(names[j] for j in which[a:b].tolist()) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    entries, strength = _learn_entries(counted, y)
+    benign = {t for c, label in zip(counted, y.tolist(), strict=True) if not label for t in c if len(t) >= FUZZY - 2}
     lexicon = Lexicon(entries, set())
     # only such clean tokens as come near an entry need to be remembered
     lexicon.benign = {t for t in benign if lexicon.match(t)[0] >= 0 and t not in lexicon.words}
@@ -285,8 +313,8 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
         model.near = np.clip(np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), -1, 1)
     x = np.concatenate([model.features(f, n) for f, n in found])
     sample = y.mean()
-    cost = np.where(y > 0, share / sample, (1 - share) / (1 - sample)) * len(y) / 100
-    model.weight = _logistic(x, y, cost, np.array([base, 2.0, 1.5, 1.5, 0.0, 0.5]))
+    cost = np.where(y > 0, share / sample, (1 - share) / (1 - sample))
+    model.weight = _logistic(x, y, cost, np.array([base, 1.0, 0.5, 0.5, 0.0, 0.5, 2.0]))
     return model
 
 
