@@ -1,0 +1,145 @@
+"""Providers that can be swapped: prices, news and models. Each has an offline form, so that everything runs without a network."""
+
+from __future__ import annotations
+
+import hashlib
+import json
+import time
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
+from typing import Protocol
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from briarlake.functions import text
+
+
+class PriceSource(Protocol):
+    def fetch(self, spark: SparkSession, assets: list[str], start: str, end: str) -> DataFrame: ...
+
+
+@dataclass
+class TablePrices:
+    """Prices from a Parquet table or CSV of asset, date, close."""
+
+    path: str
+    format: str = "parquet"
+
+    def fetch(self, spark: SparkSession, assets: list[str], start: str, end: str) -> DataFrame:
+        df = spark.read.format(self.format).options(header=True).load(self.path)
+        df = df.select("asset", F.col("date").cast("date").alias("date"), F.col("close").cast("double").alias("close"))
+        df = df.where(F.col("asset").isin(*assets) & F.col("date").between(start, end)).dropna(subset=["close"])
+        if df.isEmpty():
+            raise ValueError(f"no prices of {assets} from {start} to {end}")
+        return df
+
+
+@dataclass
+class CorpusNews:
+    """News from a table of title, url, source, language, content and ts: a query's terms must all be in the text."""
+
+    corpus: DataFrame
+
+    def search(self, searches: DataFrame, before: int = 4, after: int = 1, most: int = 40) -> DataFrame:
+        """searches: search_id, query, date. Hits with rank, at most `most` a search.
+
+        Each search joins on its first term (an equi join with the exploded corpus tokens), the rest is filtered.
+        """
+        from pyspark.sql import Window
+
+        from briarlake.operators.retrieve import in_search_window
+
+        terms = searches.withColumn("_terms", text.tokens("query")).withColumn("_term", F.col("_terms")[0])
+        words = self.corpus.withColumn("_words", text.tokens("content")).withColumn("_term", F.explode("_words"))
+        found = words.join(terms, "_term").where(F.size(F.array_except("_terms", "_words")) == 0)
+        found = found.where(in_search_window(F.col("ts"), F.col("date"), before, after))
+        rank = F.row_number().over(Window.partitionBy("search_id").orderBy(F.desc("ts"), "url"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= most).drop("_terms", "_term", "_words")
+
+
+@dataclass
+class Registry:
+    """Search and model providers by name, and which of them have a key."""
+
+    providers: dict[str, str] = field(default_factory=dict)
+    keys: dict[str, str] = field(default_factory=dict)
+
+    def available(self) -> list[str]:
+        return [m for m, p in self.providers.items() if p == "offline" or self.keys.get(p)]
+
+    def pick(self, preferred: list[str]) -> str:
+        """The first preferred model that can be used."""
+        for m in preferred:
+            if m in self.available():
+                return m
+        raise ValueError(f"none of {preferred} is available")
+
+
+class QuotaError(RuntimeError):
+    """A daily allowance is used up: retrying is no use."""
+
+
+@dataclass
+class Caller:
+    """Calls a model with a least interval between calls, and retries with growing waits; quota errors fail at once."""
+
+    model: Callable[[str], str]
+    interval: float = 0.0
+    retries: int = 3
+    backoff: float = 2.0
+    limited_wait: float = 20.0
+    clock: Callable[[], float] = time.monotonic
+    sleep: Callable[[float], None] = time.sleep
+    last: float = float("-inf")
+
+    def __call__(self, prompt: str) -> str:
+        error: Exception | None = None
+        for attempt in range(self.retries):
+            wait = self.last + self.interval - self.clock()
+            if wait > 0:
+                self.sleep(wait)
+            self.last = self.clock()
+            try:
+                return self.model(prompt)
+            except QuotaError:
+                raise
+            except Exception as e:
+                error = e
+                limited = "429" in str(e)
+                if attempt + 1 < self.retries:
+                    self.sleep(max(self.limited_wait * (attempt + 1), self.backoff * 2**attempt) if limited else self.backoff * 2**attempt)
+        raise RuntimeError(f"{self.retries} attempts failed: {error}")
+
+
+def offline_model(prompt: str) -> str:
+    """A deterministic stand-in: its answer depends on the prompt's hash alone."""
+    h = hashlib.md5(prompt.encode()).digest()
+    return json.dumps({"score": h[0] % 4, "answer": [c for i, c in enumerate("ABCD") if h[1] >> i & 1] or ["A"], "reasoning": "offline"})
+
+
+def call_model(df: DataFrame, prompt: str = "prompt", model: Callable[[str], str] = offline_model, interval: float = 0.0, workers: int | None = None) -> DataFrame:
+    """df with raw and error columns. Write the result before it is used twice: a call that runs again may answer otherwise.
+
+    workers bounds how many partitions call at once, which with the interval bounds the rate.
+    """
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    schema = StructType([*df.schema.fields, StructField("raw", StringType()), StructField("error", StringType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        call = Caller(model, interval)
+        for batch in batches:
+            raw, error = [], []
+            for p in batch[prompt]:
+                try:
+                    raw.append(call(p or ""))
+                    error.append(None)
+                except Exception as e:
+                    raw.append(None)
+                    error.append(str(e)[-800:])
+            yield batch.assign(raw=raw, error=error)
+
+    spread = df.repartition(workers) if workers else df
+    return spread.mapInPandas(run, schema)
