@@ -56,7 +56,7 @@ def failures_by(results: DataFrame) -> DataFrame:
 
 def fooled_and_missed(results: DataFrame, questions: DataFrame) -> DataFrame:
     """Option types of letters chosen wrongly (fooled) and left out (missed), with counts. Of questions with one id that of the largest topic_id counts."""
-    types = questions.where("option_types is not null").select(fallback_id().alias("id"), "option_types").groupBy("id").agg(F.max_by("option_types", "topic_id").alias("t"))
+    types = questions.where("option_types is not null").select(fallback_id().alias("id"), "option_types", "topic_id").groupBy("id").agg(F.max_by("option_types", "topic_id").alias("t"))
     both = F.array(
         F.struct(F.lit("fooled").alias("kind"), F.array_except("pred", "gold").alias("l")), F.struct(F.lit("missed").alias("kind"), F.array_except("gold", "pred").alias("l"))
     )

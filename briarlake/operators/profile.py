@@ -49,8 +49,7 @@ def repeated_options(options: DataFrame) -> DataFrame:
 def cooccurrence(options: DataFrame) -> DataFrame:
     """How often two letters are golden together; the diagonal is how often one is. At most four rows join per question."""
     g = options.where("is_golden").select("id", "letter")
-    pairs = g.withColumnRenamed("letter", "a").join(g.withColumnRenamed("letter", "b"), "id")
-    return pairs.groupBy("a").pivot("b", LETTERS).agg(F.count(F.lit(1))).na.fill(0)
+    return g.join(g.withColumnRenamed("letter", "other"), "id").groupBy("letter").pivot("other", LETTERS).agg(F.count(F.lit(1))).na.fill(0)
 
 
 def overlap_stats(options: DataFrame) -> DataFrame:

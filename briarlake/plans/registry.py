@@ -531,9 +531,9 @@ def leakage_model(spark, d):
 # --- profile
 
 
-@query("SELECT a.letter AS a, count(*) FILTER (WHERE b.letter = 'A') AS \"A\", count(*) FILTER (WHERE b.letter = 'B') AS \"B\", count(*) FILTER (WHERE b.letter = 'C') AS \"C\", count(*) FILTER (WHERE b.letter = 'D') AS \"D\" FROM options_v a JOIN options_v b ON a.id = b.id WHERE a.is_golden AND b.is_golden GROUP BY 1".replace('AS a,', 'AS letter,'))
+@query("SELECT a.letter AS letter, count(*) FILTER (WHERE b.letter = 'A') AS \"A\", count(*) FILTER (WHERE b.letter = 'B') AS \"B\", count(*) FILTER (WHERE b.letter = 'C') AS \"C\", count(*) FILTER (WHERE b.letter = 'D') AS \"D\" FROM options_v a JOIN options_v b ON a.id = b.id WHERE a.is_golden AND b.is_golden GROUP BY 1")
 def cooccurrence(spark, d):
-    return profile.cooccurrence(v.options(spark, d)).withColumnRenamed("a", "letter")
+    return profile.cooccurrence(v.options(spark, d))
 
 
 @query(""", f AS (SELECT id, letter, is_golden, min(letter) OVER w AS fl, first_value(is_golden) OVER (PARTITION BY id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') ORDER BY letter) AS fg FROM options_v
