@@ -176,7 +176,7 @@ def _score(root: Node) -> list[Node]:
                 points = (1 + commas + min(size / 100, 3)) * (1 - links / max(size, 1))
                 if node.name in ("h1", "h2", "h3", "h4", "h5", "h6"):
                     points /= 4
-                up, share = node.parent if node.name not in ("div", "section", "article", "main") else node, 1.0
+                up, share = node.parent if node.parent and node.name not in ("div", "section", "article", "main") else node, 1.0
                 for _ in range(4):
                     if up is None:
                         break

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from briarlake.llm._arrow import ALNUM, LOWER, Words, slices, text_bytes, word_hashes
+from briarlake.llm._arrow import ALNUM, LOWER, Words, mix, slices, text_bytes, word_hashes
 from briarlake.llm._labels import fold, labelled
 from briarlake.llm._store import ids_and_text
 
@@ -139,17 +139,28 @@ class Lexicon:
         return -1, 0
 
 
+def _without_marks(raw: np.ndarray) -> np.ndarray:
+    """The bytes with wide quotation marks, dashes and blanks (U+2000 to U+206F, guillemets, U+00A0) as spaces."""
+    out = raw.copy()
+    wide = np.flatnonzero((raw[:-2] == 0xE2) & ((raw[1:-1] == 0x80) | (raw[1:-1] == 0x81))) if len(raw) > 2 else np.zeros(0, np.int64)
+    two = np.flatnonzero((raw[:-1] == 0xC2) & np.isin(raw[1:], (0xA0, 0xAB, 0xBB))) if len(raw) > 1 else np.zeros(0, np.int64)
+    for at in (wide, wide + 1, wide + 2, two, two + 1):
+        out[at] = 32
+    return out
+
+
 def _tokens(batch: pa.RecordBatch):
     """Raw bytes, offsets, words, and the distinct tokens with each word's number among them."""
     raw, offsets = text_bytes(batch.column("text"))
-    words = Words(raw, offsets, ALNUM, hashed=False)
+    plain = _without_marks(raw)
+    words = Words(plain, offsets, ALNUM, hashed=False)
     if not len(words.starts):
         return raw, offsets, words, [], np.zeros(0, np.int64)
-    letters = LOWER[raw]
+    letters = LOWER[plain]
     wide = np.zeros(len(raw), bool)
     wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
     letters[wide] += 32
-    letters = np.ascontiguousarray(letters[ALNUM[raw]])
+    letters = np.ascontiguousarray(letters[ALNUM[plain]])
     edges = np.concatenate([[0], np.cumsum(words.lengths)]).astype(np.int64)
     column = pa.Array.from_buffers(pa.large_binary(), len(words.starts), [None, pa.py_buffer(edges), pa.py_buffer(letters)])
     coded = column.dictionary_encode()
@@ -214,23 +225,28 @@ def _stems(token: str) -> list[str]:
     return [token[:k] + "*" for k in range(STEM[0], min(STEM[1], len(token) - 1) + 1)]
 
 
-def _first_of_copies(texts: list[Counter]) -> list[bool]:
-    """False for texts whose tokens are nearly those of an earlier one: two of six minima agree, in pairs."""
+def _minima(distinct: list[bytes], which: np.ndarray, bounds: np.ndarray) -> list[tuple]:
+    """Six minima of hashed pairs of neighbouring tokens, of each text; fewer than two tokens give themselves."""
+    sizes = np.array([len(t) for t in distinct], np.int64)
+    h = word_hashes(np.frombuffer(b"".join(distinct), np.uint8), sizes)[which] if len(distinct) else np.zeros(0, np.uint64)
+    out = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        pairs = h[a : b - 1] * np.uint64(0x9E3779B97F4A7C15) + h[a + 1 : b] if b - a > 1 else h[a:b]
+        out.append(tuple(int((mix(pairs) * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) for k in range(6)) if len(pairs) else ())
+    return out
+
+
+def _first_of_copies(minima: list[tuple]) -> list[bool]:
+    """False for texts that are nearly an earlier one: two minima that stand together agree."""
     seen, out = set(), []
-    for c in texts:
-        if not c:
-            out.append(True)
-            continue
-        names = [t.encode() for t in c]
-        h = word_hashes(np.frombuffer(b"".join(names), np.uint8), np.array([len(t) for t in names]))
-        low = [int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min()) for k in range(6)]
-        pairs = {(k, low[k], low[k + 1]) for k in (0, 2, 4)}
+    for low in minima:
+        pairs = {(k, low[k], low[k + 1]) for k in (0, 2, 4)} if low else set()
         out.append(not pairs & seen)
         seen |= pairs
     return out
 
 
-def _learn_entries(texts: list[Counter], y: np.ndarray) -> tuple[list[str], np.ndarray]:
+def _learn_entries(texts: list[Counter], minima: list[tuple], y: np.ndarray) -> tuple[list[str], np.ndarray]:
     """Words and stems that toxic texts use often and clean ones hardly do, with their log ratios.
 
     A text uses a word that it holds, and a stem that makes up `RATE` of its tokens at least: one chance word with that stem
@@ -246,7 +262,7 @@ def _learn_entries(texts: list[Counter], y: np.ndarray) -> tuple[list[str], np.n
         least = RATE * counts.total()
         return {*counts, *(w for w, n in stems.items() if n >= least)}
 
-    own = [i for i, fresh in enumerate(_first_of_copies(texts)) if fresh]
+    own = [i for i, fresh in enumerate(_first_of_copies(minima)) if fresh]
     sets, y = [used(texts[i]) for i in own], y[own]
     toxic, clean = Counter(), Counter()
     for s, label in zip(sets, y.tolist(), strict=True):
@@ -291,11 +307,13 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
     table = pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], ["text"])
     parts = list(slices([table], "text"))
     counted: list[Counter] = []
+    minima: list[tuple] = []
     for part in parts:
         _, _, words, distinct, which = _tokens(part)
         names = [t.decode("utf-8", "replace") for t in distinct]
+        minima += _minima(distinct, which, words.bounds)
         counted += [Counter(names[j] for j in which[a:b].tolist()) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
-    entries, strength = _learn_entries(counted, y)
+    entries, strength = _learn_entries(counted, minima, y)
     benign = {t for c, label in zip(counted, y.tolist(), strict=True) if not label for t in c if len(t) >= FUZZY - 2}
     lexicon = Lexicon(entries, set())
     # only such clean tokens as come near an entry need to be remembered
