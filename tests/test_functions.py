@@ -53,7 +53,7 @@ def test_hosts(spark):
 
 @pytest.mark.parametrize(("raw", "letters"), [
     ('{"answer":["A","C"]}', ["A", "C"]), ('```json\n{"answer": "b"}\n```', ["B"]), ("the answer is A and C", ["A", "C"]), ("- B. yes", ["B"]), ("", []), (None, []),
-    ('so {"answer": ["D"]} it is', ["D"]), ('"answer": [A, B', []), ("nothing", []), ('["C"]', ["C"]),
+    ('so {"answer": ["D"]} it is', ["D"]), ('"answer": [A, B', ["A", "B"]), ("nothing", []), ('["C"]', ["C"]),
 ])
 def test_answers(raw, letters):
     assert parsers.parse_answer(raw) == letters
