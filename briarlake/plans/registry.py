@@ -691,3 +691,71 @@ def event_closes(spark, d):
 
     e = v.table(spark, d, "events").select("ts", (F.col("user_id") % 5).alias("asset"), "value")
     return daily_closes(e).select("asset", "date", *r6("close"))
+
+
+# --- projections and small functions
+
+
+@query("""SELECT asset, date, asset || ' moved ' || CAST(CAST(round(pct * 100) AS BIGINT) AS VARCHAR) || ' bp on ' || CAST(date AS VARCHAR) AS target FROM (SELECT asset, date, (exp(ret) - 1) * 100 AS pct, z FROM zscores_v) WHERE abs(z) > 2""")
+def target_text(spark, d):
+    moves = series.big_moves(v.prices(spark, d), z_threshold=2.0)
+    bp = F.round(F.col("pct_move") * 100).cast("bigint").cast("string")
+    return moves.select("asset", "date", F.concat("asset", F.lit(" moved "), bp, F.lit(" bp on "), F.col("date").cast("string")).alias("target"))
+
+
+@query("SELECT asset, date, CAST(row_number() OVER (ORDER BY asset, date) - 1 AS BIGINT) AS topic_id FROM zscores_v WHERE abs(z) > 2")
+def positional_ids(spark, d):
+    """Positions of the few selected events, not of raw rows."""
+    moves = series.big_moves(v.prices(spark, d), z_threshold=2.0).select("asset", "date")
+    return moves.withColumn("topic_id", (F.row_number().over(Window.orderBy("asset", "date")) - 1).cast("bigint"))
+
+
+@query("""SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS r, DATE '1995-06-15' AS e, DATE '1995-07-' || CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '31' END AS t FROM orders)
+  WHERE CASE WHEN r IS NULL THEN NOT (CAST(t AS DATE) - e > 30) ELSE r BETWEEN e - 5 AND e + 2 END""".replace("DATE '1995-07-' ||", "'1995-07-' ||"))
+def client_window(spark, d):
+    o = v.table(spark, d, "orders").withColumn("r", F.when(F.col("o_orderkey") % 5 > 0, F.to_date("o_orderdate")))
+    today = F.when(F.col("o_orderkey") % 2 == 0, F.lit("1995-07-01")).otherwise(F.lit("1995-07-31")).cast("date")
+    return o.where(retrieve.in_client_window(F.col("r"), F.lit("1995-06-15").cast("date"), today)).select("o_orderkey")
+
+
+@query("SELECT id, list_aggregate(list_filter(string_split(golden_answer, ','), lambda x: x <> ''), 'string_agg', '+') AS letters FROM questions_v WHERE golden_answer <> ''")
+def golden_letters(spark, d):
+    return v.questions(spark, d).where("golden_answer <> ''").select("id", F.array_join(text.letters("golden_answer"), "+").alias("letters"))
+
+
+@query(f"""SELECT id, round(CASE WHEN c IS NULL OR w IS NULL THEN 0 ELSE abs(c - w) END, 6) AS gap FROM (SELECT id, avg(CASE WHEN is_golden THEN {wc('text')} END) AS c, avg(CASE WHEN NOT is_golden THEN {wc('text')} END) AS w FROM options_v GROUP BY 1)""")
+def length_gaps(spark, d):
+    o = v.options(spark, d).groupBy("id").agg(F.array_sort(F.collect_list(F.struct("letter", "text", F.col("is_golden").alias("correct")))).alias("options"))
+    return o.select("id", F.round(assemble.length_gap("options"), 6).alias("gap"))
+
+
+_FAMILIES = " || ".join(f"CASE WHEN {has('text', stems)} THEN '{i}' ELSE '' END" for i, stems in enumerate(fixed.ACTION_STEMS))
+
+
+@query(f"SELECT doc_id, {_FAMILIES} AS families FROM documents")
+def action_families(spark, d):
+    return v.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(text.actions("text"), lambda x: x.cast("string")), "").alias("families"))
+
+
+@query("SELECT CAST(a.i AS INTEGER) AS a, CAST(b.i AS INTEGER) AS b, CAST(least(abs(a.i - b.i), 12 - abs(a.i - b.i)) AS INTEGER) AS gap FROM range(1, 13) a(i), range(1, 13) b(i)")
+def month_gaps(spark, d):
+    a, b = spark.range(1, 13).select(F.col("id").cast("int").alias("a")), spark.range(1, 13).select(F.col("id").cast("int").alias("b"))
+    return a.join(b, F.lit(True)).select("a", "b", text.month_distance("a", "b").alias("gap"))
+
+
+_EVENTS = [("Binance halts withdrawals on Monday", "On Tuesday Binance paused all trading", True), ("", "Binance halts", False), ("Binance grows", "Binance halts withdrawals", False),
+           ("Fed raises rates by half a point", "Fed raises rates by half point", True)]
+
+
+@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(x AS BOOLEAN) AS same FROM ({_values([(i, int(s)) for i, (_, _, s) in enumerate(_EVENTS)])}) t(i, x)")
+def same_events(spark, d):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_EVENTS)], "i int, a string, b string")
+    f = lambda c: (text.content_tokens(c), text.entities(c), text.actions(c))
+    (ta, ea, aa), (tb, eb, ab) = f("a"), f("b")
+    return df.select("i", text.same_event(ta, tb, ea, eb, aa, ab).alias("same"))
+
+
+@query("""SELECT id, golden_answer, kept FROM (SELECT id, golden_answer, list_aggregate(list_filter(string_split(golden_answer, ','), lambda x: x <> '' AND x <> 'A'), 'string_agg', ',') AS kept FROM questions_v) WHERE kept IS NOT NULL""")
+def answers_without_none(spark, d):
+    q = v.questions(spark, d).withColumn("kept", F.array_join(F.array_except(text.letters("golden_answer"), F.array(F.lit("A"))), ","))
+    return q.where("kept <> ''").select("id", "golden_answer", "kept")
