@@ -102,7 +102,3 @@ def word_hashes(letters: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         weight = weight + (place >> _POS_BITS).astype(np.uint64) * _LAP * np.uint64(2)
     terms = (LOWER[letters].astype(np.uint64) + np.uint64(1)) * weight
     return mix(np.add.reduceat(terms, begin) + lengths.astype(np.uint64) * _LAP)
-
-
-def int_ids(column: pa.Array) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column

@@ -104,7 +104,7 @@ class Block:
                 yield own[lo[k] : hi[k]], self.owner[w], self.place[w], size
 
 
-def _blocks(benchmark: DataFrame, size: int, window: int) -> list:
+def _blocks(benchmark: DataFrame, size: int) -> list:
     """Broadcasts of benchmark blocks; the driver holds one block at a time."""
     sc, out, now, held = benchmark.sparkSession.sparkContext, [], [], 0
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
@@ -122,12 +122,11 @@ def _blocks(benchmark: DataFrame, size: int, window: int) -> list:
 def _prepared(block) -> Block:
     """A worker keeps the block it used last."""
     if _KEPT.get("block_of") is not block:
-        _KEPT.update(block_of=block, block=Block(block.value, _KEPT_WINDOW))
+        _KEPT.update(block_of=block, block=Block(block.value))
     return _KEPT["block"]
 
 
 _KEPT: dict = {}
-_KEPT_WINDOW = WINDOW
 
 
 def _shard(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,7 +139,7 @@ def _shard(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Per document: words, words inside benchmark windows, the items found; see the module's text for odd cases."""
-    blocks = _blocks(benchmark, BLOCK_BYTES, WINDOW)
+    blocks = _blocks(benchmark, BLOCK_BYTES)
 
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -176,7 +175,7 @@ def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The longest verbatim matches: windows that follow one another in document and item alike are one match."""
-    blocks = _blocks(benchmark, BLOCK_BYTES, WINDOW)
+    blocks = _blocks(benchmark, BLOCK_BYTES)
 
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):
@@ -217,7 +216,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     The scan runs inside one pass over the rows, so no join is needed and rows with a null doc_id are judged too.
     """
-    blocks, schema = _blocks(benchmark, BLOCK_BYTES, WINDOW), docs.schema
+    blocks, schema = _blocks(benchmark, BLOCK_BYTES), docs.schema
 
     def run(batches):
         for batch in slices(batches, "text", SLICE_BYTES):

@@ -105,8 +105,7 @@ class Lexicon:
         self.sizes = sorted({len(s) for s in self.stems})
         fuzzy = {w: i for w, i in self.words.items() if len(w) >= FUZZY}
         self.root, self.benign = trie(fuzzy), benign
-        # of a word with e errors, one of e + 1 parts is intact and at most e letters from its place
-        self.parts: set[tuple[int, str]] = set()
+        # of a word with e errors, one of e + 1 parts is intact
         self.lengths = {n + d for w in fuzzy for n in [len(w)] for d in range(-self._errors(n), self._errors(n) + 1)}
         self.heads = {w[: len(w) // 2] for w in fuzzy if len(w) < TWO_ERRORS}
         self.tails = {w[len(w) // 2 :] for w in fuzzy if len(w) < TWO_ERRORS}
