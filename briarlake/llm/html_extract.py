@@ -49,6 +49,8 @@ _OUT_WORDS = frozenset(
     "recommended recommendations share sharing social sponsor sponsored promo promotion newsletter subscribe subscription signup login pager pagination skip toolbar masthead "
     "discussion feedback outbrain taboola paywall".split()
 )
+#: A class like with-sidebar or comments-open tells of the page, not of the element.
+_LAYOUT = frozenset("with has no without open".split())
 _GOOD_WORDS = frozenset("article articles body content entry main post story text blog prose".split())
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _BLANK = re.compile(r"\s+")
@@ -78,7 +80,7 @@ def _describe(name: str, rest: str) -> tuple[frozenset, bool]:
                 out = True
     if name in _HELD:
         return frozenset(words), False
-    return frozenset(words), out or bool(words & _OUT_WORDS) and not words & {"article", "story"}
+    return frozenset(words), out or bool(words & _OUT_WORDS) and not words & _LAYOUT
 
 
 def parse(page: str) -> Node:

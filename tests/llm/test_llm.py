@@ -372,6 +372,8 @@ def test_main_text(wrap):
 def test_main_text_of_odd_pages():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav><a href=x>Home</a></nav>") == ""
     assert html_extract.extract("plain words") == "plain words"
+    wrapped = "<div class='layout with-sidebar'><article><p>Text, here</p><div class='article-comments'><p>Nice, one</p></div></article></div>"
+    assert html_extract.extract(wrapped) == "Text, here"
     assert html_extract.extract("<p>a<p>b <unclosed") == "a\n\nb"
     assert html_extract.extract("<div>" * 20_000 + "<p>deep text here</p>") == "deep text here"
     assert html_extract.extract('<p title="a > b">x</p><!-- <p>no</p> --><p>y</p>') == "x\n\ny"
