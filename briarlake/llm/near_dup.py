@@ -4,7 +4,7 @@ A document's signature has `CHUNKS` x `PER_CHUNK` minima of `BITS` bits. Two sig
 CHUNKS * (ERRORS + 1) components agree, by pigeonhole, on some chunk but for at most ERRORS components. All such errors are
 enumerated: a chunk gives one key per set of PER_CHUNK - ERRORS components that stay. Documents that share a key are
 candidates, so every pair under the signature distance is found. With 8 x 5 components and one error, a pair of similarity
-0.85 is missed with probability 6e-7, one of 0.8 with 1e-5.
+0.85 is missed with probability 5e-7, one of 0.8 with 2e-5.
 
 Work follows the documents, not the pairs:
 
@@ -13,7 +13,7 @@ Work follows the documents, not the pairs:
 3. Only keys whose documents are then still in several components are compared further, between components only. A key of
    more than `LARGE` documents (a passage that many share) is not compared as it is: its documents are dealt again by pairs
    of such keys from two chunks. Pairs that agree on two chunks or on any smaller key meet; at similarity 0.85 one in
-   50,000 of the pairs that share large keys only agrees on a single chunk.
+   45,000 of the pairs that share large keys only agrees on a single chunk.
 4. Candidates are weighed within the join by odd sketches of their full sets (the parity of hashed shingles in `SKETCH`
    bits). Their distance never exceeds the size of the sets' difference and, up to chance, tells it. Those further apart
    than the allowed difference, or than six deviations beyond what it lets expect, are dropped; the others are confirmed on
