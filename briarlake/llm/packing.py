@@ -201,7 +201,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
 
     def run(batches):
         encode, bins, rows = encoder(path), Bins(TaskContext.get().partitionId() << 40, capacity), []
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             flat, ends = encode(*text_bytes(batch.column("text")))
             for doc_id, lo, hi in zip(batch.column("doc_id").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
                 ids, start = flat[lo:hi], 0
