@@ -10,10 +10,10 @@ Work follows the documents, not the pairs:
 
 1. Equal sets fall together by their digest, counted before the shuffle; one document stands for each set.
 2. Each document is held against the smallest of every key it shares (a star), which links copies in linear work.
-3. Only keys whose documents are then still in several components are compared further, between components only. A key of
-   more than `LARGE` documents (a passage that many share) is not compared as it is: its documents are dealt again by pairs
-   of such keys from two chunks. Pairs that agree on two chunks or on any smaller key meet; at similarity 0.85 one in
-   45,000 of the pairs that share large keys only agrees on a single chunk.
+3. Only keys whose documents are then still in several components are compared further, between components only. The
+   documents of a key of more than `LARGE` (a passage that many share) are parted by bands of set size, which similar sets
+   cannot be apart by more than one, and dealt in blocks of about `LARGE` that are joined two by two. So every pair that
+   shares any key is weighed, at any size; documents of the key's largest component are not held against each other.
 4. Candidates are weighed within the join by odd sketches of their full sets (the parity of hashed shingles in `SKETCH`
    bits). Their distance never exceeds the size of the sets' difference and, up to chance, tells it. Those further apart
    than the allowed difference, or than six deviations beyond what it lets expect, are dropped; the others are confirmed on
@@ -25,6 +25,7 @@ No pair of copies within a component is listed.
 from __future__ import annotations
 
 import hashlib
+import math
 from itertools import combinations
 
 import numpy as np
@@ -36,7 +37,7 @@ from briarlake.llm._arrow import NOT_BLANK, Words, mix, slices, text_bytes
 from briarlake.llm._store import ids_and_text, written
 
 CHUNKS, PER_CHUNK, ERRORS, BITS = 8, 5, 1, 16
-#: Bits of the odd sketch of a full set, and keys of more documents than can be compared one by one.
+#: Bits of the odd sketch of a full set, and keys of more documents than are compared in one task; also a block's size.
 SKETCH, LARGE = 1024, 2000
 #: Bits of the map of documents whose texts a confirmation needs.
 MAP_BITS = 1 << 23
@@ -212,29 +213,46 @@ def _between(held: DataFrame, percent: int) -> DataFrame:
     return x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.root <> y.root and {_near('x', 'y', percent)}")).selectExpr("x.id a", "y.id b")
 
 
+def _between_blocks(held: DataFrame, percent: int) -> DataFrame:
+    """The pairs of `_between`, for keys of any number of documents.
+
+    A pair meets in the higher of its two size bands. There the documents of the largest component (the main one) and the
+    others are dealt in blocks, and each two blocks, but for two main ones, meet in a cell of their own.
+    """
+    width = max(math.log(100 / percent), 1e-6) * (1 + 1e-9)
+    banded = held.withColumn("band", F.floor(F.log("n_shingles") / width)).withColumn("meet", F.explode(F.expr("array(band, band + 1)")))
+    sizes = banded.groupBy("key", "meet", "root").agg(F.count("*").alias("c")).groupBy("key", "meet")
+    sizes = sizes.agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
+    blocks = sizes.select("key", "meet", "main", F.expr(f"ceil(m / {LARGE})").alias("mains"), F.expr(f"ceil((n - m) / {LARGE})").alias("rests"))
+    own = "if(root = main, -1 - pmod(xxhash64(id), mains), pmod(xxhash64(id), rests))"
+    dealt = banded.join(blocks, ["key", "meet"]).withColumn("own", F.expr(own))
+    dealt = dealt.withColumn("other", F.explode(F.expr("if(own < 0, sequence(0L, rests - 1), sequence(-mains, rests - 1))")))
+    dealt = written(dealt.selectExpr("key", "meet", "band", "own", "least(own, other) low", "greatest(own, other) high", "id", "root", "n_shingles", *_LANES), "near-dup-blocks")
+    x, y = dealt.where("own = low").alias("x"), dealt.where("own = high").alias("y")
+    cell = "x.key = y.key and x.meet = y.meet and x.low = y.low and x.high = y.high"
+    near = f"x.root <> y.root and (x.low < x.high or x.id < y.id) and greatest(x.band, y.band) = x.meet and {_near('x', 'y', percent)}"
+    return x.join(y, F.expr(f"{cell} and {near}")).selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b")
+
+
 def _links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """(node, root) over the documents that stand for their sets; rows: (id, keys, lanes)."""
     lanes = rows.select("id", "n_shingles", *_LANES)
-    keyed = rows.select("id", F.posexplode("keys").alias("at", "key")).select("id", "key", (F.col("at") / len(_KEEP)).cast("byte").alias("chunk"))
+    keyed = rows.select("id", F.explode("keys").alias("key"))
     hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(hubs, "key").select("key", "chunk", "id", "hub", "n"), "near-dup-keys")
+    shared = written(keyed.join(hubs, "key").select("key", "id", "hub", "n"), "near-dup-keys")
     stars = shared.where("id <> hub").selectExpr("hub a", "id b").distinct()
     stars = stars.join(lanes.alias("x"), F.expr("a = x.id")).join(lanes.alias("y"), F.expr("b = y.id")).where(_near("x", "y", percent)).select("a", "b")
     first = written(stars, "near-dup-stars")
     links = written(confirmed(first, docs, words, percent), "near-dup-links")
     # a first merge by one step: linked documents take the smallest hub that they are linked to
     roots = written(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "near-dup-hubs")
-    held = shared.join(roots, "id", "left").select("key", "chunk", "id", "n", F.coalesce("root", "id").alias("root"))
+    held = shared.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
     held = written(held, "near-dup-held")
     several = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
     held = written(held.join(several, "key").join(lanes, "id"), "near-dup-open")
     small = held.where(F.col("n") <= LARGE).select("key", "id", "root", "n_shingles", *_LANES)
-    large = held.where(F.col("n") > LARGE)
-    x, y = large.alias("x"), large.select("id", "key", "chunk").alias("y")
-    twice = x.join(y, F.expr("x.id = y.id and x.chunk < y.chunk")).select(F.xxhash64("x.key", "y.key").alias("key"), "x.id", "x.root", "x.n_shingles", *[f"x.{c}" for c in _LANES])
-    several = twice.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    twice = twice.join(several, "key")
-    second = _between(small, percent).unionByName(_between(written(twice, "near-dup-twice"), percent)).distinct().join(first, ["a", "b"], "left_anti")
+    large = held.where(F.col("n") > LARGE).select("key", "id", "root", "n_shingles", *_LANES)
+    second = _between(small, percent).unionByName(_between_blocks(large, percent)).distinct().join(first, ["a", "b"], "left_anti")
     second = written(second, "near-dup-rest")
     if not second.isEmpty():
         links = links.unionByName(written(confirmed(second, docs, words, percent), "near-dup-links"))

@@ -223,6 +223,19 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch, k, percent, lar
         assert kept == {root for _, root in got.values()}
 
 
+def test_near_duplicates_that_share_one_large_key_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "LARGE", 3)
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=60 + i)) for i in range(12)]
+    texts += [texts[9] + " end", "new " + texts[4]]
+    table = docs(spark, enumerate(texts))
+    # all documents share the first key and no other
+    rows = near_dup.features(table.select("doc_id", "text"), 3).withColumnRenamed("doc_id", "id")
+    rows = rows.selectExpr("id", "transform(keys, (k, i) -> if(i = 0, 7L, xxhash64(id, i))) keys", "n_shingles", *near_dup._LANES)
+    found = {(r.node, r.root) for r in near_dup._links(rows, table, 3, 85).collect()}
+    assert found == {(12, 9), (13, 4)}
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 70), (100, 71)], "a long, b long")
     got = {r.node: r.root for r in near_dup.components(edges).collect()}
