@@ -4,7 +4,7 @@ The lexicon (words and word stems) is learned from labelled texts. Each distinct
 and words exactly, and words also with spelling errors, by walking the trie together with the token's Levenshtein
 automaton and leaving every branch whose states are all dead. A token that clean labelled texts use is no misspelling.
 Each hit is weighed in its window: what stands inside quotation marks counts apart, and the words around it add the log
-ratio with which they stand near hits of toxic and of clean texts. A small logistic model joins the text's hits to a score.
+ratio with which they stand near hits of toxic texts and in clean ones. A small logistic model joins the text's hits to a score.
 
 At most `PER_CLASS` labelled texts of either class are learned from; every whole text is scored. Null and empty texts have
 no hits: their score is the model's for none. Without labels of both classes every score is the share of label 1.
@@ -36,6 +36,8 @@ TWO_ERRORS = 9
 CONTEXT, QUOTE_BYTES = 4, 80
 CACHE = 600_000
 _BUCKETS = 4096
+#: Tokens added to both sides of a context ratio, and tokens of clean background added to the windows of clean hits.
+SHRINK, BACKGROUND = 2.0, 200.0
 _N = 7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_hits int, n_quoted int, n_misspelled int"
 _QUOTES = re.compile('["\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a]')
@@ -166,6 +168,21 @@ def _tokens(batch: pa.RecordBatch):
     return raw, offsets, words, coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+def _buckets(tokens: list[bytes]) -> np.ndarray:
+    sizes = np.array([len(t) for t in tokens], np.int64)
+    return (word_hashes(np.frombuffer(b"".join(tokens), np.uint8), sizes) % np.uint64(_BUCKETS)).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
+
+
+def _context_weights(toxic: np.ndarray, clean: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """Log ratios of context tokens near hits of toxic texts and of clean ones, at any sample size.
+
+    Clean texts hardly have hits, so their windows are shrunk to all tokens of clean texts. A bucket with little evidence
+    weighs about 0; one that clean texts use and toxic windows lack weighs less.
+    """
+    share = (clean + BACKGROUND * background / max(1.0, background.sum())) / (clean.sum() + BACKGROUND)
+    return np.clip(np.log((toxic + SHRINK) / (toxic.sum() * share + SHRINK)), -1, 1)
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, strength: np.ndarray, near: np.ndarray, weight: np.ndarray):
         self.lexicon, self.strength, self.near, self.weight = lexicon, strength, near, weight
@@ -194,9 +211,7 @@ class Model:
             after = raw[hi : min(int(offsets[r + 1]), hi + QUOTE_BYTES)].tobytes().decode("utf-8", "ignore")
             quoted[i] = len(_QUOTES.findall(before)) % 2 == 1 and _QUOTES.search(after) is not None
             around = [*range(max(int(words.bounds[r]), k - CONTEXT), k), *range(k + 1, min(int(words.bounds[r + 1]), k + CONTEXT + 1))]
-            letters = b"".join(distinct[which[j]] for j in around)
-            sizes = np.array([len(distinct[which[j]]) for j in around], np.int64)
-            buckets.append(word_hashes(np.frombuffer(letters, np.uint8), sizes) % np.uint64(_BUCKETS) if len(sizes) else np.zeros(0, np.uint64))
+            buckets.append(_buckets([distinct[which[j]] for j in around]))
         return row, kinds[which[at], 0] if len(at) else at, kinds[which[at], 1] if len(at) else at, quoted, buckets, np.diff(words.bounds)
 
     def features(self, found, n: int) -> np.ndarray:
@@ -319,15 +334,17 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
     lexicon.benign = {t for t in benign if lexicon.match(t)[0] >= 0 and t not in lexicon.words}
     model = Model(lexicon, strength, np.zeros(_BUCKETS), nothing.weight)
     found, begin = [], 0
-    counts = np.full((2, _BUCKETS), 2.0)
+    counts, clean = np.zeros((2, _BUCKETS)), np.zeros(_BUCKETS)
     for part in parts:
         f = model.hits(part)
         found.append((f, part.num_rows))
         for r, b in zip(f[0].tolist(), f[4], strict=True):
             np.add.at(counts[int(y[begin + r])], b.astype(np.int64), 1)
         begin += part.num_rows
-    if counts[0].sum() > 4 * _BUCKETS:
-        model.near = np.clip(np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum()), -1, 1)
+    for c, label in zip(counted, y.tolist(), strict=True):
+        if not label:
+            np.add.at(clean, _buckets([t.encode() for t in c]), list(c.values()))
+    model.near = _context_weights(counts[1], counts[0], clean)
     x = np.concatenate([model.features(f, n) for f, n in found])
     sample = y.mean()
     cost = np.where(y > 0, share / sample, (1 - share) / (1 - sample))

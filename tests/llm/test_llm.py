@@ -176,6 +176,20 @@ def test_toxic_terms_misspelled_and_quoted():
     assert score([quoted])[0] < score(["what a scoundrel you nitwit blockhead"])[0]
 
 
+def test_context_of_a_toxic_term_counts():
+    rng = random.Random(3)
+    filler = [f"{a}{b}{c}" for a in ("lorem", "dolor", "amet") for b in "aeiou" for c in "xyz"]
+    abuse, report = ["you", "are", "such", "go"], ["paper", "denied", "using", "word"]
+    text = lambda: rng.choices(filler, k=50)
+    clean = [" ".join([*text(), *report]) for _ in range(100)]
+    bad = [" ".join([*text(), *abuse, rng.choice(["scoundrel", "nitwit"]), *abuse]) for _ in range(60)]
+    m = toxicity.fit(clean + bad, [0] * 100 + [1] * 60, 0.2)
+    base = " ".join(text())
+    pair = [f"{base} {' '.join(w)} scoundrel {' '.join(w)}" for w in (abuse, report)]
+    f = m.features(m.hits(pa.RecordBatch.from_arrays([pa.array(pair)], ["text"])), 2)
+    assert f[0, 5] > 0 > f[1, 5] and m.scores(f)[0] > m.scores(f)[1] + 0.01
+
+
 # --- 3 near duplicates
 
 
