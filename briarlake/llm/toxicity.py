@@ -1,8 +1,9 @@
 """Toxicity: Levenshtein automata run over a lexicon trie, with context windows around each hit.
 
 The lexicon (words and word stems) is learned from labelled texts. Each distinct token of a slice is matched once: stems
-and words exactly, and words also with spelling errors, by walking the trie together with the token's Levenshtein
-automaton and leaving every branch whose states are all dead. A token that clean labelled texts use is no misspelling.
+and words exactly, then both with spelling errors, by walking the trie together with the token's Levenshtein automaton
+and leaving every branch whose states are all dead; a stem takes any token that has it, but for errors, at its start. An
+entry's length sets its errors. A token that clean labelled texts use is no misspelling.
 Each hit is weighed in its window: what stands inside quotation marks counts apart, and the words around it add the log
 ratio with which they stand near hits of toxic texts and in clean ones. A small logistic model joins the text's hits to a score.
 
@@ -28,8 +29,8 @@ PER_CLASS = 2500
 SUPPORT = 3
 #: A text uses a stem that makes up this share of its tokens; clean texts that use an entry are at most this share of toxic ones.
 RATE, PURITY = 0.01, 0.04
-#: Stems have so many letters, misspelled words so many at least.
-STEM, FUZZY = (4, 7), 5
+#: Stems have so many letters, entries that may have an error so many at least: one of two letters has no part left.
+STEM, FUZZY = (4, 7), 3
 #: Words this long may have two errors.
 TWO_ERRORS = 9
 #: Tokens on each side of a hit that are its context, and bytes within which quotation marks close.
@@ -71,24 +72,29 @@ class Automaton:
 
 
 def trie(words: dict[str, int]) -> dict:
+    """The trie of words and, with a * at their end, stems."""
     root: dict = {}
     for w, i in words.items():
         node = root
-        for c in w:
+        for c in w.removesuffix("*"):
             node = node.setdefault(c, {})
-        node[""] = i
+        node["*" if w.endswith("*") else ""] = i
     return root
 
 
-def intersect(automaton: Automaton, root: dict) -> tuple[int, int] | None:
-    """(errors, entry) of the trie word that the automaton takes with fewest errors, the first entry on ties."""
+def intersect(automaton: Automaton, root: dict, allowed: list[int] | None = None) -> tuple[int, int] | None:
+    """(errors, entry) of the trie entry that the automaton takes with fewest errors, the first entry on ties.
+
+    allowed: the most errors of each entry, where that is less than the automaton's.
+    """
     best, todo = None, [(root, automaton.start())]
     while todo:
         node, states = todo.pop()
         for c, child in node.items():
-            if c == "":
-                e = automaton.errors_at_end(states)
-                if e is not None and (best is None or (e, child) < best):
+            if c in ("", "*"):
+                # a stem is read as soon as some first letters of the token are
+                e = automaton.errors_at_end(states) if c == "" else next((e for e, s in enumerate(states) if s), None)
+                if e is not None and (allowed is None or e <= allowed[child]) and (best is None or (e, child) < best):
                     best = (e, child)
                 continue
             after = automaton.step(states, c)
@@ -105,25 +111,32 @@ class Lexicon:
         self.words = {w: i for i, w in enumerate(entries) if not w.endswith("*")}
         self.stems = {w[:-1]: i for i, w in enumerate(entries) if w.endswith("*")}
         self.sizes = sorted({len(s) for s in self.stems})
-        fuzzy = {w: i for w, i in self.words.items() if len(w) >= FUZZY}
-        self.root, self.benign = trie(fuzzy), benign
-        # of a word with e errors, one of e + 1 parts is intact
+        self.allowed = [self._errors(len(w.removesuffix("*"))) for w in entries]
+        fuzzy = {w: i for w, i in self.words.items() if self.allowed[i]}
+        stems = {s: i for s, i in self.stems.items() if self.allowed[i]}
+        self.root, self.benign = trie({**fuzzy, **{s + "*": i for s, i in stems.items()}}), benign
+        # tokens of these lengths, or of the last one and more, may be near; with so few or more letters, by two errors
         self.lengths = {n + d for w in fuzzy for n in [len(w)] for d in range(-self._errors(n), self._errors(n) + 1)}
-        self.heads = {w[: len(w) // 2] for w in fuzzy if len(w) < TWO_ERRORS}
-        self.tails = {w[len(w) // 2 :] for w in fuzzy if len(w) < TWO_ERRORS}
-        self.thirds = [w[k * len(w) // 3 : (k + 1) * len(w) // 3] for w in fuzzy if len(w) >= TWO_ERRORS for k in range(3)]
-        self.third = re.compile("|".join(map(re.escape, sorted(set(self.thirds))))) if self.thirds else None
+        self.longer = min((len(s) - self._errors(len(s)) for s in stems), default=1 << 30)
+        self.two = min((len(w) - 2 for w in [*fuzzy, *stems] if self._errors(len(w)) == 2), default=1 << 30)
+        # of an entry with e errors, one of e + 1 parts is intact
+        one = [w for w in [*fuzzy, *stems] if self._errors(len(w)) == 1]
+        self.heads = {w[: len(w) // 2] for w in one}
+        self.tails = {w[len(w) // 2 :] for w in fuzzy if self._errors(len(w)) == 1}
+        parts = {w[k * len(w) // 3 : (k + 1) * len(w) // 3] for w in [*fuzzy, *stems] if self._errors(len(w)) == 2 for k in range(3)}
+        parts |= {s[len(s) // 2 :] for s in stems if self._errors(len(s)) == 1}
+        self.part = re.compile("|".join(map(re.escape, sorted(parts)))) if parts else None
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
 
     @staticmethod
     def _errors(n: int) -> int:
-        return 2 if n >= TWO_ERRORS else 1
+        return 2 if n >= TWO_ERRORS else int(n >= FUZZY)
 
     def _near(self, token: str) -> bool:
         return (
             any(token[:k] in self.heads for k in self.head_sizes)
             or any(token[-k:] in self.tails for k in self.tail_sizes)
-            or (len(token) >= TWO_ERRORS - 2 and self.third is not None and self.third.search(token) is not None)
+            or (self.part is not None and self.part.search(token) is not None)
         )
 
     def match(self, token: str) -> tuple[int, int]:
@@ -133,9 +146,10 @@ class Lexicon:
         for k in self.sizes:
             if token[:k] in self.stems:
                 return self.stems[token[:k]], 0
-        if len(token) in self.lengths and token not in self.benign and self._near(token):
-            found = intersect(Automaton(token, self._errors(len(token))), self.root)
-            if found and found[0] <= self._errors(len(self.entries[found[1]])):
+        n = len(token)
+        if (n in self.lengths or n >= self.longer) and token not in self.benign and self._near(token):
+            found = intersect(Automaton(token, 2 if n >= self.two else 1), self.root, self.allowed)
+            if found:
                 return found[1], found[0]
         return -1, 0
 
@@ -328,7 +342,7 @@ def fit(texts: list[str], labels: list[int], share: float) -> Model:
         minima += _minima(distinct, which, words.bounds)
         counted += [Counter(names[j] for j in which[a:b].tolist()) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
     entries, strength = _learn_entries(counted, minima, y)
-    benign = {t for c, label in zip(counted, y.tolist(), strict=True) if not label for t in c if len(t) >= FUZZY - 2}
+    benign = {t for c, label in zip(counted, y.tolist(), strict=True) if not label for t in c}
     lexicon = Lexicon(entries, set())
     # only such clean tokens as come near an entry need to be remembered
     lexicon.benign = {t for t in benign if lexicon.match(t)[0] >= 0 and t not in lexicon.words}

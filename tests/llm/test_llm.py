@@ -154,6 +154,30 @@ def test_automaton_is_the_edit_distance():
             assert toxicity.intersect(toxicity.Automaton(token, errors), root) == (min(near) if near else None)
 
 
+def test_all_entries_take_errors():
+    lexicon = toxicity.Lexicon(["scum", "worthless", "disgusting", "moron*", "idio*", "ox"], {"slum"})
+    near = {"scvm": 0, "scm": 0, "worhles": 1, "wrthlesz": 1, "disgustn": 2, "mor0ns": 3, "mornic": 3, "idjots": 4, "morn": 3, "xmoron": 3}
+    assert {t: lexicon.match(t)[0] for t in near} == near and all(lexicon.match(t)[1] for t in near)
+    assert [lexicon.match(t)[0] for t in ("slum", "scvvm", "wrthlz", "marble", "oz", "nitwits")] == [-1] * 6
+    # the filter of parts leaves out nothing that the automaton takes
+    rng = random.Random(8)
+    for _ in range(3000):
+        w = list(rng.choice(lexicon.entries).removesuffix("*"))
+        for _ in range(rng.randint(1, 2)):
+            k = rng.randrange(len(w) + 1)
+            w[k : k + rng.randint(0, 1)] = rng.choice(["", "a", "m"])
+        t = "".join(w) + rng.choice(["", "s", "ing"])
+        exact = min(((d, i) for i, x in enumerate(lexicon.entries) if (d := _entry_distance(t, x)) <= lexicon.allowed[i]), default=(0, -1))
+        if t not in lexicon.benign and lexicon.match(t)[1]:
+            assert lexicon.match(t) == exact[::-1]
+        elif t not in lexicon.benign and lexicon.match(t)[0] < 0:
+            assert exact[1] < 0, t
+
+
+def _entry_distance(token, entry):
+    return min(_distance(token[:k], entry[:-1]) for k in range(len(token) + 1)) if entry.endswith("*") else _distance(token, entry)
+
+
 def test_toxic_terms_misspelled_and_quoted():
     rng = random.Random(2)
     filler = [f"{a}{b}{c}" for a in ("lorem", "dolor", "amet") for b in "aeiou" for c in "xyz"]
