@@ -5,9 +5,10 @@ stand within `WINDOW` words of it are candidate terms. For an entity e and a ter
 
     disclosure(t, e) = PMI(t; e) / IC(e) = log(N w(t,e) / (n(e) n(t))) / log(N / n(e)),
 
-with w the distinct windows of e that hold t, n(e) the distinct windows of e and n(t) the documents that hold t. Copies of a
-window count once. A term with w >= `SUPPORT` and a disclosure of `GENERALISE` or more is a span of its own in documents that
-hold e beside it: generalised there, or removed from `REMOVE` on.
+with w the documents that hold t in a window of e, n(e) those that hold e and n(t) those that hold t, copies included
+everywhere. A term with `SUPPORT` distinct windows (copies of a window count once) and a disclosure of `GENERALISE` or more
+is a span of its own in every document that holds it: generalised there, or removed from `REMOVE` on. One tokenizer, of
+Unicode letters in lower case, serves windows, counts and spans.
 
 n(t) is counted over all documents, but only for terms in the buckets that candidates fall in: a bit map of fixed size is
 all that is broadcast. Null and empty texts have no spans. A null doc_id is as good as any; rows are told apart by a row
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -25,9 +27,9 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BooleanType, LongType, StringType, StructField, StructType
 
-from briarlake.llm._arrow import Words, slices, text_bytes, word_hashes
+from briarlake.llm._arrow import slices
 from briarlake.llm._store import ids_and_text, written
 
 KINDS = ("email", "ip", "card", "phone")
@@ -42,10 +44,6 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _TERM = re.compile(r"[^\W\d_]+")
-_LETTERS = np.zeros(256, bool)
-_LETTERS[65:91] = _LETTERS[97:123] = _LETTERS[128:] = True
-#: A term has so many UTF-8 bytes at least.
-SHORTEST = 4
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -117,23 +115,38 @@ def contexts(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[int, in
         lo, hi = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
         near = [*range(max(0, lo - WINDOW), lo), *range(hi, min(len(words), hi + WINDOW))]
         near = [words[i][2] for i in near if not inside[i]]
-        out.append((entity(kind, text[a:b]), _hash(" ".join(near)), {w for w in near if len(w.encode()) >= SHORTEST}))
+        out.append((entity(kind, text[a:b]), _hash(" ".join(near)), set(near)))
     return out
 
 
-def _lowered(raw: np.ndarray) -> np.ndarray:
-    from briarlake.llm._arrow import LOWER
+def bucket(term: str) -> int:
+    return zlib.crc32(term.encode("utf-8", "replace")) % BUCKETS
 
-    out = LOWER[raw]
-    wide = np.zeros(len(raw), bool)
-    wide[1:] = (raw[:-1] == 0xC3) & (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97)
-    out[wide] += 32
-    return out
 
+def _marked(terms: DataFrame) -> bytes:
+    """A byte per bucket: 1 where a row of (bucket) falls."""
+    marks = np.zeros(BUCKETS, np.uint8)
+    marks[[r[0] for r in terms.select("bucket").distinct().toLocalIterator()]] = 1
+    return marks.tobytes()
 
-def bucket(term: str) -> int:
-    b = _lowered(np.frombuffer(term.encode("utf-8", "replace"), np.uint8))
-    return int(word_hashes(b, np.array([len(b)]))[0] % np.uint64(BUCKETS))
+
+class _Holders:
+    """The distinct terms of a text whose bucket is marked; words are looked up once each."""
+
+    def __init__(self, marks: bytes):
+        self.marks, self.known = marks, {}
+
+    def __call__(self, text: str | None) -> set[str]:
+        if len(self.known) > HELD:
+            self.known.clear()
+        known, out = self.known, set()
+        for word in set(_TERM.findall(text or "")):
+            if word not in known:
+                term = word.lower()
+                known[word] = term if self.marks[bucket(term)] else None
+            if known[word] is not None:
+                out.add(known[word])
+        return out
 
 
 def _with_rows(docs: DataFrame, fields: list[StructField], work: Callable) -> DataFrame:
@@ -165,31 +178,20 @@ def _observed(rows: DataFrame) -> DataFrame:
     return rows.select("__row", "text").mapInArrow(run, "row long, entity long, window long, term string, bucket long")
 
 
-def _document_counts(docs: DataFrame, marks: np.ndarray) -> DataFrame:
+def _document_counts(docs: DataFrame, marks: bytes) -> DataFrame:
     """(term, n): documents that hold each term whose bucket is marked."""
-    shared = docs.sparkSession.sparkContext.broadcast(np.packbits(marks))
+    shared = docs.sparkSession.sparkContext.broadcast(marks)
 
     def run(batches):
-        wanted = np.unpackbits(shared.value).astype(bool)
-        held: dict[bytes, int] = {}
+        terms_of, held = _Holders(shared.value), {}
 
         def handed():
-            return pa.RecordBatch.from_arrays(
-                [pa.array([t.decode("utf-8", "replace") for t in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"]
-            )
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
 
         for batch in slices(batches, "text"):
-            raw, offsets = text_bytes(batch.column("text"))
-            raw = _lowered(raw)
-            words = Words(raw, offsets, _LETTERS)
-            at = np.flatnonzero(wanted[words.hash % np.uint64(BUCKETS)]) if len(words.starts) else np.zeros(0, np.int64)
-            doc = np.searchsorted(words.bounds, at, "right") - 1
-            _, first = np.unique(np.stack([doc.astype(np.uint64), words.hash[at]]), axis=1, return_index=True) if len(at) else (0, at)
-            data = raw.tobytes()
-            for k in at[first].tolist():
-                lo = int(words.starts[k])
-                t = data[lo : lo + int(words.lengths[k])]
-                held[t] = held.get(t, 0) + 1
+            for text in batch.column("text").to_pylist():
+                for t in terms_of(text):
+                    held[t] = held.get(t, 0) + 1
             if len(held) > HELD:
                 yield handed()
                 held.clear()
@@ -199,29 +201,54 @@ def _document_counts(docs: DataFrame, marks: np.ndarray) -> DataFrame:
 
 
 def disclosing(seen: DataFrame, docs: DataFrame) -> DataFrame:
-    """(entity, term, disclosure) of the terms that reveal an entity; seen: what _observed gives, written."""
-    windows = seen.select("entity", "window").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
-    pairs = seen.select("entity", "window", "term", "bucket").distinct().groupBy("entity", "term").agg(F.count("*").alias("w"), F.min("bucket").alias("bucket"))
-    pairs = written(pairs.where(F.col("w") >= SUPPORT).join(windows, "entity"), "pii-pairs")
-    marks = np.zeros(BUCKETS, bool)
-    marks[[r[0] for r in pairs.select("bucket").distinct().toLocalIterator()]] = True
-    if not marks.any():
-        return pairs.select("entity", "term", F.lit(0.0).alias("disclosure")).limit(0)
+    """(entity, term, bucket, disclosure) of the terms that reveal an entity; seen: what _observed gives, written."""
+    holders = seen.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("ne"))
+    pairs = seen.select("entity", "window", "term", "bucket").distinct().groupBy("entity", "term")
+    pairs = pairs.agg(F.count("*").alias("windows"), F.min("bucket").alias("bucket")).where(F.col("windows") >= SUPPORT)
+    rows = seen.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("w"))
+    pairs = written(pairs.join(rows, ["entity", "term"]).join(holders, "entity"), "pii-pairs")
+    marks = _marked(pairs)
+    if not any(marks):
+        return pairs.select("entity", "term", "bucket", F.lit(0.0).alias("disclosure")).limit(0)
     total = docs.count()
     found = pairs.join(_document_counts(docs, marks), "term")
     n = F.lit(float(max(total, 2)))
     # an entity that every document holds has no information to disclose
     ic = F.log(n / F.col("ne"))
-    pmi = F.log(n * F.col("w") / (F.col("ne") * F.greatest("n", "w")))
-    return found.where(F.col("ne") < total).select("entity", "term", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+    pmi = F.log(n * F.col("w") / (F.col("ne") * F.col("n")))
+    return found.where(F.col("ne") < total).select("entity", "term", "bucket", (pmi / ic).alias("disclosure")).where(F.col("disclosure") >= GENERALISE)
+
+
+def _terms_by_row(rows: DataFrame, private: str, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows with the column __held (false: no term to treat), and (__row, terms) with the terms to treat: {term, remove}.
+
+    private: the condition under which a row has base spans.
+    """
+    seen = written(_observed(rows.where(private).select("__row", "text")), "pii-seen")
+    found = written(disclosing(seen, docs), "pii-terms")
+    marks = _marked(found)
+    if not any(marks):
+        none = found.selectExpr("0L __row", "array(struct(term, true remove)) terms").limit(0)
+        return rows.withColumn("__held", F.lit(False)), none
+    shared = rows.sparkSession.sparkContext.broadcast(marks)
+    schema = StructType([*rows.schema.fields, StructField("__held", BooleanType())])
+
+    def held(batches):
+        terms_of = _Holders(shared.value)
+        for batch in batches:
+            flags = [bool(terms_of(t)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(flags, pa.bool_())], [f.name for f in schema.fields])
 
+    def listed(batches):
+        terms_of = _Holders(shared.value)
+        for batch in batches:
+            out = [(r, t) for r, text in zip(batch.column("__row").to_pylist(), batch.column("text").to_pylist(), strict=True) for t in terms_of(text)]
+            yield pa.RecordBatch.from_arrays([pa.array([r for r, _ in out], pa.int64()), pa.array([t for _, t in out], pa.string())], ["__row", "term"])
 
-def _terms_by_row(rows: DataFrame, docs: DataFrame) -> DataFrame:
-    """(__row, terms): for rows with base spans, the terms to treat: {term, remove}."""
-    seen = written(_observed(rows), "pii-seen")
-    found = disclosing(seen, docs)
-    hits = seen.select("row", "entity", "term").distinct().join(found, ["entity", "term"]).groupBy("row", "term").agg(F.max("disclosure").alias("d"))
-    return hits.groupBy("row").agg(F.collect_list(F.struct("term", (F.col("d") >= REMOVE).alias("remove"))).alias("terms")).withColumnRenamed("row", "__row")
+    best = found.groupBy("term").agg(F.max("disclosure").alias("d"))
+    hits = rows.select("__row", "text").mapInArrow(listed, "__row long, term string").join(best, "term")
+    terms = hits.groupBy("__row").agg(F.collect_list(F.struct("term", (F.col("d") >= REMOVE).alias("remove"))).alias("terms"))
+    return rows.mapInArrow(held, schema), terms
 
 
 def all_spans(text: str, terms: list[dict] | None) -> list[tuple[str, int, int]]:
@@ -266,8 +293,8 @@ def spans(docs: DataFrame) -> DataFrame:
 
     own = ids_and_text(docs)
     rows = _with_rows(own, fields, work)
-    found = rows.where("spans <> ''").select("__row", "text")
-    hits = found.join(_terms_by_row(found, own), "__row")
+    rows, terms = _terms_by_row(rows, "spans <> ''", own)
+    hits = rows.where("__held").select("__row", "text").join(terms, "__row")
 
     def extend(batches):
         for batch in batches:
@@ -275,16 +302,15 @@ def spans(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(told, pa.string())], ["__row", "more"])
 
     more = hits.select("__row", "text", "terms").mapInArrow(extend, "__row long, more string")
-    return rows.drop("text").join(more, "__row", "left").select("doc_id", *names, "base_sha256", F.coalesce("more", "spans").alias("spans"))
+    return rows.drop("text", "__held").join(more, "__row", "left").select("doc_id", *names, "base_sha256", F.coalesce("more", "spans").alias("spans"))
 
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """docs with their texts redacted; all columns and rows stay."""
     fields = [StructField("__private", LongType())]
     rows = _with_rows(docs, fields, lambda texts: [pa.array([len(base_spans(t or "")) for t in texts], pa.int64())])
-    found = rows.where("__private > 0")
-    terms = _terms_by_row(found.select("__row", "text"), docs)
-    joined = found.join(terms, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "terms")
+    rows, terms = _terms_by_row(rows, "__private > 0", docs)
+    joined = rows.where("__private > 0 or __held").join(terms, "__row", "left").select(*[F.col(f"`{c}`") for c in docs.columns], "terms")
     at = docs.columns.index("text")
 
     def run(batches):
@@ -295,7 +321,7 @@ def sanitised(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, docs_names)
 
     docs_names = docs.columns
-    clean = rows.where("__private = 0").select(*[F.col(f"`{c}`") for c in docs_names])
+    clean = rows.where("__private = 0 and not __held").select(*[F.col(f"`{c}`") for c in docs_names])
     return clean.unionByName(joined.mapInArrow(run, docs.schema))
 
 

@@ -403,6 +403,25 @@ def test_disclosing_terms(spark):
     assert "Wintermute" not in clean[200] and "[EMAIL]" in clean[200] and clean[0] == rows[0][1] and len(clean) == len(rows)
 
 
+def test_disclosing_terms_of_copies_and_scripts(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiou") for _ in range(4))
+    rows = [(i, " ".join(word() for _ in range(20))) for i in range(600)]
+    for k, name in enumerate(["Wintermute", "Ωμέγας", "Ольга", "Łucja", "Kim"]):
+        texts = [f"{word()} {word()} “{name}” {word()} writes u{k}@corp.example {word()} {word()}" for _ in range(4)]
+        rows += [(1000 * (k + 1) + i, texts[i % 4]) for i in range(48 if not k else 4)]
+    rows += [(9000, f"{word()} saw Ольга {word()} again")]
+    table = docs(spark, rows)
+    out = {r.doc_id: r for r in pii.spans(table).collect()}
+    for k in range(5):
+        for i in range(48 if not k else 4):
+            text, more = dict(rows)[1000 * (k + 1) + i], [s.split(":") for s in out[1000 * (k + 1) + i].spans.split(",")]
+            assert ["Wintermute", "Ωμέγας", "Ольга", "Łucja", "Kim"][k] in [text[int(a) : int(b)] for kind, a, b in more if kind in ("removed", "generalised")]
+    assert out[9000].spans
+    clean = {r.doc_id: r.text for r in pii.sanitised(table).collect()}
+    assert len(clean) == len(rows) and "Ольга" not in clean[9000] and clean[5] == dict(rows)[5]
+
+
 # --- 7 main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no</p>";</script></head><body><header class="top"><h1>Site name</h1></header>
