@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +12,8 @@ import pyarrow.compute as pc
 
 #: Bytes of text that one vectorised step handles; a longer text is handled alone.
 SLICE_BYTES = 1 << 20
+#: Rows of a slice, so that what is kept by row stays small however short the texts are.
+SLICE_ROWS = 2048
 
 _RNG = np.random.default_rng(20240229)
 _POS_BITS = 12
@@ -52,8 +56,23 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[at[0] : at[-1]], at - at[0]
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each slice holds at most `limit` bytes of `column`, or one row."""
+def frugal(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """The work of a partition, behind which the worker, which lives on for other tasks, gives its free memory back."""
+
+    @functools.wraps(run)
+    def work(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+                libc.malloc_trim(0)
+
+    return work
+
+
+def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES, rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each slice holds at most `rows` rows and at most `limit` bytes of `column`, or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -61,7 +80,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
         done, lo = 0, 0
         total = np.cumsum(sizes)
         while lo < batch.num_rows:
-            hi = max(lo + 1, int(np.searchsorted(total, done + limit, "right")))
+            hi = min(lo + rows, max(lo + 1, int(np.searchsorted(total, done + limit, "right"))))
             yield batch.slice(lo, hi - lo)
             done, lo = int(total[hi - 1]), hi
 

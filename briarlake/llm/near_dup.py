@@ -3,23 +3,25 @@
 A document's signature has `CHUNKS` x `PER_CHUNK` minima of `BITS` bits. Two signatures that differ in fewer than
 CHUNKS * (ERRORS + 1) components agree, by pigeonhole, on some chunk but for at most ERRORS components. All such errors are
 enumerated: a chunk gives one key per set of PER_CHUNK - ERRORS components that stay. Documents that share a key are
-candidates, so every pair under the signature distance is found. With 8 x 5 components and one error, a pair of similarity
-0.85 is missed with probability 5e-7, one of 0.8 with 2e-5.
+candidates, so every pair under that distance is found. With 8 x 5 components and one error, a pair of similarity 0.85
+shares no key with probability 5e-7, one of 0.8 with 2e-5.
+
+Candidates are weighed in the join by the distance of their signatures, a count over a few machine words: those that
+differ in `APART` components or more are left out (a pair of similarity 0.8 does with probability 4e-8), as are those whose
+set sizes alone rule out the similarity. The others are confirmed on the full sets.
 
 Work follows the documents, not the pairs:
 
-1. Equal sets fall together by their digest, counted before the shuffle; one document stands for each set.
-2. Each document is held against the smallest of every key it shares (a star), which links copies in linear work.
-3. Only keys whose documents are then still in several components are compared further, between components only. The
-   documents of a key of more than `LARGE` (a passage that many share) are parted by bands of set size, which similar sets
-   cannot be apart by more than one, and dealt in blocks of about `LARGE` that are joined two by two. So every pair that
-   shares any key is weighed, at any size; documents of the key's largest component are not held against each other.
-4. Candidates are weighed within the join by odd sketches of their full sets (the parity of hashed shingles in `SKETCH`
-   bits). Their distance never exceeds the size of the sets' difference and, up to chance, tells it. Those further apart
-   than the allowed difference, or than six deviations beyond what it lets expect, are dropped; the others are confirmed on
-   the full sets and joined to components by alternating large and small stars.
-
-No pair of copies within a component is listed.
+1. Equal sets fall together by their digest, counted before the shuffle; one row stands for each set.
+2. Each row is held against the smallest of every key it shares (a star), which links copies in linear work.
+3. Only keys whose rows are then still in several components are compared further, between components only. The rows of a
+   key of more than `LARGE` (a passage that many share) are parted by bands of set size, which similar sets cannot be apart
+   by more than one, and dealt in blocks of about `LARGE` that are joined two by two. So every pair that shares any key is
+   weighed, at any size; rows of the key's largest component are not held against each other.
+4. Links are joined to components by alternating large and small stars.
+
+No pair of copies within a component is listed. A row is known by a 64-bit hash of its doc_id and text, so rows that share
+a doc_id but not a text are judged apart.
 """
 
 from __future__ import annotations
@@ -33,13 +35,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briarlake.llm._arrow import NOT_BLANK, Words, mix, slices, text_bytes
-from briarlake.llm._store import ids_and_text, written
+from briarlake.llm._arrow import NOT_BLANK, Words, frugal, mix, slices, text_bytes
+from briarlake.llm._store import Scratch, ids_and_text, unused, written
 
-CHUNKS, PER_CHUNK, ERRORS, BITS = 8, 5, 1, 16
-#: Bits of the odd sketch of a full set, and keys of more documents than are compared in one task; also a block's size.
-SKETCH, LARGE = 1024, 2000
-#: Bits of the map of documents whose texts a confirmation needs.
+CHUNKS, PER_CHUNK, ERRORS, BITS = 8, 5, 1, 14
+#: Signatures that differ in so many components are of no similar sets.
+APART = 24
+#: Rows of one key that are compared in one task; also a block's size.
+LARGE = 2000
+#: Bits of the map of rows whose texts a confirmation needs.
 MAP_BITS = 1 << 23
 _KEEP = list(combinations(range(PER_CHUNK), PER_CHUNK - ERRORS))
 KEYS = CHUNKS * len(_KEEP)
@@ -50,8 +54,11 @@ _ADD = _RNG.integers(0, 1 << 63, _K, dtype=np.uint64)
 _SALT = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
 _WORD = mix(np.arange(101, 201, dtype=np.uint64)) | np.uint64(1)
 
-_LANES = [f"o{i}" for i in range(SKETCH // 64)]
-FEATURES = "doc_id long, n_shingles long, digest binary, keys array<long>, " + ", ".join(f"{x} long" for x in _LANES)
+#: Four components stand in a lane, each below a free bit: adding _ONES to a difference sets that bit where it is not 0.
+_LANES = [f"o{i}" for i in range(_K // 4)]
+_ONES = sum(((1 << BITS) - 1) << (BITS + 1) * i for i in range(4))
+_FREE = sum(1 << BITS << (BITS + 1) * i for i in range(4))
+FEATURES = "node long, doc_id long, n_shingles long, digest binary, keys array<long>, " + ", ".join(f"{x} long" for x in _LANES)
 
 
 def shingle_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,17 +92,22 @@ def shingle_sets(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray]
     return s, np.searchsorted(doc, np.arange(len(counts) + 1))
 
 
-def _band_keys(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """The keys of each non-empty set; begin: where sets begin in s."""
-    signature = np.empty((len(begin), _K), np.uint64)
+def signatures(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """The signature of each non-empty set; begin: where sets begin in s."""
+    out = np.empty((len(begin), _K), np.uint64)
     for j in range(_K):
         x = s * _MUL[j] + _ADD[j]
         x ^= x >> np.uint64(32)
-        signature[:, j] = mix(np.minimum.reduceat(x, begin)) & np.uint64((1 << BITS) - 1)
-    out = np.empty((len(begin), KEYS), np.uint64)
+        out[:, j] = mix(np.minimum.reduceat(x, begin)) & np.uint64((1 << BITS) - 1)
+    return out
+
+
+def _band_keys(signature: np.ndarray) -> np.ndarray:
+    """The keys of each signature: every chunk with every set of components that stay."""
+    out = np.empty((len(signature), KEYS), np.uint64)
     for i in range(CHUNKS):
         for j, keep in enumerate(_KEEP):
-            packed = np.zeros(len(begin), np.uint64)
+            packed = np.zeros(len(signature), np.uint64)
             for c in keep:
                 packed = (packed << np.uint64(BITS)) | signature[:, i * PER_CHUNK + c]
             at = i * len(_KEEP) + j
@@ -103,59 +115,60 @@ def _band_keys(s: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """The odd sketch of every set, as 64-bit words."""
-    n = len(bounds) - 1
-    row = np.repeat(np.arange(n), np.diff(bounds))
-    bit = (mix(s ^ _SALT[0]) % np.uint64(SKETCH)).astype(np.int64)
-    odd = (np.bincount(row * SKETCH + bit, minlength=n * SKETCH) & 1).astype(np.uint8)
-    return np.packbits(odd.reshape(n, SKETCH), axis=1, bitorder="little").view(np.int64)
+def _lanes(signature: np.ndarray) -> np.ndarray:
+    """The signatures four components to a word."""
+    four = signature.reshape(len(signature), _K // 4, 4)
+    return (four << (np.arange(4, dtype=np.uint64) * np.uint64(BITS + 1))).sum(axis=2, dtype=np.uint64).view(np.int64)
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
+    """Set size, digest, keys and signature of rows (node, doc_id, text)."""
+
     def run(batches):
         for batch in slices(batches, "text"):
             s, bounds = shingle_sets(batch, words)
             size = np.diff(bounds)
             full = np.flatnonzero(size)
-            keys = _band_keys(s, bounds[:-1][full]) if len(full) else np.zeros((0, KEYS), np.uint64)
+            signature = signatures(s, bounds[:-1][full]) if len(full) else np.zeros((0, _K), np.uint64)
             digests = [hashlib.blake2b(s[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             lists = pa.ListArray.from_arrays(
-                pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, KEYS, 0))]), pa.int32()), pa.array(keys.ravel().view(np.int64), pa.int64())
+                pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, KEYS, 0))]), pa.int32()), pa.array(_band_keys(signature).ravel().view(np.int64), pa.int64())
             )
+            lanes = np.zeros((len(size), len(_LANES)), np.int64)
+            lanes[full] = _lanes(signature)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(x) for x in _sketches(s, bounds).T.copy())],
-                ["doc_id", "n_shingles", "digest", "keys", *_LANES],
+                [batch.column("node"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(x) for x in lanes.T.copy())],
+                ["node", "doc_id", "n_shingles", "digest", "keys", *_LANES],
             )
 
-    return docs.mapInArrow(run, FEATURES)
+    return docs.mapInArrow(frugal(run), FEATURES)
 
 
-def _chosen_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents whose id is among ids, and a few others, without a shuffle of texts.
+def _chosen_texts(docs: DataFrame, ids: DataFrame, work: Scratch) -> DataFrame:
+    """(id, text) of the rows (node, text) whose node is among ids, and a few others, without a shuffle of texts.
 
     A bit map of `MAP_BITS` bits, whatever the number of ids, is built by a distributed aggregate and broadcast; the joins
     that follow drop what it lets through by chance.
     """
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(MAP_BITS))
+    place = F.pmod("node", F.lit(MAP_BITS))
     page = 32768
     marks = ids.select(place.alias("p")).groupBy((F.col("p") / page).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % page).alias("bits"))
     bits = bytearray(MAP_BITS // 8)
     for r in marks.toLocalIterator():
         bits[r.k * page // 8 : (r.k + 1) * page // 8] = bytes(r.bits)
-    shared = docs.sparkSession.sparkContext.broadcast(bytes(bits))
+    shared = work.broadcast(bytes(bits))
 
     def run(batches):
         wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             p = batch.column("p").to_numpy()
-            yield batch.select(["doc_id", "text"]).filter(pa.array((wanted[p >> 3] >> (p & 7) & 1).astype(bool))).rename_columns(["id", "text"])
+            yield batch.select(["node", "text"]).filter(pa.array((wanted[p >> 3] >> (p & 7) & 1).astype(bool))).rename_columns(["id", "text"])
 
-    known = docs.where("doc_id is not null").select("doc_id", "text", place.alias("p"))
-    return written(known.mapInArrow(run, "id long, text string"), "near-dup-texts")
+    known = docs.where("doc_id is not null").select("node", "text", place.alias("p"))
+    return work.written(known.mapInArrow(frugal(run), "id long, text string"), "near-dup-texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, work: Scratch) -> DataFrame:
     """The pairs (a, b) whose full sets meet the similarity: 100 * |A and B| >= percent * |A or B|."""
 
     def compare(batches):
@@ -172,18 +185,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Da
                 keep[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    own = _chosen_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
+    own = _chosen_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), work)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long")
+    return both.select("a", "b", "x", "y").mapInArrow(frugal(compare), "a long, b long").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, work: Scratch) -> DataFrame:
     """(node, root) for every node of the undirected edges (a, b): the smallest node reachable.
 
     Large and small stars alternate; each round is written, so no plan grows. A node's neighbours are only ever aggregated
     to their minimum, never listed.
     """
-    now, before = written(edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct(), "stars"), None
+    now, before = work.written(edges.where("a <> b").selectExpr("greatest(a, b) u", "least(a, b) v").distinct(), "stars"), None
     while True:
         both = now.select("u", "v").unionByName(now.selectExpr("v u", "u v"))
         low = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
@@ -191,7 +204,7 @@ def components(edges: DataFrame) -> DataFrame:
         large = large.where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").selectExpr("case when v = m then u else v end u", "m v").where("u <> v").distinct()
-        now = written(small, "stars")
+        now = work.written(small, "stars")
         mark = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if mark == before:
             break
@@ -200,11 +213,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _near(x: str, y: str, percent: int) -> str:
-    """Whether two odd sketches may belong to sets of this similarity: their distance against the largest difference allowed."""
-    apart = " + ".join(f"bit_count({x}.{lane} ^ {y}.{lane})" for lane in _LANES)
-    most = f"({(100 - percent) / (100 + percent)!r}D * ({x}.n_shingles + {y}.n_shingles))"
-    expected = f"{SKETCH / 2!r}D * (1 - exp(-2 * {most} / {SKETCH}))"
-    return f"{apart} <= least({most} + 1e-6D, {expected} + 6 * sqrt(least(2 * {most} * {most} / {SKETCH} + 1, {SKETCH / 4!r}D)))"
+    """Whether two rows may be of this similarity: by their set sizes, then by the distance of their signatures."""
+    sizes = f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
+    apart = " + ".join(f"bit_count((({x}.{lane} ^ {y}.{lane}) + {_ONES}L) & {_FREE}L)" for lane in _LANES)
+    return f"{sizes} and {apart} < {APART}"
 
 
 def _between(held: DataFrame, percent: int) -> DataFrame:
@@ -213,7 +225,7 @@ def _between(held: DataFrame, percent: int) -> DataFrame:
     return x.join(y, F.expr(f"x.key = y.key and x.id < y.id and x.root <> y.root and {_near('x', 'y', percent)}")).selectExpr("x.id a", "y.id b")
 
 
-def _between_blocks(held: DataFrame, percent: int) -> DataFrame:
+def _between_blocks(held: DataFrame, percent: int, work: Scratch) -> DataFrame:
     """The pairs of `_between`, for keys of any number of documents.
 
     A pair meets in the higher of its two size bands. There the documents of the largest component (the main one) and the
@@ -223,40 +235,66 @@ def _between_blocks(held: DataFrame, percent: int) -> DataFrame:
     banded = held.withColumn("band", F.floor(F.log("n_shingles") / width)).withColumn("meet", F.explode(F.expr("array(band, band + 1)")))
     sizes = banded.groupBy("key", "meet", "root").agg(F.count("*").alias("c")).groupBy("key", "meet")
     sizes = sizes.agg(F.max_by("root", "c").alias("main"), F.max("c").alias("m"), F.sum("c").alias("n"), F.count("*").alias("roots")).where("roots > 1")
-    blocks = sizes.select("key", "meet", "main", F.expr(f"ceil(m / {LARGE})").alias("mains"), F.expr(f"ceil((n - m) / {LARGE})").alias("rests"))
+    blocks = work.written(sizes.select("key", "meet", "main", F.expr(f"ceil(m / {LARGE})").alias("mains"), F.expr(f"ceil((n - m) / {LARGE})").alias("rests")), "near-dup-sizes")
     own = "if(root = main, -1 - pmod(xxhash64(id), mains), pmod(xxhash64(id), rests))"
     dealt = banded.join(blocks, ["key", "meet"]).withColumn("own", F.expr(own))
     dealt = dealt.withColumn("other", F.explode(F.expr("if(own < 0, sequence(0L, rests - 1), sequence(-mains, rests - 1))")))
-    dealt = written(dealt.selectExpr("key", "meet", "band", "own", "least(own, other) low", "greatest(own, other) high", "id", "root", "n_shingles", *_LANES), "near-dup-blocks")
+    dealt = work.written(dealt.selectExpr("key", "meet", "band", "own", "least(own, other) low", "greatest(own, other) high", "id", "root", "n_shingles", *_LANES), "near-dup-blocks")
     x, y = dealt.where("own = low").alias("x"), dealt.where("own = high").alias("y")
     cell = "x.key = y.key and x.meet = y.meet and x.low = y.low and x.high = y.high"
     near = f"x.root <> y.root and (x.low < x.high or x.id < y.id) and greatest(x.band, y.band) = x.meet and {_near('x', 'y', percent)}"
     return x.join(y, F.expr(f"{cell} and {near}")).selectExpr("least(x.id, y.id) a", "greatest(x.id, y.id) b")
 
 
-def _links(rows: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """(node, root) over the documents that stand for their sets; rows: (id, keys, lanes)."""
+def _links(rows: DataFrame, docs: DataFrame, words: int, percent: int, work: Scratch) -> DataFrame:
+    """(node, root) over the rows that stand for their sets; rows: (id, keys, n_shingles, lanes); docs: (node, doc_id, text).
+
+    What is aggregated by key is written before it is joined, so that Spark may split the join of a hot key.
+    """
     lanes = rows.select("id", "n_shingles", *_LANES)
     keyed = rows.select("id", F.explode("keys").alias("key"))
-    hubs = keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    shared = written(keyed.join(hubs, "key").select("key", "id", "hub", "n"), "near-dup-keys")
+    hubs = work.written(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"), "near-dup-keys")
+    shared = work.written(keyed.join(hubs, "key").select("key", "id", "hub", "n"), "near-dup-shared")
     stars = shared.where("id <> hub").selectExpr("hub a", "id b").distinct()
     stars = stars.join(lanes.alias("x"), F.expr("a = x.id")).join(lanes.alias("y"), F.expr("b = y.id")).where(_near("x", "y", percent)).select("a", "b")
-    first = written(stars, "near-dup-stars")
-    links = written(confirmed(first, docs, words, percent), "near-dup-links")
-    # a first merge by one step: linked documents take the smallest hub that they are linked to
-    roots = written(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "near-dup-hubs")
+    first = work.written(stars, "near-dup-stars")
+    links = work.written(confirmed(first, docs, words, percent, work), "near-dup-links")
+    # a first merge by one step: linked rows take the smallest hub that they are linked to
+    roots = work.written(links.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("root")), "near-dup-hubs")
     held = shared.join(roots, "id", "left").select("key", "id", "n", F.coalesce("root", "id").alias("root"))
-    held = written(held, "near-dup-held")
-    several = held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key")
-    held = written(held.join(several, "key").join(lanes, "id"), "near-dup-open")
+    held = work.written(held, "near-dup-held")
+    several = work.written(held.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("key"), "near-dup-several")
+    held = work.written(held.join(several, "key").join(lanes, "id"), "near-dup-open")
     small = held.where(F.col("n") <= LARGE).select("key", "id", "root", "n_shingles", *_LANES)
     large = held.where(F.col("n") > LARGE).select("key", "id", "root", "n_shingles", *_LANES)
-    second = _between(small, percent).unionByName(_between_blocks(large, percent)).distinct().join(first, ["a", "b"], "left_anti")
-    second = written(second, "near-dup-rest")
+    second = _between(small, percent).unionByName(_between_blocks(large, percent, work)).distinct().join(first, ["a", "b"], "left_anti")
+    second = work.written(second, "near-dup-rest")
     if not second.isEmpty():
-        links = links.unionByName(written(confirmed(second, docs, words, percent), "near-dup-links"))
-    return components(links)
+        links = links.unionByName(work.written(confirmed(second, docs, words, percent, work), "near-dup-links"))
+    return components(links, work)
+
+
+def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Per row of (node, doc_id, text): node, doc_id, n_shingles, root (of its group), low (the group's smallest doc_id), written.
+
+    root and low are null for rows without shingles or doc_id.
+    """
+    with Scratch(docs.sparkSession) as work:
+        seen = work.written(features(docs, words), "near-dup-features")
+        linked = seen.where("n_shingles > 0 and doc_id is not null")
+        leaders = work.written(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("digest", "first.*"), "near-dup-leaders")
+        rows = linked.join(leaders.select("digest", "node"), ["digest", "node"]).dropDuplicates(["digest", "node"])
+        rows = work.written(rows.selectExpr("node id", "keys", "n_shingles", *_LANES), "near-dup-rows")
+        roots = work.written(_links(rows, docs, words, percent, work), "near-dup-roots")
+        named = work.written(leaders.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "near-dup-named")
+        lows = named.groupBy("root").agg(F.min("doc_id").alias("low"))
+        named = work.written(named.join(lows, "root").select("digest", "root", "low"), "near-dup-groups")
+        out = seen.select("node", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
+        return written(out.join(named, "digest", "left").drop("digest"), "near-dup")
+
+
+def _nodes(docs: DataFrame) -> DataFrame:
+    return ids_and_text(docs).select(F.xxhash64("doc_id", "text").alias("node"), "doc_id", "text")
 
 
 def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -265,25 +303,30 @@ def groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     Null, empty and blank texts have no shingles and are linked with nothing. Rows with equal sets are linked. Rows that
     share a doc_id are each judged by their own text. A null doc_id takes part in no link and is kept.
     """
-    own = ids_and_text(docs)
-    seen = written(features(own, words), "near-dup-features")
-    leaders = seen.where("n_shingles > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("leader"))
-    rows = seen.where("n_shingles > 0").join(leaders, "digest").where("doc_id = leader").dropDuplicates(["digest"]).selectExpr("doc_id id", "keys", "n_shingles", *_LANES)
-    roots = written(_links(rows, own, words, percent), "near-dup-roots")
-    named = leaders.join(roots, leaders["leader"] == roots["node"], "left").select("digest", F.coalesce("root", "leader").alias("root"))
-    out = seen.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-    return out.select(
-        "doc_id",
-        "n_shingles",
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id")).alias("component_id"),
-        (F.col("doc_id").isNull() | (F.col("doc_id") == F.coalesce("root", "doc_id"))).alias("kept"),
+    low = F.coalesce("low", "doc_id")
+    return _grouped(_nodes(docs), words, percent).select(
+        "doc_id", "n_shingles", low.alias("component_id"), (F.col("doc_id").isNull() | (F.col("doc_id") == low)).alias("kept")
     )
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one document of each group, under all its columns."""
-    dropped = groups(docs, words, percent).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["__dropped"], "left_anti")
+    """docs with one row of each group (the smallest doc_id's), under all columns; rows without shingles or doc_id all stay."""
+    name = unused(docs, "node")
+    own = docs.withColumn(name, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    seen = _grouped(_nodes(docs), words, percent).where("root is not null")
+    with Scratch(docs.sparkSession) as work:
+        kept = seen.groupBy("root").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("root", F.col("first.node").alias("first"))
+        kept = work.written(kept, "near-dup-kept")
+        rows = seen.groupBy("node", "root").agg(F.count("*").alias("n"))
+        told = rows.join(kept, "root").select(F.col("node").alias(name), (F.col("node") == F.col("first")).alias("is_first"), "n")
+        told = written(told.where("not is_first or n > 1"), "near-dup-told")
+    gone = told.where("not is_first").select(name)
+    again = told.where("is_first").select(name)
+    out = own.join(gone, name, "left_anti")
+    if again.isEmpty():
+        return out.drop(name)
+    # the few rows that stand in docs several times: one of them stays
+    return out.join(again, name, "left_anti").unionByName(own.join(again, name, "left_semi").dropDuplicates([name])).drop(name)
 
 
 def op3_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:

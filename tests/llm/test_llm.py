@@ -14,6 +14,7 @@ import pyarrow as pa
 import pytest
 
 from briarlake.llm import decontam, html_extract, media_gif, near_dup, packing, pii, quality, suffix_dedup, toxicity, warc
+from briarlake.llm._store import Scratch
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 LONG = " ".join(f"word{i % 977}" for i in range(20_000))
@@ -123,6 +124,75 @@ def test_warc_salvage(zipped):
     assert gaps[-1].end == len(cut)
 
 
+def _told(data):
+    return [x.header["warc-record-id"][10:-1] if isinstance(x, warc.Record) else "gap" for x in warc.read_archive(bytes(data))]
+
+
+@pytest.mark.parametrize("level", [0, 6])
+def test_warc_salvage_within_a_member(level):
+    rng = random.Random(level)
+    parts = [_warc_record(i, bytes(rng.choices(b"abcdefgh <>", k=40_000))) for i in range(6)]
+    one = gzip.compress(b"".join(parts), level)
+    # a wrong checksum alone costs no record
+    assert _told(one[:-6] + bytes([one[-6] ^ 1]) + one[-5:]) == [*"012345", "gap"]
+    hurt = bytearray(one)
+    hurt[len(one) // 2 + 40] ^= 0xFF
+    found = _told(hurt)
+    got = [x for x in found if x != "gap"]
+    assert "gap" in found and (got[:2] == ["0", "1"] and len(got) == len(set(got)) if level else got == ["0", "1", "2", "4", "5"])
+    # behind a broken member, plain records and members are found again
+    assert _told(bytes(hurt) + parts[0].replace(b"page:0", b"page:8") + gzip.compress(parts[1].replace(b"page:1", b"page:9")))[-2:] == ["8", "9"]
+
+
+def test_warc_records_across_members_and_long_headers():
+    long = _warc_record(7, b"x").replace(b"WARC-Type", b"WARC-Note: " + b"n" * (3 << 20) + b"\r\nWARC-Type")
+    parts = [_warc_record(i, bytes([65 + i]) * 50_000) for i in range(4)] + [long]
+    whole = b"".join(parts)
+    cuts = [0, 3, 70_000, 140_000, len(whole) - (1 << 20), len(whole)]
+    assert _told(b"".join(gzip.compress(whole[a:b]) for a, b in zip(cuts, cuts[1:], strict=False))) == list("01237")
+    assert _told(whole) == list("01237")
+    # a record cut at the end of its member does not take the next one with it
+    assert _told(gzip.compress(parts[0]) + gzip.compress(parts[1][:-9]) + gzip.compress(parts[2])) == ["0", "gap", "2"]
+
+
+def test_warc_salvage_of_own_archives(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENT_BYTES", 3000)
+    rng = random.Random(3)
+    rows = [(i, f"http://h/{i}", " ".join(str(rng.random()) for _ in range(rng.randrange(1, 200)))) for i in range(120)] + [(500, "u" * (2 << 20), "long url")]
+    path = f"{tmp_path}/own"
+    warc.write(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), f"file://{path}")
+    (file,) = [f for f in (tmp_path / "own").iterdir() if f.name.startswith("part-")]
+    data = file.read_bytes()
+    assert gzip.decompress(data).count(b"WARC-Record-ID") == len(rows)
+    want = [str(i) for i, _, _ in rows]
+    assert _told(data) == want
+    for share in (0.1, 0.25, 0.5, 0.9):
+        hurt = bytearray(data)
+        hurt[int(len(data) * share)] ^= 0xFF
+        found = _told(hurt)
+        lost = set(want) - set(found)
+        assert len(lost) <= 1 and found.count("gap") == len(lost) and [x for x in found if x != "gap"] == [x for x in want if x not in lost]
+    out = {r.page_id: bytes(r.payload) for r in warc.read(spark, f"file://{path}", payloads=True).collect()}
+    assert out == {i: t.encode() for i, _, t in rows}
+
+
+def test_warc_of_odd_tables(spark, tmp_path):
+    none = spark.createDataFrame([], "page_id long, url string, html string")
+    warc.write(none, f"file://{tmp_path}/none")
+    assert warc.read(spark, f"file://{tmp_path}/none").count() == 0
+    rows = [(1, "u", "x"), (1, "u", "x"), (2, "u", "x"), (3, "u", "y")]
+    again = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as digest", "2 as p", "3 as first")
+    warc.write(again, f"file://{tmp_path}/again")
+    assert sorted((r.page_id, r.record_type, r.refers_to) for r in warc.read(spark, f"file://{tmp_path}/again").collect()) == [
+        (1, "response", None), (1, "response", None), (2, "revisit", 1), (3, "response", None)]
+
+
+def test_segment_of_a_large_member():
+    record = bytes(17 << 20)
+    data = warc._segment([warc.member(record)]) + b"\0"
+    assert gzip.decompress(data) == record and [type(x).__name__ for x in warc.read_archive(data)] == ["Gap"]
+
+
 def test_warc_finds_records_behind_garbage():
     data = b"noise WARC/1.0\r\nbroken" + _warc_record(1, b"x") + b"zz" + _warc_record(2, b"y")
     kinds = [type(x).__name__ for x in warc.read_archive(data)]
@@ -266,17 +336,42 @@ def test_near_duplicates_that_share_one_large_key_only(spark, monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(rng.choices([f"w{i}" for i in range(500)], k=60 + i)) for i in range(12)]
     texts += [texts[9] + " end", "new " + texts[4]]
-    table = docs(spark, enumerate(texts))
     # all documents share the first key and no other
-    rows = near_dup.features(table.select("doc_id", "text"), 3).withColumnRenamed("doc_id", "id")
+    table = docs(spark, enumerate(texts)).selectExpr("doc_id node", "doc_id", "text")
+    rows = near_dup.features(table, 3).withColumnRenamed("node", "id")
     rows = rows.selectExpr("id", "transform(keys, (k, i) -> if(i = 0, 7L, xxhash64(id, i))) keys", "n_shingles", *near_dup._LANES)
-    found = {(r.node, r.root) for r in near_dup._links(rows, table, 3, 85).collect()}
+    with Scratch(spark) as work:
+        found = {(r.node, r.root) for r in near_dup._links(rows, table, 3, 85, work).collect()}
     assert found == {(12, 9), (13, 4)}
 
 
+def test_signature_distance_counts_components():
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 1 << near_dup.BITS, (200, near_dup._K), dtype=np.uint64)
+    b = np.where(rng.random(a.shape) < 0.4, a, rng.integers(0, 1 << near_dup.BITS, a.shape, dtype=np.uint64))
+    x, y = near_dup._lanes(a), near_dup._lanes(b)
+    apart = [sum(((int(p) ^ int(q)) + near_dup._ONES & near_dup._FREE).bit_count() for p, q in zip(r, t, strict=True)) for r, t in zip(x, y, strict=True)]
+    assert apart == (a != b).sum(axis=1).tolist()
+    # fewer than CHUNKS * (ERRORS + 1) differing components: a key is shared
+    for r, t in zip(a, b, strict=True):
+        c, at = r.copy(), rng.choice(near_dup._K, near_dup.CHUNKS * (near_dup.ERRORS + 1) - 1, replace=False)
+        c[at] = t[at] + np.uint64(1)
+        assert set(near_dup._band_keys(r[None])[0].tolist()) & set(near_dup._band_keys(c[None])[0].tolist())
+
+
+def test_rows_that_share_a_doc_id_are_judged_apart(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
+    rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (None, a), (None, a), (10, ""), (11, None)]
+    kept = sorted((str(r.doc_id), (r.text or "")[:2]) for r in near_dup.keep_one(docs(spark, rows).selectExpr("*", "1 as node", "2 as root")).collect())
+    assert kept == sorted([("3", "a0"), ("7", "b0"), ("9", "c0"), ("None", "a0"), ("None", "a0"), ("10", ""), ("11", "")])
+    told = sorted((r.doc_id or 0, r.component_id or 0, r.kept) for r in near_dup.groups(docs(spark, rows)).collect())
+    assert told == sorted([(3, 3, True), (7, 3, False), (7, 7, True), (9, 9, True), (9, 9, True), (0, 0, True), (0, 0, True), (10, 10, True), (11, 11, True)])
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 60)] + [(100, 70), (100, 71)], "a long, b long")
-    got = {r.node: r.root for r in near_dup.components(edges).collect()}
+    with Scratch(spark) as work:
+        got = {r.node: r.root for r in near_dup.components(edges, work).collect()}
     assert {got.get(i, i) for i in range(1, 61)} == {1} and {got.get(i, i) for i in (70, 71, 100)} == {70}
 
 
