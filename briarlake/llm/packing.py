@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import itertools
 import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -26,14 +27,14 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
-from briarlake.llm._arrow import NOT_BLANK, slices, text_bytes
+from briarlake.llm._arrow import NOT_BLANK, frugal, slices, text_bytes
 from briarlake.llm._store import ids_and_text
 
 CAPACITY = 1024
 #: Rests are cut at powers of two down to this length.
 SMALLEST = 64
-#: Distinct chunks of text whose ids a worker keeps.
-CACHE = 600_000
+#: Distinct chunks of text whose ids a task keeps.
+CACHE = 300_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,7 +49,8 @@ class Encoder:
 
     The pre-tokenizer never joins a non-blank character with a single space behind it, so a text falls apart before each
     space that stands between two non-blank characters; each chunk's ids do not depend on its neighbours. Spaces beside
-    what may be blank outside ASCII are never cut at, which only makes a chunk longer. Chunks are told apart in one Arrow
+    what may be blank outside ASCII are never cut at, which only makes a chunk longer. The file's special tokens are found
+    before all else, so each occurrence in a text is a chunk of its own, of one id. Chunks are told apart in one Arrow
     dictionary encoding per slice; only chunks that the cache lacks meet the tokenizer, which is a compiled BPE over the
     file's own vocabulary (its ids are in merge order).
     """
@@ -58,22 +60,25 @@ class Encoder:
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
-            vocab = json.load(f)["model"]["vocab"]
+            file = json.load(f)
+        self.special = {t["content"].encode(): t["id"] for t in file["added_tokens"]}
+        self.marks = re.compile(b"|".join(re.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
+        vocab = file["model"]["vocab"]
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in set(plain))}
         ranks = {bytes(byte_of[c] for c in word): i for word, i in vocab.items() if all(c in byte_of for c in word)}
-        ranks = {w: i for w, i in ranks.items() if w != b"<|endoftext|>"}
+        ranks = {w: i for w, i in ranks.items() if w not in self.special}
         self.encode = tiktoken.Encoding("file", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self._reset()
+        self.reset()
 
-    def _reset(self) -> None:
+    def reset(self) -> None:
+        """Forgets all chunks."""
         self.known: dict[bytes, int] = {}
         self.base = np.zeros(0, np.uint32)
         self.starts = self.lengths = np.zeros(0, np.int64)
 
-    @staticmethod
-    def cuts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        """Where chunks begin: each text's start and the safe spaces."""
+    def cuts(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Where chunks begin: each text's start, the safe spaces, and both ends of special tokens."""
         n = len(raw)
         pad = np.full(n + 6, 10, np.uint8)
         pad[3 : n + 3] = raw
@@ -83,12 +88,29 @@ class Encoder:
         blank = lambda lead, x: (lead == 0xC2) & ((x == 0x85) | (x == 0xA0))
         dark = lambda x: NOT_BLANK[x] & ((x < 28) | (x > 31))
         safe = dark(before) & dark(after) & ~wide(after) & ~wide(pad[at]) & ~blank(pad[at + 1], before) & ~blank(after, pad[at + 5])
-        return np.unique(np.concatenate([at[safe], offsets[:-1][offsets[:-1] < n]]))
+        begin = np.concatenate([at[safe], offsets[:-1]])
+        if self.marks and (found := self._marks(raw, offsets)):
+            # a token may hold a space that is no place to cut
+            first, end = np.array(found).T
+            last = np.searchsorted(first, begin, "left") - 1
+            begin = np.concatenate([begin[(last < 0) | (begin >= end[last])], first, end])
+        return np.unique(begin[begin < n])
+
+    def _marks(self, raw: np.ndarray, offsets: np.ndarray) -> list[tuple[int, int]]:
+        """(start, end) of the special tokens, none of which crosses texts."""
+        out, data = [], raw.tobytes()
+        at = 0
+        while m := self.marks.search(data, at):
+            edge = int(offsets[np.searchsorted(offsets, m.start(), "right")])
+            at = m.end() if m.end() <= edge else m.start() + 1
+            if m.end() <= edge:
+                out.append(m.span())
+        return out
 
     def __call__(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, each with its closing 0, and the offsets of the texts' ids."""
         if len(self.known) > CACHE:
-            self._reset()
+            self.reset()
         begin = self.cuts(raw, offsets)
         if not len(begin):
             return np.zeros(len(offsets) - 1, np.uint32), np.arange(len(offsets))
@@ -98,7 +120,7 @@ class Encoder:
         words, known = coded.dictionary.to_pylist(), self.known
         missing = [w for w in words if w not in known]
         if missing:
-            found, base = [self.encode(w.decode()) for w in missing], len(known)
+            found, base = [[self.special[w]] if w in self.special else self.encode(w.decode()) for w in missing], len(known)
             known.update(zip(missing, range(base, base + len(missing)), strict=True))
             new, end = np.fromiter(map(len, found), np.int64, len(found)), len(self.base)
             self.base = np.concatenate([self.base, np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(new.sum()))])
@@ -212,9 +234,10 @@ def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACITY
                 yield table(rows)
                 rows = []
         rows += bins.close()
+        encode.reset()
         yield table(rows)
 
-    return ids_and_text(docs).mapInArrow(run, SCHEMA)
+    return ids_and_text(docs).mapInArrow(frugal(run), SCHEMA)
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -421,15 +421,13 @@ def test_repeated_strings_against_brute_force(spark, monkeypatch, length, hot, r
 def _tokens():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.default_tokenizer())
 
 
 def test_packing_is_whole_and_tight(spark):
     rng = random.Random(9)
     texts = [" ".join(rng.choice(["alpha", "Beta,", "γάμμα", "x\n\n y", "1234", "don't", "😀", "a  b", " ", "end."]) for _ in range(rng.choice([0, 1, 9, 300, 2500]))) for _ in range(120)]
-    texts += ["", None, " ", "\n", "<|endoftext|> x", " lead", "trail ", "　 a  b", "\x1c a"]
+    texts += ["", None, " ", "\n", "<|endoftext|> x", "a<|endoftext|>b", "a <|endoftext|><|endoftext|> <|endoftext|", "text|>", "x<|end", "oftext|>", " lead", "trail ", "　 a  b", "\x1c a"]
     pieces = packing.pack(docs(spark, list(enumerate(texts))).repartition(3)).collect()
     tok, by_doc, by_seq = _tokens(), {}, {}
     for p in pieces:
