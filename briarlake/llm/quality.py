@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from briarlake.llm._arrow import NOT_BLANK, Words, slices, text_bytes
+from briarlake.llm._arrow import NOT_BLANK, Words, frugal, slices, text_bytes
 from briarlake.llm._labels import fold, labelled
 from briarlake.llm._store import ids_and_text
 
@@ -56,6 +56,15 @@ def _shapes(raw: np.ndarray, words: Words) -> np.ndarray:
     return (((case * 2 + (symbol > 0)) * 2 + (shout > 0)) * 2 + (digit > 0)) * 2 + same
 
 
+def _distinct(keys: np.ndarray, n: int) -> np.ndarray:
+    """The distinct keys (row, hash), sorted: by marks where these take no more room than the keys, else by sorting."""
+    if n * _GRAMS > 8 * len(keys):
+        return np.unique(keys)
+    flags = np.zeros(n * _GRAMS, bool)
+    flags[keys] = True
+    return np.flatnonzero(flags)
+
+
 def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     """(row, indicator) of every indicator that holds, ordered by row and indicator, each once."""
     raw, offsets = text_bytes(batch.column("text"))
@@ -66,9 +75,7 @@ def grams(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         hashed = ((wide[:-2] * np.uint32(0x9E3779B1) + wide[1:-1] * np.uint32(0x85EBCA6B) + wide[2:] * np.uint32(0xC2B2AE35)) >> np.uint32(32 - GRAM_BITS)).astype(np.int64)
         row = np.repeat(np.arange(n), np.diff(offsets))[:-2]
         whole = np.arange(len(hashed)) + 3 <= offsets[1:][row]
-        flags = np.zeros(n * _GRAMS, bool)
-        flags[(row * _GRAMS + hashed)[whole]] = True
-        at = np.flatnonzero(flags)
+        at = _distinct((row << GRAM_BITS | hashed)[whole], n)
         found.append((at >> GRAM_BITS) * SIZE + (at & (_GRAMS - 1)))
     words = Words(raw, offsets, NOT_BLANK)
     if len(words.starts):
@@ -197,7 +204,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     own = ids_and_text(docs)
-    return own.select("doc_id", "text", (fold(4) == 2).alias("held_out")).mapInArrow(run, SCHEMA)
+    return own.select("doc_id", "text", (fold(4) == 2).alias("held_out")).mapInArrow(frugal(run), SCHEMA)
 
 
 def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
@@ -208,7 +215,7 @@ def accepted(docs: DataFrame, model: Model, cut: float = CUT) -> DataFrame:
         for batch in slices(batches, "text"):
             yield batch.filter(pa.array(shared.value.scores(*grams(batch), batch.num_rows) >= cut))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
