@@ -1,9 +1,12 @@
-"""GIF media columns: bytes stored as the pixels of GIF frames, and a decoder with frames, timing and colour histograms.
+"""GIF media columns: bytes stored as the pixels of timed GIF frames, and a decoder with palettes, disposal and transparency.
 
-`encode` writes a GIF89a whose grey palette makes every sample its own colour index. Its code streams are literal: 9-bit
-codes with a clear code before the table would need a tenth bit, so packing them is array work and any GIF reader reads
-them. `decode` reads any non-interlaced or interlaced GIF: global and local palettes, code streams with growing codes and
-full tables, transparency, disposal 0-3 and delays.
+`encode` writes a GIF89a with a palette of 256 different colours (three bits of red and green, two of blue). The payload
+fills frame after frame of one screen. A pixel that shows already has the transparent index, if some byte value is free for
+it; every `KEY` frames the screen is disposed of, so a damaged frame harms few others. Each frame is a true LZW code stream.
+
+`decode` reads any GIF: global and local palettes, code streams with growing codes and full tables, interlacing,
+transparency, disposal 0-3 and delays; a truncated file gives what it holds. The stored bytes are read back from the colours
+of the rendered screen, so a wrong code, palette, disposal or transparency would show in them.
 
 The stream decoder copies no strings. Entry j of the LZW table is the output of code j and the first byte of the next one,
 which stand next to each other in the output itself. So each output byte points to an earlier one or is a literal, and
@@ -15,38 +18,71 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from briarlake.llm._arrow import slices, text_bytes
+from briarlake.llm._arrow import frugal, slices, text_bytes
 from briarlake.llm._store import ids_and_text
 
-WIDTH = 64
-#: Rows of one frame; longer payloads continue in the next frame.
-FRAME_ROWS = 16384
+WIDTH, FRAME_ROWS = 64, 128
 DELAY = 10
-#: Literals between clear codes: the table then never passes 511 entries.
-RUN = 254
+#: Frames between two empty screens.
+KEY = 16
+#: Codes between clear codes: as many as fill the table of 4096 entries.
+RUN = 3839
 _CLEAR, _END = 256, 257
-_GREY = np.repeat(np.arange(256, dtype=np.uint8), 3).tobytes()
+_INDEX = np.arange(256)
+PALETTE = np.stack([(_INDEX >> 5) * 36, (_INDEX >> 2 & 7) * 36, (_INDEX & 3) * 85], axis=1).astype(np.uint8)
+#: Classes of a colour histogram: two bits of each channel.
+BINS = 64
 SCHEMA = (
     "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, "
     "media_sha256 string, feature string, n_frames int, duration_cs long, histogram array<long>"
 )
+FRAMES = "id long, frame int, begin_cs long, delay_cs int, disposal int, left int, top int, width int, height int, histogram array<long>"
+
+
+def _codes_of(pixels: bytes) -> np.ndarray:
+    """The LZW codes of pixels, without clear and end codes; the table starts anew behind every RUN codes."""
+    out: list[int] = []
+    add, table, following, rest = out.append, {}, _END + 1, iter(pixels)
+    last = next(rest)
+    for c in rest:
+        key = last << 8 | c
+        if key in table:
+            last = table[key]
+            continue
+        add(last)
+        last = c
+        if following < 4096:
+            table[key] = following
+            following += 1
+        else:
+            table, following = {}, _END + 1
+    add(last)
+    return np.array(out, np.uint16)
 
 
-def _literal_stream(pixels: np.ndarray) -> bytes:
-    n = len(pixels)
+def _stream(pixels: bytes) -> bytes:
+    """The code stream of 8-bit pixels: a code's width follows from its place behind the last clear code."""
+    plain = _codes_of(pixels)
+    n = len(plain)
     groups = -(-n // RUN)
     codes = np.full(n + groups + 1, _CLEAR, np.uint16)
     at = np.arange(n)
-    codes[at + at // RUN + 1] = pixels
+    codes[at + at // RUN + 1] = plain
     codes[-1] = _END
-    bits = ((codes[:, None] >> np.arange(9, dtype=np.uint16)) & 1).astype(np.uint8)
-    return np.packbits(bits.ravel(), bitorder="little").tobytes()
+    place = np.arange(-1, len(codes) - 1) % (RUN + 1)
+    width = np.clip(np.frexp((_END + place).astype(np.float64))[1], 9, 12)
+    width[0] = 9
+    width[1 + RUN :: RUN + 1] = 12  # a clear code behind a full table
+    bits = (codes[:, None] >> np.arange(12, dtype=np.uint16)) & 1
+    return np.packbits(bits[np.arange(12) < width[:, None]].astype(np.uint8), bitorder="little").tobytes()
 
 
 def _sub_blocks(data: bytes) -> bytes:
@@ -62,15 +98,23 @@ def encode(payload: bytes, width: int = WIDTH, frame_rows: int = FRAME_ROWS, del
     """A GIF of the payload, whose length is a positive multiple of width."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
     height = min(len(rows), frame_rows)
-    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), _GREY]
-    for lo in range(0, len(rows), frame_rows):
+    free = np.flatnonzero(np.bincount(rows.ravel(), minlength=256) == 0)
+    clear = int(free[-1]) if len(free) else -1
+    out = [b"GIF89a", struct.pack("<HHBBB", width, height, 0xF7, 0, 0), PALETTE.tobytes()]
+    shown = None
+    for k, lo in enumerate(range(0, len(rows), frame_rows)):
         part = rows[lo : lo + frame_rows]
+        drawn = part
+        if shown is not None and clear >= 0:
+            drawn = np.where(part == shown[: len(part)], np.uint8(clear), part)
+        last = k % KEY == KEY - 1
         out += [
-            b"\x21\xf9\x04" + struct.pack("<BHB", 0x04, delay, 0) + b"\0",
+            b"\x21\xf9\x04" + struct.pack("<BHB", (2 if last else 1) << 2 | (clear >= 0), delay, max(clear, 0)) + b"\0",
             b"\x2c" + struct.pack("<HHHHB", 0, 0, width, len(part), 0),
             b"\x08",
-            _sub_blocks(_literal_stream(part.ravel())),
+            _sub_blocks(_stream(drawn.tobytes())),
         ]
+        shown = None if last else part
     return b"".join([*out, b"\x3b"])
 
 
@@ -139,9 +183,6 @@ def _expand(codes: np.ndarray, clear: int) -> np.ndarray:
 def _pixels(data: bytes, low: int, n: int) -> np.ndarray:
     """n colour indices of a code stream; what a broken stream lacks is 0."""
     raw, clear, end = np.frombuffer(data, np.uint8), 1 << low, (1 << low) + 1
-    plain = _literal_pixels(raw, n) if low == 8 else None
-    if plain is not None:
-        return plain
     out, got, at, ended = [], 0, 0, False
     while not ended and got < n:
         codes, at, ended = _codes(raw, low, clear, end, at)
@@ -152,26 +193,10 @@ def _pixels(data: bytes, low: int, n: int) -> np.ndarray:
     return np.concatenate([found, np.zeros(n - len(found), np.uint8)])
 
 
-def _literal_pixels(raw: np.ndarray, n: int) -> np.ndarray | None:
-    """A stream of 9-bit literals with a clear code before every RUN of them decodes by unpacking alone; None for others."""
-    count = n + -(-n // RUN) + 1
-    if len(raw) != (count * 9 + 7) // 8:
-        return None
-    bits = np.unpackbits(raw, count=count * 9, bitorder="little").reshape(count, 9)
-    codes = np.packbits(bits[:, :8], axis=1, bitorder="little").ravel()
-    high = bits[:, 8]
-    at = np.arange(count)
-    clear = at % (RUN + 1) == 0
-    clear[-1] = False
-    expected = clear.astype(np.uint8)
-    expected[-1] = 1
-    if not np.array_equal(high, expected) or codes[clear].any() or codes[-1] != 1:
-        return None
-    return codes[(at % (RUN + 1) != 0) & (at < count - 1)] if (count - 1) % (RUN + 1) else codes[:-1][at[:-1] % (RUN + 1) != 0]
-
-
 @dataclass
 class Frame:
+    """A frame as stored, and the RGBA screen that a viewer shows with it."""
+
     delay: int
     disposal: int
     transparent: int
@@ -179,124 +204,150 @@ class Frame:
     top: int
     index: np.ndarray
     palette: np.ndarray
-    canvas: np.ndarray | None = None
+    canvas: np.ndarray
+
+    def colours(self) -> np.ndarray:
+        """Red, green and blue of the frame's part of the screen."""
+        h, w = self.index.shape
+        return self.canvas[self.top : self.top + h, self.left : self.left + w, :3]
+
 
+def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
+    """The data of the sub-blocks at a place, and the place behind them."""
+    out = []
+    while at < len(data) and data[at]:
+        out.append(data[at + 1 : at + 1 + data[at]])
+        at += data[at] + 1
+    return b"".join(out), at + 1
 
-def decode(data: bytes, render: bool = True) -> list[Frame]:
-    """The frames of a GIF; with render, each has the RGBA canvas that a viewer shows. A truncated file gives what it holds."""
+
+def decode(data: bytes) -> Iterator[Frame]:
+    """The frames of a GIF, one at a time. Bytes that are no GIF have none."""
     if data[:3] != b"GIF" or len(data) < 13:
-        return []
+        return
     width, height, flags = struct.unpack("<HHB", data[6:11])
     at, common = 13, np.zeros((0, 3), np.uint8)
+
+    def palette(at: int, size: int) -> np.ndarray:
+        return np.frombuffer(data[at : at + 3 * size].ljust(3 * size, b"\0"), np.uint8).reshape(-1, 3)
+
     if flags & 0x80:
         size = 2 << (flags & 7)
-        common = np.frombuffer(data[at : at + 3 * size].ljust(3 * size, b"\0"), np.uint8).reshape(-1, 3)
-        at += 3 * size
-    canvas = np.zeros((height, width, 4), np.uint8) if render else None
-    frames, delay, disposal, transparent = [], 0, 0, -1
-
-    def blocks(at: int) -> tuple[bytes, int]:
-        end, lengths = at, 0
-        while end < len(data) and data[end]:
-            end += data[end] + 1
-            lengths += 1
-        body = data[at : min(end, len(data))]
-        if lengths > 1 and all_full(body, lengths):
-            whole = len(body) // 256
-            a = np.frombuffer(body, np.uint8, whole * 256).reshape(whole, 256)[:, 1:].tobytes()
-            return a + body[whole * 256 + 1 :], end + 1
-        out, p = [], 0
-        while p < len(body):
-            out.append(body[p + 1 : p + 1 + body[p]])
-            p += body[p] + 1
-        return b"".join(out), end + 1
-
-    def all_full(body: bytes, count: int) -> bool:
-        return len(body) > 256 * (count - 1) and not (np.frombuffer(body, np.uint8)[: 256 * (count - 1) : 256] != 255).any()
-
+        common, at = palette(at, size), at + 3 * size
+    canvas = np.zeros((height, width, 4), np.uint8)
+    delay, disposal, transparent = 0, 0, -1
     while at < len(data):
         kind = data[at]
         if kind == 0x21 and at + 2 < len(data):
-            body, behind = blocks(at + 2)
+            body, behind = _blocks(data, at + 2)
             if data[at + 1] == 0xF9 and len(body) >= 4:
                 packed, delay, index = struct.unpack("<BHB", body[:4])
                 disposal, transparent = packed >> 2 & 7, index if packed & 1 else -1
             at = behind
         elif kind == 0x2C and at + 11 <= len(data):
             left, top, w, h, packed = struct.unpack("<HHHHB", data[at + 1 : at + 10])
-            at, palette = at + 10, common
+            at, own = at + 10, common
             if packed & 0x80:
                 size = 2 << (packed & 7)
-                palette = np.frombuffer(data[at : at + 3 * size].ljust(3 * size, b"\0"), np.uint8).reshape(-1, 3)
-                at += 3 * size
-            if at >= len(data):
-                break
+                own, at = palette(at, size), at + 3 * size
+            if at >= len(data) or not 1 <= data[at] <= 11:
+                return
             low = data[at]
-            body, at = blocks(at + 1)
-            if not 1 <= low <= 11:
-                break
+            body, at = _blocks(data, at + 1)
             index = _pixels(body, low, w * h).reshape(h, w)
             if packed & 0x40:
                 rows = np.concatenate([np.arange(a, h, b) for a, b in ((0, 8), (4, 8), (2, 4), (1, 2))])
                 plain = np.empty_like(index)
                 plain[rows] = index
                 index = plain
-            frame = Frame(delay, disposal, transparent, left, top, index, palette)
-            if render:
-                before = canvas.copy() if disposal == 3 else None
-                box = (slice(top, min(top + h, height)), slice(left, min(left + w, width)))
-                shown = index[: max(0, min(h, height - top)), : max(0, min(w, width - left))]
-                colours = np.full((256, 4), 255, np.uint8)
-                colours[: len(palette), :3] = palette
-                colours[len(palette) :, :3] = 0
-                area = canvas[box]
-                area[:] = np.where((shown == transparent)[..., None], area, colours[shown])
-                frame.canvas = canvas.copy()
-                if disposal == 2:
-                    area[:] = 0
-                elif disposal == 3:
-                    canvas = before
-            frames.append(frame)
+            before = canvas.copy() if disposal == 3 else None
+            shown = index[: max(0, height - top), : max(0, width - left)]
+            colours = np.zeros((256, 4), np.uint8)
+            colours[: len(own), :3] = own
+            colours[:, 3] = 255
+            area = canvas[top : top + h, left : left + w]
+            area[:] = np.where((shown == transparent)[..., None], area, colours[shown])
+            yield Frame(delay, disposal, transparent, left, top, index, own, canvas.copy())
+            if disposal == 2:
+                area[:] = 0
+            elif disposal == 3:
+                canvas = before
             delay, disposal, transparent = 0, 0, -1
         else:
-            break
-    return frames
+            return
+
+
+def histogram(frame: Frame) -> np.ndarray:
+    """Pixels of the frame's part of the screen by colour, two bits of each channel."""
+    c = frame.colours().reshape(-1, 3).astype(np.int64) >> 6
+    return np.bincount(c[:, 0] << 4 | c[:, 1] << 2 | c[:, 2], minlength=BINS)
+
+
+def _bytes_of(frame: Frame) -> bytes:
+    """The bytes whose colours in PALETTE the frame shows."""
+    c = frame.colours()
+    return ((c[..., 0] // 36) << 5 | (c[..., 1] // 36) << 2 | c[..., 2] // 85).astype(np.uint8).tobytes()
+
+
+def timed_frames(media: DataFrame) -> DataFrame:
+    """A row per frame of rows (id, gif binary): when it shows, for how long, its place and its colours. Null and broken ones have none."""
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in FRAMES.split(", ")]
+
+    def run(batches):
+        for batch in slices(batches, "gif"):
+            rows: list[tuple] = []
+            for id_, gif in zip(batch.column("id").to_pylist(), batch.column("gif").to_pylist(), strict=True):
+                begin = 0
+                for k, f in enumerate(decode(gif or b"")):
+                    h, w = f.index.shape
+                    rows.append((id_, k, begin, f.delay, f.disposal, f.left, f.top, w, h, histogram(f).tolist()))
+                    begin += f.delay
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
+
+    return media.select(F.col("id").cast("long").alias("id"), F.col("gif").cast("binary").alias("gif")).mapInArrow(frugal(run), FRAMES)
+
+
+def as_gif(docs: DataFrame) -> DataFrame:
+    """(id, gif) of every text: its UTF-8 bytes and zeros up to a positive multiple of 64. Null is as empty."""
+
+    def run(batches):
+        for batch in slices(batches, "text"):
+            raw, offsets = text_bytes(batch.column("text"))
+            gifs = [encode(_padded(raw[a:b].tobytes())) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(gifs, pa.binary())], ["id", "gif"])
+
+    return ids_and_text(docs).mapInArrow(frugal(run), "id long, gif binary")
 
 
-def histogram(frames: list[Frame], bins: int = 8) -> np.ndarray:
-    """Pixels of all frames by grey level (mean of red, green and blue through the palette), in `bins` equal classes."""
-    out = np.zeros(bins, np.int64)
-    for f in frames:
-        grey = np.zeros(256, np.int64)
-        grey[: len(f.palette)] = f.palette.astype(np.int64).sum(axis=1) // 3
-        np.add.at(out, grey * bins // 256, np.bincount(f.index.ravel(), minlength=256))
-    return out
+def _padded(data: bytes) -> bytes:
+    return data.ljust(max(WIDTH, -(-len(data) // WIDTH) * WIDTH), b"\0")
 
 
 def stored(docs: DataFrame) -> DataFrame:
     """Every text as a GIF, read back from the stored bytes. Null is as empty: 64 zero bytes. Equal texts give equal rows."""
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
+    names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+    def row(data: bytes) -> tuple:
+        media = encode(_padded(data))
+        digest, tail, size, frames, shown, colours = hashlib.sha256(), b"", 0, 0, 0, np.zeros(BINS, np.int64)
+        for f in decode(media):
+            back = _bytes_of(f)
+            digest.update(back)
+            size, tail = size + len(back), (tail + back)[-64:]
+            frames, shown, colours = frames + 1, shown + f.delay, colours + histogram(f)
+        feature = f"{frames}x{WIDTH}:" + ",".join(map(str, colours.tolist()))
+        return len(data), size, digest.hexdigest(), zlib.crc32(tail), len(media), hashlib.sha256(media).hexdigest(), feature, frames, shown, colours.tolist()
 
     def run(batches):
         for batch in slices(batches, "text"):
             raw, offsets = text_bytes(batch.column("text"))
-            data, cols = raw.tobytes(), [[] for _ in range(10)]
-            for lo, hi in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-                n = hi - lo
-                media = encode(data[lo:hi].ljust(max(64, -(-n // 64) * 64), b"\0"))
-                frames = decode(media, render=False)
-                back = b"".join(f.index.tobytes() for f in frames)
-                h = histogram(frames)
-                row = (
-                    n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(),
-                    f"{len(frames)}x{WIDTH}:" + ",".join(map(str, h.tolist())), len(frames), sum(f.delay for f in frames), h.tolist(),
-                )
-                for c, v in zip(cols, row, strict=True):
-                    c.append(v)
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.int64(), pa.list_(pa.int64())]
-            names = [x.split()[0] for x in SCHEMA.split(", ")]
+            cols = list(zip(*(row(raw[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)), strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names)
 
-    return ids_and_text(docs).mapInArrow(run, SCHEMA)
+    return ids_and_text(docs).mapInArrow(frugal(run), SCHEMA)
 
 
 def op8_media_gif(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -586,13 +586,56 @@ def test_lzw_streams_of_a_plain_encoder(deferred):
     assert len(media_gif._pixels(b"\xff\x00", 8, 10)) == 10
 
 
-def test_gif_round_trip_and_frames():
+def test_own_lzw_streams_are_those_of_a_plain_encoder():
+    rng = np.random.default_rng(2)
+    for n in (1, 2, 254, 255, 256, 257, 300, 600, 5000, 40_000):
+        for high in (2, 30, 256):
+            pixels = rng.integers(0, high, n, dtype=np.uint8)
+            data = media_gif._stream(pixels.tobytes())
+            plain = _lzw(pixels.tolist(), 8)
+            # the width of the end code alone is told differently at the edge of a table
+            assert data[:-3] == plain[: len(data) - 3] and abs(len(data) - len(plain)) <= 1
+            assert np.array_equal(media_gif._pixels(data, 8, n), pixels)
+
+
+def test_gif_round_trip_and_frames(monkeypatch):
     rng = np.random.default_rng(3)
-    for n in (64, 128, 64 * 254, 64 * 300, 64 * 16384 + 64):
-        payload = rng.integers(0, 256, n, dtype=np.uint8).tobytes()
-        frames = media_gif.decode(media_gif.encode(payload), render=False)
-        assert b"".join(f.index.tobytes() for f in frames) == payload
-        assert media_gif.histogram(frames).sum() == n and all(f.delay == media_gif.DELAY for f in frames)
+    frame = media_gif.WIDTH * media_gif.FRAME_ROWS
+    for n in (64, 128, 64 * 254, 64 * 300, frame, frame + 64, 20 * frame + 640):
+        for high in (256, 3):
+            payload = rng.integers(0, high, n, dtype=np.uint8).tobytes()
+            media = media_gif.encode(payload)
+            frames = list(media_gif.decode(media))
+            assert b"".join(map(media_gif._bytes_of, frames)) == payload
+            assert sum(media_gif.histogram(f).sum() for f in frames) == n and all(f.delay == media_gif.DELAY for f in frames)
+            assert [f.disposal for f in frames] == [2 if k % media_gif.KEY == media_gif.KEY - 1 else 1 for k in range(len(frames))]
+            # the bytes come from the screen: indices alone are not the payload once pixels are transparent
+            if high == 3 and len(frames) > 1:
+                assert b"".join(f.index.tobytes() for f in frames) != payload
+    expand, calls = media_gif._expand, []
+    monkeypatch.setattr(media_gif, "_expand", lambda *a: calls.append(1) or expand(*a))
+    list(media_gif.decode(media_gif.encode(b"a" * 64)))
+    assert calls
+
+
+def test_gif_query_columns_against_plain_code(spark):
+    rng = random.Random(11)
+    texts = ["", None, "é", "x" * 64, "y" * 65, "".join(rng.choice("abc é\n") for _ in range(70_000)), "\0", "x" * 64]
+    got = {r.doc_id: r for r in media_gif.stored(docs(spark, list(enumerate(texts)))).collect()}
+    gifs = {r.id: bytes(r.gif) for r in media_gif.as_gif(docs(spark, list(enumerate(texts)))).collect()}
+    for i, t in enumerate(texts):
+        data = (t or "").encode()
+        payload = data + bytes(-len(data) % 64 if data else 64)
+        r, bins = got[i], [0] * 64
+        for x in payload:
+            red, green, blue = (x >> 5) * 36, (x >> 2 & 7) * 36, (x & 3) * 85
+            bins[(red >> 6) * 16 + (green >> 6) * 4 + (blue >> 6)] += 1
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(gifs[i]), hashlib.sha256(gifs[i]).hexdigest())
+        assert r.histogram == bins and r.n_frames == -(-len(payload) // 8192) and r.feature == f"{r.n_frames}x64:" + ",".join(map(str, bins))
+    assert got[3][1:] == got[7][1:]
+    rows = media_gif.timed_frames(spark.createDataFrame([(1, gifs[5]), (2, None), (3, b"no"), (1, gifs[3])], "id long, gif binary")).collect()
+    assert len(rows) == got[5].n_frames + 1 and [r.begin_cs for r in rows][:3] == [0, 10, 20] and [sum(x) for x in zip(*(r.histogram for r in rows[:-1]), strict=True)] == got[5].histogram
 
 
 def test_gif_disposal_transparency_and_interlacing():
@@ -608,12 +651,12 @@ def test_gif_disposal_transparency_and_interlacing():
     palette = bytes([0, 0, 0, 255, 0, 0, 0, 255, 0, 0, 0, 255])
     head = b"GIF89a" + struct.pack("<HHBBB", 2, 4, 0x81, 0, 0) + palette
     data = head + frame([1] * 8, 2, 4, disposal=1) + frame([2, 3], 2, 1, top=1, disposal=2, transparent=3) + frame([3], 1, 1, disposal=3) + frame([0, 0, 1, 1, 2, 2, 3, 3], 2, 4, interlaced=1) + b"\x3b"
-    f = media_gif.decode(data)
+    f = list(media_gif.decode(data))
     assert [x.delay for x in f] == [7] * 4
     assert f[1].canvas[1, 0].tolist() == [0, 255, 0, 255] and f[1].canvas[1, 1].tolist() == [255, 0, 0, 255]
     assert f[2].canvas[1, 0].tolist() == [0, 0, 0, 0] and f[2].canvas[0, 0].tolist() == [0, 0, 255, 255]
     assert f[3].index[:, 0].tolist() == [0, 2, 1, 3]
-    assert media_gif.decode(b"no gif") == [] and len(media_gif.decode(data[:60])) <= 4
+    assert not list(media_gif.decode(b"no gif")) and len(list(media_gif.decode(data[:60]))) <= 4
 
 
 # --- 9 quality
