@@ -515,6 +515,51 @@ def test_disclosing_terms_of_copies_and_scripts(spark):
     assert len(clean) == len(rows) and "Ольга" not in clean[9000] and clean[5] == dict(rows)[5]
 
 
+def test_spans_against_plain_counts(spark):
+    """All columns of the query against a plain version of the disclosure rule."""
+    import math
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfg") + rng.choice("aeiouÉ") for _ in range(3))
+    names = [word() + "mark" for _ in range(6)]
+    rows = [(i, " ".join(word() for _ in range(25))) for i in range(120)]
+    for k, name in enumerate(names):
+        for i in range(3 + k):
+            rows.append((1000 + 50 * k + i, f"{word()} 7_{name.title()}9 {word()} user{k}@corp.example, {word()} 10.0.0.{k} {word()} the end {name if i % 2 else ''}"))
+    rows += [(5000, f"{names[0]} again; {names[2].upper()}"), (5001, f"see {names[1]}@corp.example {names[1]}"), (5001, f"see {names[1]}@corp.example {names[1]}"), (5002, None), (5003, "")]
+    texts = [t or "" for _, t in rows]
+    term = re.compile(r"[^\W\d_]+")
+    held, near, n = {}, {}, len(texts)
+    for i, t in enumerate(texts):
+        for e, window, terms in pii.contexts(t, _plain_spans(t)):
+            held.setdefault(e, set()).add(i)
+            for x in terms:
+                near.setdefault((e, x), []).append((i, window))
+    level = {}
+    for (e, x), seen in near.items():
+        if len({w for _, w in seen}) >= pii.SUPPORT and len(held[e]) < n:
+            nt, w, ne = sum(x in {m.lower() for m in term.findall(t)} for t in texts), len({i for i, _ in seen}), len(held[e])
+            d = math.log(n * w / (ne * nt)) / math.log(n / ne)
+            if d >= pii.GENERALISE:
+                level[x] = max(level.get(x, 0), d)
+    assert len(level) >= 5
+    want = []
+    for (i, _), t in zip(rows, texts, strict=True):
+        base = _plain_spans(t)
+        more = [("removed" if level[m[0].lower()] >= pii.REMOVE else "generalised", m.start(), m.end()) for m in term.finditer(t)
+                if m[0].lower() in level and not any(a < m.end() and m.start() < b for _, a, b in base)]
+        told = [",".join(f"{k}:{a}:{b}" for k, a, b in x) for x in (base, base + sorted(more))]
+        want.append((i, *(sum(k == b[0] for b in base) for k in pii.KINDS), hashlib.sha256(told[0].encode()).hexdigest(), told[1], len(base) + len(more)))
+    assert sorted(tuple(r) for r in pii.spans(docs(spark, rows)).collect()) == sorted(want)
+    # columns that the operator itself uses, and repeated rows
+    table = docs(spark, rows).selectExpr("*", "1 as terms", "2 as key", "3 as more", "4 as told", "5 as _key")
+    clean = pii.sanitised(table)
+    out = clean.collect()
+    assert clean.columns == table.columns and len(out) == len(rows) and all((r.terms, r.key, r.more, r.told, r._key) == (1, 2, 3, 4, 5) for r in out)
+    left = " ".join(r.text or "" for r in out).lower()
+    assert not any(x in term.findall(left) for x in level) and "@" not in left
+
+
 # --- 7 main text
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var a="</p><p>no</p>";</script></head><body><header class="top"><h1>Site name</h1></header>
