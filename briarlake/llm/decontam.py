@@ -2,26 +2,29 @@
 
 Every slice of a partition is a shard. Its suffix array is sparse: only suffixes are kept that begin with the first words
 of some benchmark window (no other suffix can match one), sorted by their first `window` words. Every benchmark suffix is
-then binary-searched in it; equal ranges give the verbatim matches with their places, and consecutive hits on a diagonal
-join to the longest match. Shards are independent, so nothing is shuffled and a lost executor costs its own shards only.
-
-The benchmark travels in blocks of a fixed number of bytes (`BLOCK_BYTES`), each its own broadcast; workers take one block
-at a time. Words are compared by 64-bit hashes. Null and empty texts have no words and are never hit; null item ids are
-left out of the digest but their windows count as hits; repeated items count once per distinct id.
+then binary-searched in it; the equal range gives its verbatim matches with their places. Matches that follow one another
+in document and item alike are one longest match: the words inside longest matches are hit, and their items are found.
+Shards are independent, so nothing is shuffled and a lost executor costs its own shards only.
+
+The benchmark travels in blocks of a fixed number of bytes (`BLOCK_BYTES`), one at a time: each block is broadcast, searched
+in one pass over all shards, and given back. What the passes of several blocks find is joined by document. Words are
+compared by 64-bit hashes. Null and empty texts have no words and are never hit; null item ids are left out of the digest
+but their windows count as hits; repeated items count once per distinct id.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briarlake.llm._arrow import ALNUM, SLICE_BYTES, Words, mix, slices, text_bytes
-from briarlake.llm._store import ids_and_text
+from briarlake.llm._arrow import ALNUM, Words, frugal, mix, slices, text_bytes
+from briarlake.llm._store import Scratch, ids_and_text, unused, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast block.
@@ -103,30 +106,32 @@ class Block:
                 w = windows[bounds[k] : bounds[k + 1]]
                 yield own[lo[k] : hi[k]], self.owner[w], self.place[w], size
 
-
-def _blocks(benchmark: DataFrame, size: int) -> list:
-    """Broadcasts of benchmark blocks; the driver holds one block at a time."""
-    sc, out, now, held = benchmark.sparkSession.sparkContext, [], [], 0
+    def longest(self, h: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The longest matches in a shard: shard place, owner, item place and words of each."""
+        found = [(np.repeat(p, len(o)), np.tile(o, len(p)), np.tile(j, len(p)), np.full(len(p) * len(o), size)) for p, o, j, size in self.search(h, left)]
+        if not found:
+            return (np.zeros(0, np.int64),) * 4
+        p, o, j, size = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((p, p - j, o))
+        p, o, j, size = p[order], o[order], j[order], size[order]
+        new = np.ones(len(p), bool)
+        new[1:] = (o[1:] != o[:-1]) | (j[1:] != j[:-1] + 1) | (p[1:] != p[:-1] + 1)
+        lead = np.flatnonzero(new)
+        return p[lead], o[lead], j[lead], size[lead] + np.diff(np.append(lead, len(p))) - 1
+
+
+def _block_rows(benchmark: DataFrame, size: int) -> Iterator[list[tuple[str | None, str | None]]]:
+    """The benchmark's items in blocks; the driver holds one block at a time. There is always one."""
+    now, held, any_ = [], 0, False
     rows = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").cast("string").alias("t"))
     for r in rows.toLocalIterator():
         now.append((r.i, r.t))
         held += len(r.t or "")
         if held >= size:
-            out.append(sc.broadcast(now))
-            now, held = [], 0
-    if now:
-        out.append(sc.broadcast(now))
-    return out
-
-
-def _prepared(block) -> Block:
-    """A worker keeps the block it used last."""
-    if _KEPT.get("block_of") is not block:
-        _KEPT.update(block_of=block, block=Block(block.value))
-    return _KEPT["block"]
-
-
-_KEPT: dict = {}
+            yield now
+            now, held, any_ = [], 0, True
+    if now or not any_:
+        yield now
 
 
 def _shard(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -137,97 +142,161 @@ def _shard(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words.hash, words.bounds, left
 
 
-def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: words, words inside benchmark windows, the items found; see the module's text for odd cases."""
-    blocks = _blocks(benchmark, BLOCK_BYTES)
+def _pairs(block: Block, bounds: np.ndarray, p: np.ndarray, o: np.ndarray, n: int) -> list[list[str]]:
+    """The items found in each text, distinct, in order."""
+    found: list[set] = [set() for _ in range(n)]
+    rows = np.searchsorted(bounds, p, "right") - 1
+    for pair in np.unique(rows << 32 | o).tolist():
+        if block.ids[pair & 0xFFFFFFFF] is not None:
+            found[pair >> 32].add(block.ids[pair & 0xFFFFFFFF])
+    return [sorted(x) for x in found]
+
+
+def _told(doc_ids: pa.Array, words: np.ndarray, hits: np.ndarray, names: list[list[str]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [
+            doc_ids,
+            pa.array(words, pa.int64()),
+            pa.array(hits, pa.int64()),
+            pa.array([len(x) for x in names], pa.int64()),
+            pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
+            pa.array(hits > 0, pa.bool_()),
+        ],
+        ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    )
+
+
+def _scan_block(own: DataFrame, shared) -> DataFrame:
+    """The whole result where the benchmark is one block."""
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
+        block = Block(shared.value)
+        for batch in slices(batches, "text"):
             h, bounds, left = _shard(batch)
-            n = batch.num_rows
+            p, o, _, size = block.longest(h, left)
             hit = np.zeros(len(h) + 1, np.int64)
-            found: list[set] = [set() for _ in range(n)]
-            for b in blocks:
-                block = _prepared(b)
-                for places, owners, _, size in block.search(h, left):
-                    np.add.at(hit, places, 1)
-                    np.add.at(hit, places + size, -1)
-                    names = {block.ids[o] for o in owners.tolist()}
-                    for d in np.unique(np.searchsorted(bounds, places, "right") - 1).tolist():
-                        found[d] |= names
+            np.add.at(hit, p, 1)
+            np.add.at(hit, p + size, -1)
             covered = np.concatenate([[0], np.cumsum(np.cumsum(hit[:-1]) > 0)])
-            hits = covered[bounds[1:]] - covered[bounds[:-1]]
-            names = [sorted(x for x in f if x is not None) for f in found]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"),
-                    pa.array(np.diff(bounds), pa.int64()),
-                    pa.array(hits, pa.int64()),
-                    pa.array([len(x) for x in names], pa.int64()),
-                    pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() for x in names], pa.string()),
-                    pa.array(hits > 0, pa.bool_()),
-                ],
-                ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            yield _told(batch.column("doc_id"), np.diff(bounds), covered[bounds[1:]] - covered[bounds[:-1]], _pairs(block, bounds, p, o, batch.num_rows))
 
-    return ids_and_text(docs).mapInArrow(run, SCHEMA)
+    return own.mapInArrow(frugal(run), SCHEMA)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The longest verbatim matches: windows that follow one another in document and item alike are one match."""
-    blocks = _blocks(benchmark, BLOCK_BYTES)
+def _found_in_block(own: DataFrame, shared) -> DataFrame:
+    """(key, items, spans) of rows (key, text) that hold a window of the block; spans: (first word, word behind)."""
+    span = pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
+        block = Block(shared.value)
+        for batch in slices(batches, "text"):
             h, bounds, left = _shard(batch)
-            ids, rows = batch.column("doc_id").to_pylist(), []
-            for b in blocks:
-                block = _prepared(b)
-                hits = [
-                    (o, p - int(j), int(p), int(j), size)
-                    for places, owners, item_places, size in block.search(h, left)
-                    for o, j in zip(owners.tolist(), item_places.tolist(), strict=True)
-                    for p in places.tolist()
-                ]
-                hits.sort()
-                run_of = None
-                for o, diagonal, p, j, size in hits:
-                    d = int(np.searchsorted(bounds, p, "right")) - 1
-                    if run_of and run_of[:3] == [o, diagonal, d] and p == run_of[6] + 1:
-                        run_of[6], run_of[5] = p, run_of[5] + 1
-                        continue
-                    if run_of:
-                        rows.append(run_of)
-                    run_of = [o, diagonal, d, p, j, size, p]
-                if run_of:
-                    rows.append(run_of)
-                rows = [r if len(r) == 5 else (ids[r[2]], block.ids[r[0]], r[3] - int(bounds[r[2]]), r[4], r[5]) for r in rows]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            p, o, _, size = block.longest(h, left)
+            spans: list[list] = [[] for _ in range(batch.num_rows)]
+            row = np.searchsorted(bounds, p, "right") - 1
+            for r, s, e in zip(row.tolist(), (p - bounds[row]).tolist(), (p - bounds[row] + size).tolist(), strict=True):
+                spans[r].append({"s": s, "e": e})
+            items = _pairs(block, bounds, p, o, batch.num_rows)
+            held = [i for i, x in enumerate(spans) if x]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()], strict=True)],
-                ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
+                [batch.column("key").take(pa.array(held, pa.int64())), pa.array([items[i] for i in held], pa.list_(pa.string())), pa.array([spans[i] for i in held], span)],
+                ["key", "items", "spans"],
             )
 
-    return ids_and_text(docs).mapInArrow(run, MATCHES)
+    return own.select("key", "text").mapInArrow(frugal(run), "key long, items array<string>, spans array<struct<s:long,e:long>>")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark window; columns, rows and order of partitions stay.
+def _joined(own: DataFrame, found: DataFrame) -> DataFrame:
+    """The result from what several blocks gave."""
+
+    def count(batches):
+        for batch in slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(np.diff(_shard(batch)[1]), pa.int64())], ["doc_id", "key", "n_words"])
+
+    def tell(batches):
+        for batch in batches:
+            hits = []
+            for spans in batch.column("spans").to_pylist():
+                end = total = 0
+                for s, e in sorted((x["s"], x["e"]) for x in spans or ()):
+                    total += max(0, e - max(s, end))
+                    end = max(end, e)
+                hits.append(total)
+            yield _told(batch.column("doc_id"), batch.column("n_words").to_numpy(), np.array(hits, np.int64), [sorted(x or ()) for x in batch.column("items").to_pylist()])
+
+    each = found.distinct().groupBy("key").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    words = own.mapInArrow(frugal(count), "doc_id long, key long, n_words long")
+    return words.join(each, "key", "left").select("doc_id", "n_words", "items", "spans").mapInArrow(frugal(tell), SCHEMA)
 
-    The scan runs inside one pass over the rows, so no join is needed and rows with a null doc_id are judged too.
-    """
-    blocks, schema = _blocks(benchmark, BLOCK_BYTES), docs.schema
+
+def _each_block(own: DataFrame, benchmark: DataFrame, search, name: str) -> DataFrame:
+    """What search(own, block) gives, block by block; each pass is written and its broadcast given back."""
+    out = []
+    for rows in _block_rows(benchmark, BLOCK_BYTES):
+        with Scratch(own.sparkSession) as work:
+            out.append(written(search(own, work.broadcast(rows)), name))
+    return reduce(DataFrame.unionByName, out)
+
+
+def _one_block(benchmark: DataFrame) -> list | None:
+    """The benchmark's rows if they fit one block."""
+    blocks = _block_rows(benchmark, BLOCK_BYTES)
+    first = next(blocks)
+    return first if next(blocks, None) is None else None
+
+
+def _key():
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def scan(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Per document: words, words inside benchmark windows, the items found; see the module's text for odd cases."""
+    own, one = ids_and_text(docs), _one_block(benchmark)
+    if one is not None:
+        return _scan_block(own, docs.sparkSession.sparkContext.broadcast(one))
+    own = own.withColumn("key", _key())
+    return _joined(own, _each_block(own, benchmark, _found_in_block, "decontam-found"))
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The longest verbatim matches with their places, in words, in document and item; written."""
+
+    def search(own: DataFrame, shared) -> DataFrame:
+        def run(batches):
+            block = Block(shared.value)
+            for batch in slices(batches, "text"):
+                h, bounds, left = _shard(batch)
+                p, o, j, size = block.longest(h, left)
+                row = np.searchsorted(bounds, p, "right") - 1
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(row)), pa.array([block.ids[i] for i in o.tolist()], pa.string()), *(pa.array(x, pa.int64()) for x in (p - bounds[row], j, size))],
+                    ["doc_id", "item_id", "doc_word", "item_word", "n_words"],
+                )
+
+        return own.mapInArrow(frugal(run), MATCHES)
+
+    return _each_block(ids_and_text(docs), benchmark, search, "decontam-matches")
+
+
+def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """docs without the documents that hold a benchmark window; columns and rows stay, those with a null doc_id are judged too."""
+    one, schema = _one_block(benchmark), docs.schema
+    if one is None:
+        name = unused(docs, "key")
+        keyed = docs.withColumn(name, _key())
+        bad = _each_block(keyed.select(F.col(name).alias("key"), F.col("text").cast("string").alias("text")), benchmark, _found_in_block, "decontam-found")
+        return keyed.join(bad.select(F.col("key").alias(name)).distinct(), name, "left_anti").drop(name)
+    shared = docs.sparkSession.sparkContext.broadcast(one)
 
     def run(batches):
-        for batch in slices(batches, "text", SLICE_BYTES):
+        block = Block(shared.value)
+        for batch in slices(batches, "text"):
             h, bounds, left = _shard(batch)
             bad = np.zeros(batch.num_rows, bool)
-            for b in blocks:
-                for places, _, _, _ in _prepared(b).search(h, left):
-                    bad[np.searchsorted(bounds, places, "right") - 1] = True
+            bad[np.searchsorted(bounds, block.longest(h, left)[0], "right") - 1] = True
             yield batch.filter(pa.array(~bad))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(frugal(run), schema)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -757,8 +757,9 @@ def test_decontamination_against_brute_force(spark, monkeypatch, block):
     texts += [f"a b, {items[5][1]}! c", items[4][1].upper(), items[2][1], items[3][1] + items[3][1], None, "", "of"]
     got = {r.doc_id: tuple(r)[1:] for r in decontam.scan(docs(spark, list(enumerate(texts))), bench(spark, items)).collect()}
     assert [got[i] for i in range(len(texts))] == _decontaminated(texts, items)
-    kept = {r.doc_id for r in decontam.clean(docs(spark, list(enumerate(texts))), bench(spark, items)).collect()}
-    assert kept == {i for i in got if not got[i][-1]}
+    table = docs(spark, list(enumerate(texts))).selectExpr("*", "1 as key", "2 as spans", "3 as items")
+    clean = decontam.clean(table, bench(spark, items))
+    assert {r.doc_id for r in clean.collect()} == {i for i in got if not got[i][-1]} and clean.columns == table.columns
 
 
 def test_longest_matches(spark):
@@ -766,3 +767,7 @@ def test_longest_matches(spark):
     rows = [(1, "x y " + " ".join(f"w{i}" for i in range(5, 25)) + " z"), (2, "nothing here")]
     (m,) = decontam.longest_matches(docs(spark, rows), bench(spark, [(7, item)])).collect()
     assert (m.doc_id, m.item_id, m.doc_word, m.item_word, m.n_words) == (1, "7", 2, 5, 20)
+    # two items, one of them twice in a document, and a match that is broken by a word
+    rows = [(1, f"{item} x {item}"), (2, item.replace("w15", "w15 x"))]
+    found = sorted(tuple(r) for r in decontam.longest_matches(docs(spark, rows), bench(spark, [(7, item), (8, item + " more")])).collect())
+    assert found == sorted((1, i, at, 0, 30) for i in "78" for at in (0, 31)) + [(2, "7", 0, 0, 16), (2, "7", 17, 16, 14), (2, "8", 0, 0, 16), (2, "8", 17, 16, 14)]
