@@ -4,8 +4,8 @@ The lexicon (words and word stems) is learned from labelled texts. Each distinct
 and words exactly, then both with spelling errors, by walking the trie together with the token's Levenshtein automaton
 and leaving every branch whose states are all dead; a stem takes any token that has it, but for errors, at its start. An
 entry's length sets its errors. A token that clean labelled texts use is no misspelling.
-Each hit is weighed in its window: what stands inside quotation marks counts apart, and the words around it add the log
-ratio with which they stand near hits of toxic texts and in clean ones. A small logistic model joins the text's hits to a score.
+Each hit is weighed in its window: what stands between an opening and a closing quotation mark, however far apart, counts
+apart, and the words around it add the log ratio with which they stand near hits of toxic texts and in clean ones. A small logistic model joins the text's hits to a score.
 
 At most `PER_CLASS` labelled texts of either class are learned from; every whole text is scored. Null and empty texts have
 no hits: their score is the model's for none. Without labels of both classes every score is the share of label 1.
@@ -14,13 +14,14 @@ no hits: their score is the model's for none. Without labels of both classes eve
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from briarlake.llm._arrow import ALNUM, LOWER, Words, mix, slices, text_bytes, word_hashes
+from briarlake.llm._arrow import ALNUM, LOWER, Words, frugal, mix, slices, text_bytes, word_hashes
 from briarlake.llm._labels import fold, labelled
 from briarlake.llm._store import ids_and_text
 
@@ -33,14 +34,16 @@ RATE, PURITY = 0.01, 0.04
 STEM, FUZZY = (4, 7), 3
 #: Words this long may have two errors.
 TWO_ERRORS = 9
-#: Tokens on each side of a hit that are its context, and bytes within which quotation marks close.
-CONTEXT, QUOTE_BYTES = 4, 80
+#: Tokens on each side of a hit that are its context.
+CONTEXT = 4
+#: Distinct tokens that a worker remembers.
 CACHE = 600_000
 _BUCKETS = 4096
 #: Tokens added to both sides of a context ratio, and tokens of clean background added to the windows of clean hits.
 SHRINK, BACKGROUND = 2.0, 200.0
 _N = 7
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int, n_hits int, n_quoted int, n_misspelled int"
+#: Straight, raised, low and pointed quotation marks, single pointed ones included.
 _QUOTES = re.compile('["\u201c\u201d\u201e\u00ab\u00bb\u2039\u203a]')
 
 
@@ -182,6 +185,21 @@ def _tokens(batch: pa.RecordBatch):
     return raw, offsets, words, coded.dictionary.to_pylist(), coded.indices.to_numpy()
 
 
+def quotation_marks(text: str) -> tuple[list[int], list[bool]]:
+    """Places of the quotation marks of a text, and which of them open.
+
+    A mark behind a blank, bracket or the beginning opens if no blank follows; one behind anything else closes if a blank,
+    punctuation or the end follows. Other marks open if the last one closes, and the reverse.
+    """
+    places, opens = [], []
+    for m in _QUOTES.finditer(text):
+        before, after = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
+        led, ended = not before or before.isspace() or before in "([{", not after or not (after.isalnum() or after in "([{")
+        places.append(m.start())
+        opens.append(led if led != ended else not (opens and opens[-1]))
+    return places, opens
+
+
 def _buckets(tokens: list[bytes]) -> np.ndarray:
     sizes = np.array([len(t) for t in tokens], np.int64)
     return (word_hashes(np.frombuffer(b"".join(tokens), np.uint8), sizes) % np.uint64(_BUCKETS)).astype(np.int64) if len(sizes) else np.zeros(0, np.int64)
@@ -197,6 +215,12 @@ def _context_weights(toxic: np.ndarray, clean: np.ndarray, background: np.ndarra
     return np.clip(np.log((toxic + SHRINK) / (toxic.sum() * share + SHRINK)), -1, 1)
 
 
+def _byte_places(data: bytes, places: list[int]) -> list[int]:
+    """Places in code points as places in UTF-8 bytes."""
+    first = np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80)
+    return first[places].tolist() if places else []
+
+
 class Model:
     def __init__(self, lexicon: Lexicon, strength: np.ndarray, near: np.ndarray, weight: np.ndarray):
         self.lexicon, self.strength, self.near, self.weight = lexicon, strength, near, weight
@@ -219,11 +243,15 @@ class Model:
         row = np.searchsorted(words.bounds, at, "right") - 1
         quoted = np.zeros(len(at), bool)
         buckets = []
+        of = -1
         for i, (k, r) in enumerate(zip(at.tolist(), row.tolist(), strict=True)):
-            lo, hi = int(words.starts[k]), int(words.starts[k] + words.lengths[k])
-            before = raw[max(int(offsets[r]), lo - QUOTE_BYTES) : lo].tobytes().decode("utf-8", "ignore")
-            after = raw[hi : min(int(offsets[r + 1]), hi + QUOTE_BYTES)].tobytes().decode("utf-8", "ignore")
-            quoted[i] = len(_QUOTES.findall(before)) % 2 == 1 and _QUOTES.search(after) is not None
+            if r != of:
+                of, data = r, raw[offsets[r] : offsets[r + 1]].tobytes()
+                places, opens = quotation_marks(data.decode())
+                if not data.isascii():
+                    places = _byte_places(data, places)
+            last = bisect_left(places, int(words.starts[k] - offsets[r])) - 1
+            quoted[i] = last >= 0 and opens[last] and last + 1 < len(opens) and not opens[last + 1]
             around = [*range(max(int(words.bounds[r]), k - CONTEXT), k), *range(k + 1, min(int(words.bounds[r + 1]), k + CONTEXT + 1))]
             buckets.append(_buckets([distinct[which[j]] for j in around]))
         return row, kinds[which[at], 0] if len(at) else at, kinds[which[at], 1] if len(at) else at, quoted, buckets, np.diff(words.bounds)
@@ -388,7 +416,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     own = ids_and_text(docs)
-    return own.select("doc_id", "text", (fold(5) == 0).alias("held_out")).mapInArrow(run, SCHEMA)
+    return own.select("doc_id", "text", (fold(5) == 0).alias("held_out")).mapInArrow(frugal(run), SCHEMA)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -284,6 +284,61 @@ def test_context_of_a_toxic_term_counts():
     assert f[0, 5] > 0 > f[1, 5] and m.scores(f)[0] > m.scores(f)[1] + 0.01
 
 
+def test_quotations_of_any_length():
+    m = toxicity.Model(toxicity.Lexicon(["scoundrel"], set()), np.ones(1), np.zeros(toxicity._BUCKETS), np.zeros(toxicity._N))
+    quoted = lambda t: m.hits(pa.RecordBatch.from_arrays([pa.array([t])], ["text"]))[3].tolist()
+    far = "word " * 200
+    for a, b in ('""', "“”", "„“", "»«", "‹›"):
+        assert quoted(f"é {a}{far}scoundrel {far}end{b} scoundrel") == [True, False]
+        assert quoted(f"{a}one{b} scoundrel {a}two{b}") == [False]
+        assert quoted(f"scoundrel {a}one{b} and ({a}the scoundrel{b})") == [False, True]
+    assert quoted("« un scoundrel » scoundrel « a »") == [True, False]
+    assert quoted('a 5" scoundrel') == [False] and quoted('"scoundrel') == [False] and quoted('5" and "a scoundrel" or "b"') == [True]
+
+
+def test_scores_against_plain_hits():
+    """The scores of the query against tokens, distances, windows and features in plain Python."""
+    rng = random.Random(12)
+    filler = [f"{a}{b}{c}" for a in ("lorem", "dolor", "amet") for b in "aeiou" for c in "xyz"]
+    bad = ["scoundrel", "nitwit", "blockhead", "scowndrel", "nitwits", "ScoundreL", '"nitwit"', "“blokhead”"]
+    texts = [" ".join(rng.choices(filler, k=rng.randrange(0, 80))) for _ in range(150)]
+    toxic = [" ".join(rng.sample([*rng.choices(filler, k=40), *rng.choices(bad, k=4)], 44)) for _ in range(60)]
+    m = toxicity.fit(texts + toxic, [0] * 150 + [1] * 60, 0.2)
+    lexicon = m.lexicon
+    tokens = lambda t: [(x.start(), x[0].lower()) for x in re.finditer(r"[^\W_]+", t)]
+
+    def match(t):
+        if t in lexicon.words:
+            return lexicon.words[t], 0
+        for k in lexicon.sizes:
+            if t[:k] in lexicon.stems:
+                return lexicon.stems[t[:k]], 0
+        if t in lexicon.benign:
+            return None
+        near = [(d, i) for i, x in enumerate(lexicon.entries) if (d := _entry_distance(t, x)) <= lexicon.allowed[i]]
+        return min(near)[::-1] if near else None
+
+    def plain(t):
+        words, hits = tokens(t), []
+        marks, opens = toxicity.quotation_marks(t)
+        for k, (at, w) in enumerate(words):
+            if found := match(w):
+                before = [o for p, o in zip(marks, opens, strict=True) if p < at]
+                after = [o for p, o in zip(marks, opens, strict=True) if p > at]
+                around = [x for _, x in words[max(0, k - toxicity.CONTEXT) : k] + words[k + 1 : k + 1 + toxicity.CONTEXT]]
+                near = [m.near[toxicity._buckets([x.encode()])[0]] for x in around]
+                hits.append((*found, bool(before and before[-1] and after and not after[0]), sum(near) / len(near) if near else 0.0))
+        count = lambda f: sum(map(f, hits))
+        plain_hits = [m.strength[e] for e, d, q, _ in hits if not q and not d]
+        x = [1, max([0, *plain_hits]) / 4, np.log1p(len(plain_hits)), np.log1p(count(lambda h: not h[2] and h[1] > 0)), np.log1p(count(lambda h: h[2])),
+             sum(h[3] for h in hits) / max(1, len(hits)), min(count(lambda h: not h[2]) * 100 / max(1, len(words)), 4)]
+        return 1 / (1 + np.exp(-np.clip(np.array(x) @ m.weight, -35, 35)))
+
+    every = texts[:20] + toxic + ["", "ÉTÉ Scoundrél é", "x" * 300]
+    got = m.scores(m.features(m.hits(pa.RecordBatch.from_arrays([pa.array(every)], ["text"])), len(every)))
+    assert np.allclose(got, [plain(t) for t in every], atol=1e-9) and got[20:80].mean() > 0.5
+
+
 # --- 3 near duplicates
 
 
@@ -729,6 +784,47 @@ def test_dual_coordinate_descent_reaches_the_optimum():
     assert all(loss(w) <= loss(w + 0.02 * rng.normal(size=5)) + 1e-9 for _ in range(300))
 
 
+def test_quality_scores_against_plain_grams():
+    """Indicators and scores of the query in plain Python."""
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(80)]
+    good = [" ".join(rng.choices(words, k=rng.randint(1, 90))) + "." for _ in range(120)]
+    bad = [t.upper().replace(" ", " !! ") if i % 2 else " ".join(w for w in t.split() for _ in range(4)) for i, t in enumerate(good[:60])]
+    m = quality.fit(good + bad, [1] * 120 + [0] * 60, 0.6)
+    every = good[:15] + bad[:15] + ["", "  ", "a", "ab", "É1 é2! {x} x x", "Ärger ÄÖ #1 #1"]
+
+    def kind(w, same):
+        b = w.encode()
+        upper = [(64 < c < 91) or (c >= 0x80 and i and b[i - 1] == 0xC3 and c < 0x9F) for i, c in enumerate(b)]
+        lower = [(96 < c < 123) or (c >= 0x80 and i and b[i - 1] == 0xC3 and c >= 0x9F) for i, c in enumerate(b)]
+        led = 64 < b[0] < 91 or b[0] == 0xC3
+        u, n = sum(upper), sum(lower)
+        case = 0 if u + n == 0 else 3 if n == 0 and u == 1 else 1 if n == 0 else 2 if u == 0 else 3 if led and u == 1 else 4
+        return (((case * 2 + any(c in b"#$%&*|<>=+@^~_/\\[]{}" for c in b)) * 2 + any(c in b"!?" for c in b)) * 2 + any(47 < c < 58 for c in b)) * 2 + same
+
+    def plain(t):
+        b, out = t.encode(), set()
+        for i in range(len(b) - 2):
+            out.add(((b[i] * 0x9E3779B1 + b[i + 1] * 0x85EBCA6B + b[i + 2] * 0xC2B2AE35) & 0xFFFFFFFF) >> (32 - quality.GRAM_BITS))
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        fold = lambda x: re.sub("[A-Z]", lambda k: k[0].lower(), x)
+        s = [kind(x, i > 0 and fold(x) == fold(w[i - 1])) for i, x in enumerate(w)]
+        grams = s + [quality.SHAPES + a * quality.SHAPES + b for a, b in zip(s, s[1:], strict=False)]
+        for g in set(grams):
+            out |= {quality._GRAMS + g * len(quality.LEVELS) + k for k, level in enumerate(quality.LEVELS) if grams.count(g) / len(w) > level}
+        return sorted(out)
+
+    row, gram = quality.grams(pa.RecordBatch.from_arrays([pa.array(every)], ["text"]))
+    assert [gram[row == i].tolist() for i in range(len(every))] == [plain(t) for t in every]
+    got = m.scores(row, gram, len(every))
+    for t, s in zip(every, got, strict=True):
+        g = plain(t)
+        margin = sum(m.weight[g]) / np.sqrt(max(sum(m.ratio2[g]), 1e-12)) + m.bias
+        assert abs(s - 1 / (1 + np.exp(-np.clip(m.slope * margin + m.offset, -35, 35)))) < 1e-5
+    keys = np.array([5, 5, 1, quality._GRAMS + 2, 3])
+    assert quality._distinct(keys, 2).tolist() == sorted(set(keys.tolist())) == quality._distinct(np.tile(keys, 3000), 2).tolist()
+
+
 # --- 10 decontamination
 
 
