@@ -632,6 +632,66 @@ def test_main_text(wrap):
     assert html_extract.extract(page + "</body></html>") == TEXT
 
 
+GOLD = [
+    # link paragraphs and lists of linked references belong to the article
+    ("<article><p>One, two, three.</p><p>See <a href=x>the full report of the committee on water</a>.</p><ul><li><a href=1>A study of rivers, 2020</a><li><a href=2>B</a><li><a href=3>C</a></ul></article>",
+     ["One, two, three.", "See the full report of the committee on water.", "A study of rivers, 2020", "B", "C"]),
+    # comments stay out whatever else their class says, and whatever they hold
+    ("<article><p>Text, here, stays.</p><div class='comments no-avatar'><p>I, for one, like, it, a, lot, more.</p></div></article>", ["Text, here, stays."]),
+    ("<main><article><p>Text, here.</p></article><section class='article-comments'><article class='comment'><h1>Me</h1><p>I, for one, like, it.</p></article></section></main>", ["Text, here."]),
+    # the head of a class tells, not each of its words
+    ("<article><p>A, b.</p><div class='discussion-of-results'><p>We found, and show, much.</p></div><div id='related-work'><p>Others did.</p></div></article>",
+     ["A, b.", "We found, and show, much.", "Others did."]),
+    ("<div class='page with-sidebar'><div class='sidebar-left'><p>Other, things, here.</p></div><div class='content'><p>Main, text.</p></div></div>", ["Main, text."]),
+    ("<div class='sidebar'><h1>T</h1><p>All, the, text.</p></div>", ["T", "All, the, text."]),
+    ("<div class='cookie-notice'><p>We, use, cookies.</p></div>", []),
+    # short siblings and sections stay
+    ("<div class='wrap'><div class='body'><p>Long, long, text, with, many, commas, and words.</p></div><div>The end.</div></div>", ["Long, long, text, with, many, commas, and words.", "The end."]),
+    ("<article><header><h1>T</h1></header><section><p>" + "Many, words, " * 60 + "end.</p></section><section><h2>S</h2><p>Short.</p></section>bare <b>text</b><table><tr><td>1<td>2</table></article>",
+     ["T", "Many, words, " * 60 + "end.", "S", "Short.", "bare text", "1", "2"]),
+    ("<div><h1>T</h1><div class='story'><section><p>" + "One, two, " * 50 + "x.</p></section><section><p>Two.</p></section></div></div>", ["T", "One, two, " * 50 + "x.", "Two."]),
+    # menus without a name, beside the text
+    ("<div class='content'><ul><li><a href=1>Home</a><li><a href=2>News</a><li><a href=3>Shop</a></ul><p>Text, of, the page.</p></div>", ["Text, of, the page."]),
+    ("<form action=x><main><p>All, in a form.</p><input><button>Go</button></main></form>", ["All, in a form."]),
+    ("<body><h1>T</h1><p>a, b</p><div>&copy; 2024</div><div><a href=x>Imprint and more of it</a></div></body>", ["T", "a, b"]),
+]
+
+
+@pytest.mark.parametrize(("page", "blocks"), GOLD)
+def test_gold_pages(page, blocks):
+    assert html_extract.extract(page) == "\n\n".join(blocks)
+    assert html_extract.extract("<html><head><title>x</title></head><body><nav><a href=y>z</a></nav>" + page + "<footer>f, f</footer>") == "\n\n".join(blocks)
+
+
+def test_extraction_as_a_query(spark):
+    long = "<article>" + "<p>word, and &lt;more&gt; words</p>" * 60_000 + "</article>"
+    rows = [(1, "u", PAGE.format(main=BODY)), (1, "u", PAGE.format(main=BODY)), (2, None, None), (3, "", ""), (None, "n", "<p>é</p>"), (4, "l", long)]
+    table = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as n_chars", "3 as body")
+    got = sorted(((r.page_id or 0, r.url or "", r.text, r.n_chars) for r in html_extract.extracted(table).collect()), key=lambda r: r[:2])
+    want = [(0, "n", "é", 1), (1, "u", TEXT, len(TEXT)), (1, "u", TEXT, len(TEXT)), (2, "", "", 0), (3, "", "", 0)]
+    assert got[:5] == want and got[5][2] == "\n\n".join(["word, and <more> words"] * 60_000)
+
+
+def test_generated_pages_against_their_plan():
+    """Pages whose blocks are known, with furniture among and around them."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))
+    prose = lambda n: " ".join(word() + ("," if rng.random() < 0.1 else "") for _ in range(n)) + "."
+    for _ in range(150):
+        kept, inner = [], []
+        for tag in ["h1"] + rng.choices(["p", "p", "p", "h2", "blockquote", "pre", "li", "div"], k=rng.randint(1, 12)):
+            t = prose(rng.randint(1, 60))
+            kept.append(t)
+            inner.append(f"<ul><li>{t}</ul>" if tag == "li" else f"<{tag}>{t}" + ("" if tag == "p" and rng.random() < 0.5 else f"</{tag}>"))
+            if rng.random() < 0.3:
+                name = rng.choice(["ad", "share-box", "article-comments", "newsletter signup", "relatedPosts widget", "cookie_notice"])
+                inner.append(f"<div class='{name}'><p>{prose(rng.randint(1, 80))}</div>")
+        tag = rng.choice(["article", "main", "div class=content", "div id=main-text"])
+        around = [f"<div class='{c}'><p>{prose(rng.randint(5, 80))}</p></div>" for c in rng.sample(["sidebar", "top-banner", "footer-links", "cookie-bar", "comments"], 2)]
+        page = f"<body><header><p>{prose(5)}</header>{around[0]}<{tag}>{''.join(inner)}</{tag.split()[0]}>{around[1]}<footer>{prose(9)}</footer>"
+        assert html_extract.extract(page) == "\n\n".join(kept), page
+
+
 def test_main_text_of_odd_pages():
     assert html_extract.extract(None) == html_extract.extract("") == html_extract.extract("<nav><a href=x>Home</a></nav>") == ""
     assert html_extract.extract("plain words") == "plain words"
