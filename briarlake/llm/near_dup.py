@@ -6,9 +6,9 @@ enumerated: a chunk gives one key per set of PER_CHUNK - ERRORS components that
 candidates, so every pair under that distance is found. With 8 x 5 components and one error, a pair of similarity 0.85
 shares no key with probability 5e-7, one of 0.8 with 2e-5.
 
-Candidates are weighed in the join by the distance of their signatures, a count over a few machine words: those that
-differ in `APART` components or more are left out (a pair of similarity 0.8 does with probability 4e-8), as are those whose
-set sizes alone rule out the similarity. The others are confirmed on the full sets.
+Candidates are weighed in the join by odd sketches of their full sets (the parity of hashed shingles in `SKETCH` bits). The
+distance of two sketches never exceeds the size of the sets' difference, so a pair further apart than the similarity allows
+is none; no other pair is left out. The others are confirmed on the full sets.
 
 Work follows the documents, not the pairs:
 
@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 from briarlake.llm._arrow import NOT_BLANK, Words, frugal, mix, slices, text_bytes
 from briarlake.llm._store import Scratch, ids_and_text, unused, written
 
-CHUNKS, PER_CHUNK, ERRORS, BITS = 8, 5, 1, 14
-#: Signatures that differ in so many components are of no similar sets.
-APART = 24
+CHUNKS, PER_CHUNK, ERRORS, BITS = 8, 5, 1, 16
+#: Bits of the odd sketch of a full set.
+SKETCH = 1024
 #: Rows of one key that are compared in one task; also a block's size.
 LARGE = 2000
 #: Bits of the map of rows whose texts a confirmation needs.
@@ -54,10 +54,7 @@ _ADD = _RNG.integers(0, 1 << 63, _K, dtype=np.uint64)
 _SALT = mix(np.arange(1, KEYS + 1, dtype=np.uint64))
 _WORD = mix(np.arange(101, 201, dtype=np.uint64)) | np.uint64(1)
 
-#: Four components stand in a lane, each below a free bit: adding _ONES to a difference sets that bit where it is not 0.
-_LANES = [f"o{i}" for i in range(_K // 4)]
-_ONES = sum(((1 << BITS) - 1) << (BITS + 1) * i for i in range(4))
-_FREE = sum(1 << BITS << (BITS + 1) * i for i in range(4))
+_LANES = [f"o{i}" for i in range(SKETCH // 64)]
 FEATURES = "node long, doc_id long, n_shingles long, digest binary, keys array<long>, " + ", ".join(f"{x} long" for x in _LANES)
 
 
@@ -115,14 +112,17 @@ def _band_keys(signature: np.ndarray) -> np.ndarray:
     return out
 
 
-def _lanes(signature: np.ndarray) -> np.ndarray:
-    """The signatures four components to a word."""
-    four = signature.reshape(len(signature), _K // 4, 4)
-    return (four << (np.arange(4, dtype=np.uint64) * np.uint64(BITS + 1))).sum(axis=2, dtype=np.uint64).view(np.int64)
+def _sketches(s: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The odd sketch of every set, as 64-bit words."""
+    n = len(bounds) - 1
+    row = np.repeat(np.arange(n), np.diff(bounds))
+    bit = (mix(s ^ _SALT[0]) % np.uint64(SKETCH)).astype(np.int64)
+    odd = (np.bincount(row * SKETCH + bit, minlength=n * SKETCH) & 1).astype(np.uint8)
+    return np.packbits(odd.reshape(n, SKETCH), axis=1, bitorder="little").view(np.int64)
 
 
 def features(docs: DataFrame, words: int) -> DataFrame:
-    """Set size, digest, keys and signature of rows (node, doc_id, text)."""
+    """Set size, digest, keys and sketch of rows (node, doc_id, text)."""
 
     def run(batches):
         for batch in slices(batches, "text"):
@@ -134,10 +134,8 @@ def features(docs: DataFrame, words: int) -> DataFrame:
             lists = pa.ListArray.from_arrays(
                 pa.array(np.concatenate([[0], np.cumsum(np.where(size > 0, KEYS, 0))]), pa.int32()), pa.array(_band_keys(signature).ravel().view(np.int64), pa.int64())
             )
-            lanes = np.zeros((len(size), len(_LANES)), np.int64)
-            lanes[full] = _lanes(signature)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(x) for x in lanes.T.copy())],
+                [batch.column("node"), batch.column("doc_id"), pa.array(size, pa.int64()), pa.array(digests, pa.binary()), lists, *(pa.array(x) for x in _sketches(s, bounds).T.copy())],
                 ["node", "doc_id", "n_shingles", "digest", "keys", *_LANES],
             )
 
@@ -213,10 +211,10 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
 
 
 def _near(x: str, y: str, percent: int) -> str:
-    """Whether two rows may be of this similarity: by their set sizes, then by the distance of their signatures."""
+    """Whether two rows may be of this similarity: by their set sizes, and by the distance of their sketches."""
     sizes = f"100 * least({x}.n_shingles, {y}.n_shingles) >= {percent} * greatest({x}.n_shingles, {y}.n_shingles)"
-    apart = " + ".join(f"bit_count((({x}.{lane} ^ {y}.{lane}) + {_ONES}L) & {_FREE}L)" for lane in _LANES)
-    return f"{sizes} and {apart} < {APART}"
+    apart = " + ".join(f"bit_count({x}.{lane} ^ {y}.{lane})" for lane in _LANES)
+    return f"{sizes} and {100 + percent} * ({apart}) <= {100 - percent} * ({x}.n_shingles + {y}.n_shingles)"
 
 
 def _between(held: DataFrame, percent: int) -> DataFrame:

@@ -400,20 +400,23 @@ def test_near_duplicates_that_share_one_large_key_only(spark, monkeypatch):
     assert found == {(12, 9), (13, 4)}
 
 
-def test_signature_distance_counts_components():
+def test_signatures_within_the_distance_share_a_key():
     rng = np.random.default_rng(4)
-    a = rng.integers(0, 1 << near_dup.BITS, (200, near_dup._K), dtype=np.uint64)
-    b = np.where(rng.random(a.shape) < 0.4, a, rng.integers(0, 1 << near_dup.BITS, a.shape, dtype=np.uint64))
-    x, y = near_dup._lanes(a), near_dup._lanes(b)
-    apart = [sum(((int(p) ^ int(q)) + near_dup._ONES & near_dup._FREE).bit_count() for p, q in zip(r, t, strict=True)) for r, t in zip(x, y, strict=True)]
-    assert apart == (a != b).sum(axis=1).tolist()
-    # fewer than CHUNKS * (ERRORS + 1) differing components: a key is shared
-    for r, t in zip(a, b, strict=True):
-        c, at = r.copy(), rng.choice(near_dup._K, near_dup.CHUNKS * (near_dup.ERRORS + 1) - 1, replace=False)
-        c[at] = t[at] + np.uint64(1)
+    top = np.uint64((1 << near_dup.BITS) - 1)
+    for r in rng.integers(0, 1 << near_dup.BITS, (200, near_dup._K), dtype=np.uint64):
+        c = r.copy()
+        c[rng.choice(near_dup._K, near_dup.CHUNKS * (near_dup.ERRORS + 1) - 1, replace=False)] ^= top
         assert set(near_dup._band_keys(r[None])[0].tolist()) & set(near_dup._band_keys(c[None])[0].tolist())
 
 
+def test_sketches_never_tell_more_than_the_difference():
+    rng = np.random.default_rng(5)
+    for n in (5, 60, 900, 5000):
+        both, own, other = (rng.integers(0, 1 << 63, k, dtype=np.uint64) for k in (n, rng.integers(0, n), rng.integers(0, n)))
+        x, y = (near_dup._sketches(s, np.array([0, len(s)]))[0] for s in (np.concatenate([both, own]), np.concatenate([both, other])))
+        assert sum((int(p) ^ int(q)).bit_count() if p ^ q >= 0 else (int(p ^ q) & (1 << 64) - 1).bit_count() for p, q in zip(x, y, strict=True)) <= len(own) + len(other)
+
+
 def test_rows_that_share_a_doc_id_are_judged_apart(spark):
     a, b, c = (" ".join(f"{x}{i}" for i in range(30)) for x in "abc")
     rows = [(3, a), (7, a), (7, b), (9, c), (9, c), (None, a), (None, a), (10, ""), (11, None)]
