@@ -20,8 +20,8 @@ Work follows the documents, not the pairs:
    weighed, at any size; rows of the key's largest component are not held against each other.
 4. Links are joined to components by alternating large and small stars.
 
-No pair of copies within a component is listed. A row is known by a 64-bit hash of its doc_id and text, so rows that share
-a doc_id but not a text are judged apart.
+No pair of copies within a component is listed. A row is known by its doc_id, so the hub of a key is its first document, of
+which the others are most often copies; rows that share a doc_id but not a text are told apart by a 64-bit hash of both.
 """
 
 from __future__ import annotations
@@ -143,14 +143,14 @@ def features(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _chosen_texts(docs: DataFrame, ids: DataFrame, work: Scratch) -> DataFrame:
-    """(id, text) of the rows (node, text) whose node is among ids, and a few others, without a shuffle of texts.
+    """(id, text) of the rows (node, doc_id, text) whose doc_id or node is among ids, and a few others, without a shuffle of texts.
 
     A bit map of `MAP_BITS` bits, whatever the number of ids, is built by a distributed aggregate and broadcast; the joins
     that follow drop what it lets through by chance.
     """
-    place = F.pmod("node", F.lit(MAP_BITS))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     page = 32768
-    marks = ids.select(place.alias("p")).groupBy((F.col("p") / page).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % page).alias("bits"))
+    marks = ids.select(place("id").alias("p")).groupBy((F.col("p") / page).cast("int").alias("k")).agg(F.bitmap_construct_agg(F.col("p") % page).alias("bits"))
     bits = bytearray(MAP_BITS // 8)
     for r in marks.toLocalIterator():
         bits[r.k * page // 8 : (r.k + 1) * page // 8] = bytes(r.bits)
@@ -159,10 +159,12 @@ def _chosen_texts(docs: DataFrame, ids: DataFrame, work: Scratch) -> DataFrame:
     def run(batches):
         wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            p = batch.column("p").to_numpy()
-            yield batch.select(["node", "text"]).filter(pa.array((wanted[p >> 3] >> (p & 7) & 1).astype(bool))).rename_columns(["id", "text"])
+            for name, at in (("doc_id", "p"), ("node", "q")):
+                p = batch.column(at).to_numpy()
+                held = pa.array((wanted[p >> 3] >> (p & 7) & 1).astype(bool))
+                yield pa.RecordBatch.from_arrays([batch.column(name).filter(held), batch.column("text").filter(held)], ["id", "text"])
 
-    known = docs.where("doc_id is not null").select("node", "text", place.alias("p"))
+    known = docs.where("doc_id is not null").select("node", "doc_id", "text", place("doc_id").alias("p"), place("node").alias("q"))
     return work.written(known.mapInArrow(frugal(run), "id long, text string"), "near-dup-texts")
 
 
@@ -183,7 +185,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, words: int, percent: int, work:
                 keep[i] = both and 100 * both >= percent * (len(x) + len(y) - both)
             yield batch.select(["a", "b"]).filter(pa.array(keep))
 
-    own = _chosen_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), work)
+    own = _chosen_texts(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), work)
     both = pairs.join(own.select(F.col("id").alias("a"), F.col("text").alias("x")), "a").join(own.select(F.col("id").alias("b"), F.col("text").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(frugal(compare), "a long, b long").distinct()
 
@@ -280,11 +282,15 @@ def _grouped(docs: DataFrame, words: int, percent: int) -> DataFrame:
     with Scratch(docs.sparkSession) as work:
         seen = work.written(features(docs, words), "near-dup-features")
         linked = seen.where("n_shingles > 0 and doc_id is not null")
-        leaders = work.written(linked.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("digest", "first.*"), "near-dup-leaders")
-        rows = linked.join(leaders.select("digest", "node"), ["digest", "node"]).dropDuplicates(["digest", "node"])
-        rows = work.written(rows.selectExpr("node id", "keys", "n_shingles", *_LANES), "near-dup-rows")
+        leaders = linked.groupBy("digest").agg(F.min(F.struct("doc_id", "node")).alias("first")).select("digest", "first.*")
+        shared = linked.groupBy("doc_id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("doc_id", F.lit(True).alias("shared"))
+        leaders = leaders.join(shared, "doc_id", "left").withColumn("id", F.when(F.col("shared"), F.col("node")).otherwise(F.col("doc_id")))
+        leaders = work.written(leaders.drop("shared"), "near-dup-leaders")
+        rows = linked.join(leaders.select("digest", "node", "id"), ["digest", "node"]).dropDuplicates(["digest", "node"])
+        rows = work.written(rows.select("id", "keys", "n_shingles", *_LANES), "near-dup-rows")
         roots = work.written(_links(rows, docs, words, percent, work), "near-dup-roots")
-        named = work.written(leaders.join(roots, "node", "left").select("digest", "doc_id", F.coalesce("root", "node").alias("root")), "near-dup-named")
+        named = leaders.join(roots.withColumnRenamed("node", "id"), "id", "left")
+        named = work.written(named.select("digest", "doc_id", F.coalesce("root", "id").alias("root")), "near-dup-named")
         lows = named.groupBy("root").agg(F.min("doc_id").alias("low"))
         named = work.written(named.join(lows, "root").select("digest", "root", "low"), "near-dup-groups")
         out = seen.select("node", "doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
