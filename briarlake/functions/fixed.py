@@ -1,5 +1,7 @@
 """Word lists, patterns and constants that results depend on."""
 
+import re
+
 # Title patterns of price tables.
 PRICE_TITLE_PATTERNS = [
     r"\brate today\b",
@@ -20,17 +22,18 @@ PRICE_TITLE_PATTERNS = [
 ]
 
 # Outlets whose text is wanted.
-QUALITY_DOMAINS = """
-reuters.com bloomberg.com ft.com cnbc.com wsj.com marketwatch.com investing.com barrons.com economist.com
-apnews.com theguardian.com bbc.com bbc.co.uk nytimes.com washingtonpost.com forbes.com businessinsider.com axios.com
-cnn.com nbcnews.com abcnews.go.com cbsnews.com npr.org telegraph.co.uk thetimes.co.uk independent.co.uk standard.co.uk
-aljazeera.com dw.com france24.com scmp.com japantimes.co.jp kitco.com mining.com oilprice.com rigzone.com spglobal.com
-coindesk.com cointelegraph.com theblock.co decrypt.co fxstreet.com dailyfx.com forexlive.com seekingalpha.com
-miningweekly.com tradingview.com investopedia.com nypost.com thestreet.com benzinga.com zerohedge.com moneycontrol.com
-livemint.com economictimes.indiatimes.com business-standard.com cnbctv18.com financialexpress.com gulfnews.com arabnews.com
-english.alarabiya.net channelnewsasia.com straitstimes.com theedgemalaysia.com visualcapitalist.com statista.com
-worldgoldcouncil.org lbma.org.uk bullionvault.com goldhub.com morningstar.com yahoo.com fortune.com time.com newsweek.com
-""".split()
+QUALITY_DOMAINS = [
+    "reuters.com", "bloomberg.com", "ft.com", "cnbc.com", "wsj.com", "marketwatch.com", "investing.com", "barrons.com", "economist.com",
+    "apnews.com", "theguardian.com", "bbc.com", "bbc.co.uk", "nytimes.com", "washingtonpost.com", "forbes.com", "businessinsider.com", "axios.com",
+    "cnn.com", "nbcnews.com", "abcnews.go.com", "cbsnews.com", "npr.org", "telegraph.co.uk", "thetimes.co.uk", "independent.co.uk", "standard.co.uk",
+    "aljazeera.com", "dw.com", "france24.com", "scmp.com", "japantimes.co.jp", "kitco.com", "mining.com", "oilprice.com", "rigzone.com",
+    "spglobal.com", "coindesk.com", "cointelegraph.com", "theblock.co", "decrypt.co", "fxstreet.com", "dailyfx.com", "forexlive.com",
+    "seekingalpha.com", "miningweekly.com", "tradingview.com", "investopedia.com", "nypost.com", "thestreet.com", "benzinga.com", "zerohedge.com",
+    "moneycontrol.com", "livemint.com", "economictimes.indiatimes.com", "business-standard.com", "cnbctv18.com", "financialexpress.com",
+    "gulfnews.com", "arabnews.com", "english.alarabiya.net", "channelnewsasia.com", "straitstimes.com", "theedgemalaysia.com",
+    "visualcapitalist.com", "statista.com", "worldgoldcouncil.org", "lbma.org.uk", "bullionvault.com", "goldhub.com", "morningstar.com", "yahoo.com",
+    "fortune.com", "time.com", "newsweek.com",
+]
 
 # On-story queries by asset, their longer form, and off-story queries.
 STORY_QUERIES = {
@@ -72,17 +75,23 @@ ASSET_WORDS = ["bitcoin", "btc", "gold", "brent", "wti", "crude", "sterling", "t
 HARD_PRICE_PHRASES = ["moving average", "trading volume", "order book", "was priced at", "over the past year", "now make up"]
 
 # Words that carry no content, for entity resolution and for distractor classes.
-STOPWORDS = """
-the a an of to in on and for by at as its it was were is are that this with from after before has had have been be which their said announced would
-will over into about more than all up down
-""".split()
-SHORT_STOPWORDS = "the a an of to in on and for by at as its it was were is are that this with from after before has had have been be which their".split()
+STOPWORDS = [
+    "the", "a", "an", "of", "to", "in", "on", "and", "for", "by", "at", "as", "its", "it", "was", "were", "is", "are", "that", "this", "with",
+    "from", "after", "before", "has", "had", "have", "been", "be", "which", "their", "said", "announced", "would", "will", "over", "into", "about",
+    "more", "than", "all", "up", "down",
+]
+SHORT_STOPWORDS = [
+    "the", "a", "an", "of", "to", "in", "on", "and", "for", "by", "at", "as", "its", "it", "was", "were", "is", "are", "that", "this", "with",
+    "from", "after", "before", "has", "had", "have", "been", "be", "which", "their",
+]
 
 # Capitalised words that name nobody.
-GENERIC_NAMES = """
-monday tuesday wednesday thursday friday saturday sunday january february march april may june july august september october november december
-crypto cryptocurrency bitcoin the this that most after before during us u.s american chief executive president company firm lender exchange group report reports
-""".split()
+GENERIC_NAMES = [
+    "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday", "january", "february", "march", "april", "may", "june", "july",
+    "august", "september", "october", "november", "december", "crypto", "cryptocurrency", "bitcoin", "the", "this", "that", "most", "after",
+    "before", "during", "us", "u.s", "american", "chief", "executive", "president", "company", "firm", "lender", "exchange", "group", "report",
+    "reports",
+]
 
 # Verb families by their stems.
 ACTION_STEMS = [
@@ -106,3 +115,26 @@ MONTHS = ["january", "february", "march", "april", "may", "june", "july", "augus
 
 # Fixed value: the beginning of every none option, as the gate looks for it.
 NONE_GATE_MARKER = "None of the other"
+
+# Shapes of model replies.
+REPLY_FENCE = re.compile(r"^```(?:json)?|```$", re.M)
+REPLY_SCORE = re.compile(r'"?score"?\s*[:=]\s*([0-3])')
+REPLY_ANSWER_OBJECT = re.compile(r'\{[^{}]*"answer"\s*:\s*(\[[^\]]*\]|"[A-D]")[^{}]*\}', re.S)
+REPLY_ANSWER_LIST = re.compile(r'"answer"\s*:\s*\[(.*?)\]', re.S)
+REPLY_ANSWER_PROSE = re.compile(r"(?:answer|correct|select)[^.\n]*?((?:\b[A-D]\b[,\s and&]*)+)", re.I)
+REPLY_LINE = re.compile(r"^[\s\-\*]*([A-D])[.):\s]", re.M)
+REPLY_LETTER = re.compile(r"\b([A-D])\b")
+
+# Why a candidate needs review, and why it is scored without a model.
+REVIEW_UNSCORED = "no model scored this"
+REVIEW_SINGLE = "only one model scored this, no cross-check"
+REVIEW_SPREAD = "models disagree by %d"
+REVIEW_BOUNDARY = "sits on the include/exclude boundary"
+REVIEW_MISSING = "no score returned"
+AUTO_ZERO = "dated after the target event"
+
+# What an unavailable model's error says.
+DEAD_MODEL = ["model_not_found", "does not exist", "404"]
+
+# The source dataset's published figures, by metric.
+PUBLISHED = {"multi_answer_pct": 43.58, "mean_gold": 1.574, "docs_per_topic": 19.67}

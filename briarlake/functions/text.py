@@ -128,19 +128,33 @@ def month_distance(a, b) -> Column:
     return F.least(gap, 12 - gap)
 
 
-def date_leaks(text, event_date, months: int = 3) -> Column:
-    """Whether a text names another year, a date over months * 31 days away, or a month further than months away."""
-    text, event = _col(text), _col(event_date)
-    years = F.regexp_extract_all(text, F.lit(r"(?U)\b((?:19|20)\d{2})\b"), F.lit(1))
-    dates = F.regexp_extract_all(text, F.lit(r"(?U)\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
-    other_year = F.exists(years, lambda y: y.try_cast("int") != F.year(event))
-    far_date = F.exists(dates, lambda d: F.coalesce(F.abs(F.datediff(F.try_to_date(d, "yyyy-MM-dd"), event)) > months * 31, F.lit(False)))
-    far_month = F.lit(False)
-    for i, name in enumerate(fixed.MONTHS, 1):
-        far_month = far_month | (text.rlike(rf"(?iU)\b{name}\b") & (month_distance(F.lit(i), F.month(event)) > months))
+def date_marks(x) -> Column:
+    """The years, full dates and months (by number) that a text names."""
+    x = _col(x)
+    years = F.regexp_extract_all(x, F.lit(r"(?U)\b((?:19|20)\d{2})\b"), F.lit(1))
+    dates = F.regexp_extract_all(x, F.lit(r"(?U)\b(\d{4}-\d{2}-\d{2})\b"), F.lit(1))
+    months = F.array_compact(F.array(*[F.when(x.rlike(rf"(?iU)\b{name}\b"), F.lit(i)) for i, name in enumerate(fixed.MONTHS, 1)]))
+    return F.struct(
+        F.array_compact(F.transform(F.array_distinct(years), lambda y: y.try_cast("int"))).alias("years"),
+        F.array_compact(F.transform(F.array_distinct(dates), lambda d: F.try_to_date(d, "yyyy-MM-dd"))).alias("dates"),
+        months.alias("months"),
+    )
+
+
+def marks_leak(marks, event_date, months: int = 3) -> Column:
+    """Whether date marks name another year, a date over months * 31 days away, or a month further than months away."""
+    marks, event = _col(marks), _col(event_date)
+    other_year = F.exists(marks["years"], lambda y: y != F.year(event))
+    far_date = F.exists(marks["dates"], lambda d: F.abs(F.datediff(d, event)) > months * 31)
+    far_month = F.exists(marks["months"], lambda m: month_distance(m, F.month(event)) > months)
     return F.when(event.isNull(), False).otherwise(F.coalesce(other_year | far_date | far_month, F.lit(False)))
 
 
+def date_leaks(text, event_date, months: int = 3) -> Column:
+    """marks_leak of a text."""
+    return marks_leak(date_marks(text), event_date, months)
+
+
 def letters(golden) -> Column:
     """The letters of a comma-joined answer."""
     return F.filter(F.transform(F.split(F.coalesce(_col(golden), F.lit("")), ","), F.trim), lambda x: x != "")

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, text
+from briarlake.functions.session import sound_unions
 
 LETTERS = ["A", "B", "C", "D"]
 
@@ -26,29 +26,49 @@ def norm(x) -> Column:
 
 
 def distractor_pool(candidates: DataFrame) -> DataFrame:
-    return candidates.select("asset", F.col("topic_id").alias("from_topic"), F.col("event_date").alias("from_date"), F.col("ord").alias("from_ord"), F.col("text").alias("pool_text"))
+    """What a pool member is compared by: where it is from, its normalised text as a digest, words, months and date marks."""
+    return candidates.select(
+        "asset", F.col("topic_id").alias("from_topic"), F.col("event_date").alias("from_date"), F.col("ord").alias("from_ord"), F.md5(norm("text")).alias("n"),
+        text.word_count("text").alias("words"), text.date_marks("text").alias("marks"), month_number("event_date").alias("month"),
+    )
+
 
+def month_number(date: str) -> Column:
+    return (F.year(date) * 12 + F.month(date)).cast("int")
 
-def cross_topic(topics: DataFrame, candidates: DataFrame, pool: DataFrame, seed: str = "42", near_months: float = 6, shortlist: int = 12) -> DataFrame:
+
+def cross_topic(topics: DataFrame, candidates: DataFrame, pool: DataFrame, seed: str = "42", near_months: int = 6, shortlist: int = 12) -> DataFrame:
     """Distractors of other topics of the same asset: topics has topic_id, asset, event_date, n_needed, target_len.
 
     Not the topic's own texts (anti join), none that leaks a date, near in time where enough are near. The shortlist
-    max(4 * n_needed, 12) closest in length comes in hash order; the first n_needed distinct texts stay. The pool joins on
-    the asset alone because every pair is a candidate by the rule; the per-topic ranks bound what goes on.
+    max(4 * n_needed, 12) closest in length comes in hash order; the first n_needed distinct texts stay.
+
+    Topics meet the pool month by month; only those that find too few near ones meet the whole pool of their asset. Rows
+    carry digests and date marks instead of texts, which join the few that are picked.
     """
-    joined = topics.join(pool, "asset").where("from_topic <> topic_id").withColumn("n", norm("pool_text"))
-    own = candidates.select("topic_id", norm("text").alias("n")).distinct()
-    joined = joined.join(own, ["topic_id", "n"], "left_anti").where(~text.date_leaks("pool_text", "event_date"))
-    near = F.coalesce(F.abs(F.datediff("event_date", "from_date")) / 30.0, F.lit(999.0)) <= near_months
+    own = candidates.select("topic_id", F.md5(norm("text")).alias("n")).distinct()
+
+    def allowed(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.where((F.col("from_topic") != F.col("topic_id")) & ~text.marks_leak("marks", "event_date")).drop("marks")
+        return pairs.join(own, ["topic_id", "n"], "left_anti").drop("month")
+
+    around = F.sequence(month_number("event_date") - near_months - 1, month_number("event_date") + near_months + 1)
+    near = allowed(topics.withColumn("month", F.explode(around)).join(pool, ["asset", "month"]))
+    near = near.where(F.abs(F.datediff("event_date", "from_date")) / 30.0 <= near_months)
+    found = near.groupBy("topic_id").agg(F.count("*").alias("n_near"))
+    enough = topics.join(found, "topic_id").where("n_near >= n_needed").select("topic_id")
+    wide = allowed(topics.join(enough, "topic_id", "left_anti").join(pool, "asset"))
+    columns = ["topic_id", "n", "n_needed", "target_len", "words", "from_topic", "from_ord"]
+    joined = near.join(enough, "topic_id", "left_semi").select(*columns).unionByName(wide.select(*columns))
     w = Window.partitionBy("topic_id")
-    joined = joined.withColumn("near", near).withColumn("n_near", F.count_if("near").over(w)).where("near or n_near < n_needed")
-    by_length = w.orderBy(F.abs(text.word_count("pool_text") - F.col("target_len")), "from_topic", "from_ord")
+    by_length = w.orderBy(F.abs(F.col("words") - F.col("target_len")), "from_topic", "from_ord")
     joined = joined.withColumn("r", F.row_number().over(by_length)).where(F.col("r") <= F.greatest(F.col("n_needed") * 4, F.lit(shortlist)))
     drawn = text.unordered(F.concat_ws("|", F.lit(seed), F.col("topic_id").cast("string"), "n"))
     first = Window.partitionBy("topic_id", "n").orderBy("r")
     joined = joined.withColumn("draw", drawn).withColumn("k", F.row_number().over(first)).where("k = 1")
     joined = joined.withColumn("pick", F.row_number().over(w.orderBy("draw"))).where("pick <= n_needed")
-    return joined.select("topic_id", "pick", F.col("pool_text").alias("text"), "from_topic", F.lit("semantic_crosstopic").alias("type"))
+    texts = candidates.select(F.col("topic_id").alias("from_topic"), F.col("ord").alias("from_ord"), "text")
+    return joined.join(texts, ["from_topic", "from_ord"]).select("topic_id", "pick", "text", "from_topic", F.lit("semantic_crosstopic").alias("type"))
 
 
 def correct_options(candidates: DataFrame, most: int = 3) -> DataFrame:
@@ -79,17 +99,18 @@ def build_questions(
 ) -> DataFrame:
     """Questions of scored candidates (topic_id, asset, event_date, ord, text, consensus, position); topics: topic_id, target_event.
 
-    Topics without a correct candidate give none. Local distractors come first; only topics that lack some draw on other
-    topics. A none option replaces the first wrong one with none_prob, or the last correct ones with none_answer_prob.
+    Topics without a correct candidate give none. Local distractors come first; topics that lack some draw as many as they
+    lack on other topics. A none option replaces the first wrong one with none_prob, or the last correct ones with none_answer_prob.
     Repeated option texts drop the question. Options stand in hash order.
     """
+    sound_unions(candidates.sparkSession)
     words = topics.select("topic_id", "target_event", text.content_tokens("target_event", fixed.SHORT_STOPWORDS).alias("target_words"))
     scored = candidates.join(words.drop("target_event"), "topic_id").withColumn("type", distractor_class())
     correct = correct_options(scored)
     local = scored.where("consensus < 2 or consensus is null").select("topic_id", "ord", "text", "type", F.coalesce("consensus", F.lit(0)).alias("consensus"))
     have = local.groupBy("topic_id").agg(F.count("*").alias("have"))
     need = correct.groupBy("topic_id", "asset", "event_date").agg((n_options - F.count("*")).alias("n_needed"), F.avg(text.word_count("text")).alias("target_len"))
-    short = need.join(have, "topic_id", "left").where(F.coalesce("have", F.lit(0)) < F.col("n_needed")).drop("have")
+    short = need.join(have, "topic_id", "left").withColumn("n_needed", F.col("n_needed") - F.coalesce("have", F.lit(0))).where("n_needed > 0").drop("have")
     more = cross_topic(short, candidates, distractor_pool(candidates), seed)
     pool = local.unionByName(more.select("topic_id", (F.col("pick") + 1_000_000).alias("ord"), "text", "type", F.lit(0).alias("consensus")))
     picked = balanced_pick(correct, pool, n_options, max_gap)
@@ -136,26 +157,57 @@ def rotate(questions: DataFrame, shift: str = "shift") -> DataFrame:
     return lettered(questions.withColumn("options", turned))
 
 
-def rebalanced_shifts(answers: DataFrame, seed: int = 42) -> DataFrame:
+def rebalanced_shifts(answers: DataFrame, seed: str = "42") -> DataFrame:
     """(id, shift) that spread the answers over the letters; answers: id, golden_answer.
 
-    Each choice depends on all before it, so one task folds the narrow (id, answer) rows: the questions themselves stay
-    where they are and join the shifts. Answers of more letters come first, then by id.
+    Answers of more letters come first. Questions of one answer set are alike, so what counts is how many of a set take each
+    shift: the sets (15 at most) are counted, and for each, in order, the shifts are dealt as choosing the emptiest letters
+    question by question would deal them. A question's place among those of its set, in hash order, then tells its shift.
+    Places are counted by hash bucket and bucket totals, so no task holds all questions.
     """
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        import random
-
-        rng, counts, out = random.Random(seed), [0] * 4, []
-        rows = [(i, [LETTERS.index(x) for x in g.split(",") if x]) for i, g in zip(pdf["id"], pdf["golden_answer"], strict=True)]
-        for i, gold in sorted(rows, key=lambda r: (-len(r[1]), r[0])):
-            best = min(range(4), key=lambda s: sum(counts[(g + s) % 4] for g in gold) + rng.random() * 0.01)
-            for g in gold:
-                counts[(g + best) % 4] += 1
-            out.append((i, best))
-        return pd.DataFrame(out, columns=["id", "shift"])
-
-    return answers.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: fold(pdf), f"id {dict(answers.dtypes)['id']}, shift int")
+    df = answers.withColumn("_set", F.array_join(F.array_sort(F.array_distinct(text.letters("golden_answer"))), ","))
+    df = df.withColumn("_h", F.xxhash64(F.lit(str(seed)), F.col("id").cast("string"))).withColumn("_b", F.pmod("_h", F.lit(1024)))
+    counts = df.groupBy("_set", "_b").agg(F.count("*").alias("n"))
+    totals = {r["_set"]: r["n"] for r in counts.groupBy("_set").agg(F.sum("n").alias("n")).collect()}
+    dealt, used = [], [0.0] * 4
+    for name, n in sorted(totals.items(), key=lambda x: (-len(x[0]), x[0])):
+        gold = [LETTERS.index(x) for x in name.split(",") if x in LETTERS]
+        dealt.append((name, _deal(gold, n, used)))
+    shares = answers.sparkSession.createDataFrame(dealt, "_set string, _ends array<long>")
+    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("_set").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
+    place = F.row_number().over(Window.partitionBy("_set", "_b").orderBy("_h", "id")) - 1 + F.coalesce("before", F.lit(0))
+    placed = df.join(F.broadcast(before.select("_set", "_b", "before")), ["_set", "_b"]).withColumn("_place", place).join(F.broadcast(shares), "_set")
+    return placed.select("id", F.size(F.filter("_ends", lambda e: e <= F.col("_place"))).alias("shift"))
+
+
+def _deal(gold: list[int], n: int, used: list[float]) -> list[int]:
+    """Where each shift's share of n questions ends; used: answers by letter so far, brought up to date.
+
+    Choosing the emptiest letters again and again levels the four shifts' loads, so large numbers are dealt in rounds: a
+    round of four questions, one for each shift, adds the same to all letters.
+    """
+    share = [0] * 4
+    load = lambda s: sum(used[(g + s) % 4] for g in gold)
+    if not gold:
+        return [n, n, n, n]
+    left = n
+    while left:
+        low = min(range(4), key=lambda s: (load(s), share[s], s))
+        rest = sorted(load(s) for s in range(4))
+        # once no shift is behind by more than one question can mend, whole rounds go out at once
+        step = left // 4 if rest[-1] - rest[0] <= len(gold) and left >= 8 else 0
+        if step:
+            share = [x + step for x in share]
+            for x in range(4):
+                used[x] += step * len(gold)
+            left -= 4 * step
+            continue
+        jump = 1 if rest[1] - rest[0] <= 2 * len(gold) else min(left, int((rest[1] - rest[0]) // (2 * len(gold))))
+        share[low] += jump
+        for g in gold:
+            used[(g + low) % 4] += jump
+        left -= jump
+    return [sum(share[: k + 1]) for k in range(4)]
 
 
 def shuffled_positions(questions: DataFrame, seed: str = "42") -> DataFrame:

@@ -31,7 +31,7 @@ def fallback_id() -> Column:
 
 def evaluate(questions: DataFrame, docs: DataFrame, model: Callable[[str], str] = offline_model, name: str = "offline", most: int = 20_000) -> DataFrame:
     """Results per question. Questions without documents are asked with an empty context; failed calls select nothing."""
-    asked = questions.join(context(docs, clip=20_000, most=most).withColumnRenamed("topic", "topic_id"), "topic_id", "left")
+    asked = questions.join(context(docs, most=most).withColumnRenamed("topic", "topic_id"), "topic_id", "left")
     prompt = F.format_string(ASK, F.coalesce("context", F.lit("")), "target_event", "option_A", "option_B", "option_C", "option_D")
     raw = call_model(asked.withColumn("prompt", prompt), model=model)
     out = raw.withColumn("pred", parsers.answer_of(F.coalesce("raw", F.lit("")))).withColumn("gold", text.letters("golden_answer"))
@@ -49,19 +49,31 @@ def summary(results: DataFrame, by: tuple[str, ...] = ("model",)) -> DataFrame:
 
 
 def failures_by(results: DataFrame) -> DataFrame:
-    """Means by answer size and by asset in one pass of grouping sets."""
+    """Means by answer size (with the mean number of letters predicted) and by asset, in one pass of grouping sets."""
     g = results.groupingSets([["n_gold"], ["asset"]], "n_gold", "asset")
-    return g.agg(F.count("*").alias("n"), F.bround(F.avg("exact_match"), 4).alias("exact_match"), F.bround(F.avg("f1"), 4).alias("f1"))
+    predicted = F.when(F.grouping("n_gold") == 0, F.bround(F.avg("n_pred"), 2)).alias("mean_predicted")
+    return g.agg(F.count("*").alias("n"), F.bround(F.avg("exact_match"), 3).alias("exact_match"), F.bround(F.avg("f1"), 3).alias("f1"), predicted)
 
 
 def fooled_and_missed(results: DataFrame, questions: DataFrame) -> DataFrame:
-    """Option types of letters chosen wrongly (fooled) and left out (missed), with counts. Of questions with one id that of the largest topic_id counts."""
+    """Option types of letters chosen wrongly (fooled) and left out (missed), with counts; letters without a type are unknown.
+
+    Of questions with one id that of the largest topic_id counts.
+    """
     types = questions.where("option_types is not null").select(fallback_id().alias("id"), "option_types", "topic_id").groupBy("id").agg(F.max_by("option_types", "topic_id").alias("t"))
     both = F.array(
         F.struct(F.lit("fooled").alias("kind"), F.array_except("pred", "gold").alias("l")), F.struct(F.lit("missed").alias("kind"), F.array_except("gold", "pred").alias("l"))
     )
     rows = results.join(types, "id").select("t", F.explode(both).alias("x")).select("t", "x.kind", F.explode("x.l").alias("letter"))
-    return rows.groupBy("kind", F.element_at("t", F.col("letter")).alias("type")).agg(F.count("*").alias("n"))
+    return rows.groupBy("kind", F.coalesce(F.try_element_at("t", F.col("letter")), F.lit("unknown")).alias("type")).agg(F.count("*").alias("n"))
+
+
+def comparison_lines(summaries: DataFrame) -> DataFrame:
+    """Summaries by model as the lines of an aligned table, the heading first: place, line."""
+    head = "%-12s %5s %8s %8s %8s %8s %12s" % ("model", "n", "exact", "F1", "prec", "recall", "pred/gold")
+    row = F.format_string("%-12s %5d %8.3f %8.3f %8.3f %8.3f %5.2f/%-6.2f", "model", "n", "exact_match", "f1", "precision", "recall", "n_pred", "n_gold")
+    top = summaries.sparkSession.createDataFrame([("", head), (" ", "-" * len(head))], "place string, line string")
+    return top.unionByName(summaries.select(F.concat(F.lit("  "), "model").alias("place"), row.alias("line"))).orderBy("place")
 
 
 def under_over(results: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, parsers, text
+from briarlake.functions.session import sound_unions
 from briarlake.operators.retrieve import within_budget
 from briarlake.sources.providers import call_model, offline_model
 
@@ -66,34 +68,75 @@ def merge_mentions(events: DataFrame, threshold: float = 0.45, seed_mentions: bo
     """Events (topic, ord, text, source) merged greedily in order: each joins the first cluster whose text tells of the same
     event; the longer text then stands for the cluster, so what later events meet may change.
 
-    The order matters, so a topic is folded in one task; a topic's candidates are bounded by its prompt's budget. Tokens,
-    names and verb families are computed in the JVM beforehand. With seed_mentions, n_mentions and sources of an earlier
-    pass are carried on.
+    The order matters, so a topic's events meet in one task, where they stream by: only its clusters are held, and an event
+    is compared with those that share a token or a name with it. Tokens, names and verb families are computed in the JVM
+    beforehand. With seed_mentions, n_mentions and sources of an earlier pass are carried on.
     """
+    earlier = F.col("sources") if seed_mentions else F.array(F.col("source"))
     made = events.select(
-        "topic", "ord", "text", "source", (F.col("n_mentions") if seed_mentions else F.lit(1)).cast("int").alias("m"),
+        "topic", "ord", "text", earlier.alias("s"), (F.col("n_mentions") if seed_mentions else F.lit(1)).cast("int").alias("m"),
         text.content_tokens("text").alias("t"), text.entities("text").alias("e"), text.actions("text").alias("a"),
     )
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for r in pdf.sort_values("ord", kind="stable").itertuples():
-            t, e, a = set(r.t), set(r.e), set(r.a)
-            for c in clusters:
-                same = t and c["t"] and (len(t & c["t"]) >= threshold * len(t | c["t"]) or (e & c["e"] and a & c["a"]))
-                if same:
-                    c["n"] += r.m
-                    c["s"].add(r.source)
-                    if len(r.text) > len(c["text"]):
-                        c.update(text=r.text, t=t, e=e, a=a)
-                    break
-            else:
-                clusters.append({"ord": r.ord, "text": r.text, "t": t, "e": e, "a": a, "n": r.m, "s": {r.source}})
-        rows = [(pdf["topic"].iloc[0], c["ord"], c["text"], c["n"], sorted(s for s in c["s"] if s)) for c in clusters]
-        return pd.DataFrame(rows, columns=["topic", "ord", "text", "n_mentions", "sources"])
-
-    schema = f"topic {dict(events.dtypes)['topic']}, ord {dict(events.dtypes)['ord']}, text string, n_mentions int, sources array<string>"
-    return made.groupBy("topic").applyInPandas(fold, schema)
+    names = ["topic", "ord", "text", "n_mentions", "sources"]
+
+    def rows(topic, clusters: list[Cluster]) -> list[tuple]:
+        return [(topic, c.ord, c.text, c.mentions, sorted(c.sources)) for c in clusters]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        topic, fold, out = None, Fold(threshold), []
+        for batch in batches:
+            for r in batch.itertuples():
+                if r.topic != topic:
+                    out += rows(topic, fold.clusters)
+                    topic, fold = r.topic, Fold(threshold)
+                fold.add(Cluster(r.ord, r.text, set(r.t), set(r.e), set(r.a), r.m, {x for x in r.s if x}))
+            if out:
+                yield pd.DataFrame(out, columns=names)
+                out = []
+        yield pd.DataFrame(out + rows(topic, fold.clusters), columns=names)
+
+    kinds = dict(events.dtypes)
+    schema = f"topic {kinds['topic']}, ord {kinds['ord']}, text string, n_mentions int, sources array<string>"
+    return made.repartition("topic").sortWithinPartitions("topic", "ord").mapInPandas(run, schema)
+
+
+@dataclass
+class Cluster:
+    ord: object
+    text: str
+    tokens: set
+    names: set
+    actions: set
+    mentions: int
+    sources: set
+
+
+class Fold:
+    """The clusters of a topic, found by the tokens and names of the texts that stand, or have stood, for them."""
+
+    def __init__(self, threshold: float):
+        self.threshold, self.clusters, self.by_word = threshold, [], {}
+
+    def same(self, a: Cluster, b: Cluster) -> bool:
+        if not a.tokens or not b.tokens:
+            return False
+        return len(a.tokens & b.tokens) >= self.threshold * len(a.tokens | b.tokens) or bool(a.names & b.names and a.actions & b.actions)
+
+    def add(self, new: Cluster) -> None:
+        met = sorted({k for w in new.tokens | new.names for k in self.by_word.get(w, ())})
+        at = next((k for k in met if self.same(new, self.clusters[k])), None)
+        if at is None:
+            at = len(self.clusters)
+            self.clusters.append(new)
+        else:
+            old = self.clusters[at]
+            old.mentions += new.mentions
+            old.sources |= new.sources
+            if len(new.text) <= len(old.text):
+                return
+            old.text, old.tokens, old.names, old.actions = new.text, new.tokens, new.names, new.actions
+        for w in new.tokens | new.names:
+            self.by_word.setdefault(w, set()).add(at)
 
 
 def timeline(candidates: DataFrame, event_date: str = "event_date", doc_date: str = "doc_date") -> DataFrame:
@@ -103,25 +146,52 @@ def timeline(candidates: DataFrame, event_date: str = "event_date", doc_date: st
     return df.withColumn("position", position).orderBy("topic", F.asc_nulls_last("parsed_date"), "ord")
 
 
-def candidates(docs: DataFrame, model: Callable[[str], str] = offline_model) -> DataFrame:
-    """From documents to merged candidates, batched by topic."""
-    events = from_topics(docs, model).where(keeps("text"))
-    return merge_mentions(events.withColumnRenamed("event_ord", "ord"))
-
-
-class StubTagger:
-    """Names by their capitals alone, where no tagger is at hand."""
-
-    def __call__(self, batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        import re
+def candidates(docs: DataFrame, model: Callable[[str], str] = offline_model, least: int = 0, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+    """From documents (topic, target, event_date, ord, content, source, doc_date) to merged candidates on a timeline.
 
-        for texts in batches:
-            yield texts.map(lambda t: [{"text": m, "label": "NAME"} for m in re.findall(r"\b[A-Z][a-zA-Z&.]{2,}\b", t or "")])
-
-
-def label_counts(df: DataFrame, column: str, tagger=None) -> DataFrame:
-    """label, n, share of the entities that a tagger finds in the distinct texts of a column."""
-    tag = F.pandas_udf(tagger or StubTagger().__call__, "array<struct<text:string,label:string>>")
-    n = df.select(column).distinct().select(F.explode(tag(column)).alias("e")).groupBy("e.label").agg(F.count("*").alias("n"))
+    One call a topic; topics with fewer than `least` candidates are asked once more, with what was found, and both passes
+    merge. A candidate keeps its first mention's date. store(df) writes what a model told: a call that runs again may tell
+    something else.
+    """
+    sound_unions(docs.sparkSession)
+    told = store(from_topics(docs, model)).where(keeps("text")).withColumnRenamed("event_ord", "ord")
+    found = merge_mentions(told)
+    dates = told.select("topic", "ord", "doc_date")
+    if least:
+        found = store(found)
+        few = need_second_pass(docs.select("topic").distinct(), found, least)
+        more = store(from_topics(docs.join(few, "topic", "left_semi"), model, found=found.select("topic", "text")))
+        more = more.where(keeps("text")).withColumn("ord", F.col("event_ord") + 1_000_000).drop("event_ord")
+        dates = dates.unionByName(more.select("topic", "ord", "doc_date"))
+        more = more.select("topic", "ord", "text", F.lit(1).alias("n_mentions"), F.array_compact(F.array("source")).alias("sources"))
+        found = merge_mentions(found.unionByName(more), seed_mentions=True)
+    events = docs.select("topic", "event_date").distinct()
+    return timeline(found.join(dates, ["topic", "ord"]).join(events, "topic"))
+
+
+#: Rules of a tagger that needs no model: label and pattern of a whole word, the first that fits wins.
+TAGS = [
+    ("DATE", r"(?:19|20)[0-9]{2}|January|February|March|April|June|July|August|September|October|November|December"),
+    ("MONEY", r"[$€£][0-9][0-9.,]*"),
+    ("PERCENT", r"[0-9][0-9.,]*%"),
+    ("ORG", r"[A-Z]{2,6}"),
+    ("NAME", r"[A-Z][a-z]{2,}"),
+    ("CARDINAL", r"[0-9][0-9.,]*"),
+]
+#: What may be tagged: words, and numbers with their signs.
+TAGGED = r"[$€£]?[0-9]+(?:[.,][0-9]+)*%?|[\p{L}\p{N}_]+"
+
+
+def tags(x) -> Column:
+    """The entities of a text by rules, as an array of (text, label): a JVM stand-in for a trained tagger."""
+    label = lambda t: F.coalesce(*[F.when(t.rlike(f"^(?:{p})$"), F.lit(name)) for name, p in TAGS])
+    found = F.transform(F.regexp_extract_all(x, F.lit(TAGGED), F.lit(0)), lambda t: F.struct(t.alias("text"), label(t).alias("label")))
+    return F.filter(found, lambda t: t["label"].isNotNull())
+
+
+def label_counts(df: DataFrame, column: str, tagger: Callable[[Iterator[pd.Series]], Iterator[pd.Series]] | None = None) -> DataFrame:
+    """label, n, pct of the entities in the distinct texts of a column; tagger: a trained one, as an Arrow UDF's function."""
+    tag = F.pandas_udf(tagger, "array<struct<text:string,label:string>>")(column) if tagger else tags(column)
+    n = df.select(column).distinct().select(F.explode(tag).alias("e")).groupBy("e.label").agg(F.count("*").alias("n"))
     total = n.agg(F.sum("n").alias("total"))
     return n.crossJoin(F.broadcast(total)).select("label", "n", (F.col("n") * 100 / F.col("total")).alias("pct"))

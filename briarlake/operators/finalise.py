@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from briarlake.functions import text
+from briarlake.functions import fixed, text
 from briarlake.operators.score import krippendorff_alpha
 
 
@@ -47,13 +47,44 @@ def split_events(questions: DataFrame, train: float = 0.7, dev: float = 0.15, se
     return questions.join(events.select("asset", "event_date", split.alias("split")), ["asset", "event_date"])
 
 
-def profile(questions: DataFrame) -> DataFrame:
-    """metric, value of a question set."""
+def _metrics(a: DataFrame, names: list[str] | None = None) -> DataFrame:
+    names = names or a.columns
+    return a.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*[F.col(f"`{n}`").cast("double") for n in names]))).alias("metric", "value"))
+
+
+def profile(questions: DataFrame, docs: DataFrame | None = None, published: bool = False) -> DataFrame:
+    """metric, value of a question set; with docs (topic_id, source, role, content) those of its documents too.
+
+    by_asset:x counts the questions of an asset. published adds the source dataset's figures as published:x.
+    """
     size = F.size(text.letters("golden_answer"))
-    a = questions.agg(
-        F.count("*").cast("double").alias("questions"), F.count_distinct("asset", "event_date").cast("double").alias("events"),
+    out = _metrics(questions.agg(
+        F.count("*").alias("questions"), F.count_distinct("asset", "event_date").alias("events"),
         (F.count("*") / F.greatest(F.lit(1), F.count_distinct("asset", "event_date"))).alias("per_event"), F.avg(size).alias("mean_gold"),
-        *[(F.avg((size == k).cast("int")) * 100).alias(f"size_{k}_pct") for k in (1, 2, 3)], F.avg(text.word_count("target_event")).alias("target_words"),
-    )
-    names = a.columns
-    return a.select(F.explode(F.map_from_arrays(F.array(*[F.lit(n) for n in names]), F.array(*names))).alias("metric", "value"))
+        *[(F.avg((size == k).cast("int")) * 100).alias(f"size_{k}_pct") for k in (1, 2, 3)], (F.avg((size > 1).cast("int")) * 100).alias("multi_answer_pct"),
+        F.avg(text.word_count("target_event")).alias("target_words"),
+    ))
+    assets = questions.groupBy("asset").agg(F.count("*").cast("double").alias("value"))
+    out = out.unionByName(assets.select(F.concat(F.lit("by_asset:"), F.coalesce(F.col("asset").cast("string"), F.lit(""))).alias("metric"), "value"))
+    if docs is not None:
+        out = out.unionByName(document_profile(docs))
+    if published:
+        out = out.unionByName(out.sparkSession.createDataFrame([(f"published:{k}", float(v)) for k, v in fixed.PUBLISHED.items()], "metric string, value double"))
+    return out
+
+
+def document_profile(docs: DataFrame, top: int = 5) -> DataFrame:
+    """metric, value of documents: per topic, words, tokens (1.3 a word), sources, the largest sources' share, distractors."""
+    topics = docs.groupBy("topic_id").agg(F.count("*").alias("n"), F.sum(text.word_count(F.coalesce("content", F.lit("")))).alias("words"))
+    sources = docs.groupBy(F.coalesce("source", F.lit("")).alias("source")).agg(F.count("*").alias("n"), F.count_if(F.col("role") == "distractor").alias("off"))
+    most = sources.orderBy(F.desc("n"), "source").limit(top).agg(F.sum("n").alias("most"))
+    a = topics.agg(F.avg("n").alias("docs_per_topic"), F.avg("words").alias("words_per_topic"), (F.avg("words") * 1.3).alias("tokens_per_topic"))
+    b = sources.agg(F.count_if(F.col("source") != "").alias("unique_sources"), F.sum("n").alias("all"), F.sum("off").alias("off")).crossJoin(F.broadcast(most))
+    share = lambda c: F.col(c) * 100 / F.greatest(F.lit(1), F.coalesce("all", F.lit(0)))
+    return _metrics(a).unionByName(_metrics(b.select("unique_sources", share("most").alias("top5_source_share_pct"), share("off").alias("distractor_pct"))))
+
+
+def against_published(report: DataFrame) -> DataFrame:
+    """metric, published, found: the source dataset's figures beside those of a report (metric, value)."""
+    told = report.sparkSession.createDataFrame([(k, float(v)) for k, v in fixed.PUBLISHED.items()], "metric string, published double")
+    return F.broadcast(told).join(report.withColumnRenamed("value", "found"), "metric", "left")

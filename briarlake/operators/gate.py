@@ -32,7 +32,8 @@ def word_overlap(options: DataFrame) -> DataFrame:
 
 
 def structure(options: DataFrame, marker: str = fixed.NONE_GATE_MARKER) -> DataFrame:
-    """metric, value: none options present and correct, repeated options, answers by letter and their spread, cardinality."""
+    """metric, value: none options present and, of the questions that show one, correct (null if none does), repeated options,
+    answers by letter and their spread, cardinality."""
     none = F.coalesce(F.contains("text", F.lit(marker)), F.lit(False))
     same = F.lower(text.strip("text"))
     per = options.groupBy("id").agg(
@@ -43,7 +44,8 @@ def structure(options: DataFrame, marker: str = fixed.NONE_GATE_MARKER) -> DataF
     pct = lambda c: F.avg(c.cast("int")) * 100
     golds = [F.sum(f"gold_{x}") for x in LETTERS]
     a = per.agg(
-        F.count("*").cast("double").alias("questions"), pct(F.col("none_present")).alias("none_present_pct"), pct(F.col("none_correct")).alias("none_correct_pct"),
+        F.count("*").cast("double").alias("questions"), pct(F.col("none_present")).alias("none_present_pct"),
+        pct(F.when(F.col("none_present"), F.col("none_correct"))).alias("none_correct_pct"),
         pct(F.col("repeated")).alias("repeated_pct"), *[g.cast("double").alias(f"gold_{x}") for g, x in zip(golds, LETTERS, strict=True)],
         ((F.greatest(*golds) - F.least(*golds)) * 100 / F.greatest(F.lit(1), sum(golds[1:], golds[0]))).alias("position_spread_pct"),
         *[pct(F.col("n_gold") == k).alias(f"gold_size_{k}_pct") for k in (1, 2, 3)],
@@ -55,7 +57,8 @@ def structure(options: DataFrame, marker: str = fixed.NONE_GATE_MARKER) -> DataF
 def leakage(options: DataFrame, seed: int = 42, features: int = 2000, least: int = 40, reliable: int = 200) -> DataFrame:
     """Whether options alone give answers away: TF-IDF of words and pairs, balanced logistic regression, a held-out fifth.
 
-    One row: error, n_options, accuracy, baseline, gap_pp, reliable. The fifth is chosen by hash within each class.
+    One row: error, n_options, accuracy, baseline, gap_pp, reliable. The fifth is chosen by hash within each class. The model
+    is fitted when this is called; the rows that it is fitted on are given back before the result is returned.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
@@ -84,11 +87,12 @@ def leakage(options: DataFrame, seed: int = 42, features: int = 2000, least: int
         ]
     ).fit(train)
     a = model.transform(rows.where("test")).agg(F.avg((F.col("prediction") == F.col("label")).cast("int")).alias("acc"), F.avg("label").alias("p"))
-    base = F.greatest(F.col("p"), 1 - F.col("p"))
-    return a.select(
-        F.lit(None).cast("string").alias("error"), F.lit(n).cast("long").alias("n_options"), F.col("acc").alias("accuracy"), base.alias("baseline"),
-        ((F.col("acc") - base) * 100).alias("gap_pp"), F.lit(questions >= reliable).alias("reliable"),
-    )
+    found = a.first()
+    rows.unpersist()
+    if found["acc"] is None:
+        return spark.createDataFrame([("no held-out options", n, None, None, None, False)], schema)
+    base = max(found["p"], 1 - found["p"])
+    return spark.createDataFrame([(None, n, found["acc"], base, (found["acc"] - base) * 100, questions >= reliable)], schema)
 
 
 def verdict(length: DataFrame, structural: DataFrame, leak: DataFrame | None = None, leak_pp: float = 15.0, gap: float = 4.0, none_pct: float = 75.0, spread_pct: float = 12.0) -> DataFrame:

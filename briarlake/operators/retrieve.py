@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -93,7 +94,7 @@ def topic_counters(docs: DataFrame, min_docs: int = 5) -> DataFrame:
     return docs.groupBy("topic").agg(
         F.count_if(F.expr("role = 'relevant'")).alias("n_relevant"), F.count_if(F.expr("role = 'distractor'")).alias("n_distractor"),
         F.count_if("content_is_snippet").alias("n_snippet_only"), words.alias("words"), F.floor(words * 1.3).alias("tokens"),
-        (F.count_if(F.expr("role = 'relevant'")) < min_docs).alias("thin"),
+        (F.count("*") < min_docs).alias("thin"),
     )
 
 
@@ -131,6 +132,58 @@ def within_budget(blocks: DataFrame, budget: int = 250_000, clip: int = 9000) ->
 
 
 def context(docs: DataFrame, clip: int = 1500, most: int = 8000) -> DataFrame:
-    """One text per topic: its clipped documents in order, joined by blank lines and clipped."""
-    parts = docs.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("ord", F.substring("content", 1, clip).alias("c")))).alias("p"))
+    """One text per topic: its clipped documents in order, joined by blank lines and clipped. With source and doc_date, each
+    document has these at its head; empty documents are left out.
+
+    Only documents that can stand within the clip, or whose blank line can, are gathered: each takes a character and a blank
+    line at least.
+    """
+    body = F.substring("content", 1, clip)
+    if {"source", "doc_date"} <= set(docs.columns):
+        body = F.concat(F.lit("["), F.coalesce("source", F.lit("")), F.lit(" "), F.coalesce("doc_date", F.lit("")), F.lit("]\n"), body)
+    own = docs.where("content <> ''").select("topic", "ord", body.alias("c"))
+    order = Window.partitionBy("topic").orderBy("ord")
+    own = own.withColumn("k", F.row_number().over(order)).where(F.col("k") <= most // 3 + 2)
+    own = own.withColumn("before", F.sum(F.length("c") + 2).over(order.rowsBetween(Window.unboundedPreceding, -1))).where(F.coalesce("before", F.lit(0)) < most + 2)
+    parts = own.groupBy("topic").agg(F.array_sort(F.collect_list(F.struct("k", "c"))).alias("p"))
     return parts.select("topic", F.substring(F.array_join(F.transform("p", lambda x: x["c"]), "\n\n"), 1, most).alias("context"))
+
+
+def evidence(docs: DataFrame) -> DataFrame:
+    """topic_id, context of what a scorer sees: the topic's documents (topic_id, ord, content, role), distractors left out."""
+    on_story = docs.where(F.coalesce(F.col("role"), F.lit("")) != "distractor") if "role" in docs.columns else docs
+    return context(on_story.withColumnRenamed("topic_id", "topic")).withColumnRenamed("topic", "topic_id")
+
+
+def average_size(topics: DataFrame, column: str = "docs") -> DataFrame:
+    """One row: mean length of a list column; null lists count as empty."""
+    return topics.agg(F.avg(F.size(F.coalesce(column, F.array()))).alias("mean_size"))
+
+
+def fullest_topic(counters: DataFrame, by: str = "n_relevant") -> DataFrame:
+    """The topic with the most, the first on ties."""
+    return counters.orderBy(F.desc(by), "topic").limit(1)
+
+
+def topic_documents(events: DataFrame, search: Callable[..., DataFrame], fetch: Callable[[DataFrame], DataFrame], n_relevant: int = 15, n_distractor: int = 5, long: bool = False) -> DataFrame:
+    """The documents of events (topic, asset, date), found and fetched: role, ord and content of each.
+
+    search(searches, most) gives hits (search_id, rank, url, title, source, snippet, …) of searches (search_id, query, date);
+    fetch(hits) gives these with html, null where a page cannot be had. Hits without text fall back on their snippet.
+    """
+
+    def hits(off_story: bool, most: int) -> DataFrame:
+        queries = queries_of(events, off_story=off_story, long=long and not off_story)
+        searches = queries.withColumn("search_id", F.concat_ws("|", F.col("topic").cast("string"), F.col("query_ord").cast("string")))
+        found = search(searches.select("search_id", "query", "date"), most)
+        return found.drop("query", "date", *[c for c in ("topic", "query_ord") if c in found.columns]).join(searches.select("search_id", "topic", "query_ord"), "search_id")
+
+    per_query = max(1, n_distractor // max(len(q) for q in fixed.OFF_STORY_QUERIES.values()))
+    built = build_topics(hits(False, 40), hits(True, per_query * 4), n_relevant, n_distractor)
+    return with_content(fetch(built))
+
+
+def topics_of(documents: DataFrame, events: DataFrame, min_docs: int = 5) -> DataFrame:
+    """A row per event with its counters; events without documents have none and are thin."""
+    counters = topic_counters(documents, min_docs)
+    return events.join(counters, "topic", "left").na.fill(0, [c for c in counters.columns if c.startswith("n_")]).na.fill({"words": 0, "tokens": 0, "thin": True})

@@ -88,3 +88,21 @@ def volatility_summary(prices: DataFrame, big: float = 0.02) -> DataFrame:
 def flagged_prices(moves: DataFrame, prices: DataFrame) -> DataFrame:
     """The close of each selected day."""
     return moves.join(prices.select("asset", "date", "close"), ["asset", "date"], "left")
+
+
+def target_text(moves: DataFrame) -> DataFrame:
+    """moves with target: what happened to the asset that day, in basis points."""
+    bp = F.round(F.col("pct_move") * 100).cast("bigint").cast("string")
+    return moves.withColumn("target", F.concat("asset", F.lit(" moved "), bp, F.lit(" bp on "), F.col("date").cast("string")))
+
+
+def positional_ids(events: DataFrame, order: tuple[str, ...] = ("asset", "date")) -> DataFrame:
+    """events with topic_id, their place from 0 in that order.
+
+    Places are counted within assets, and the counts of the assets before are added, so no task holds all events.
+    """
+    first = order[0]
+    before = F.sum("n").over(Window.orderBy(first).rowsBetween(Window.unboundedPreceding, -1))
+    counts = events.groupBy(first).agg(F.count("*").alias("n")).withColumn("_before", F.coalesce(before, F.lit(0))).drop("n")
+    place = F.row_number().over(Window.partitionBy(first).orderBy(*order[1:])) - 1
+    return events.withColumn("_place", place).join(F.broadcast(counts), first).withColumn("topic_id", (F.col("_place") + F.col("_before")).cast("bigint")).drop("_place", "_before")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, parsers, text
@@ -192,7 +192,7 @@ def context_concat(spark, d):
     return retrieve.context(v.topic_docs(spark, d)).select("topic", F.md5("context").alias("digest"))
 
 
-@query(f"""SELECT topic, n_relevant, n_distractor, n_snippet_only, words, CAST(floor(words * 1.3) AS BIGINT) AS tokens, n_relevant < 5 AS thin FROM (
+@query(f"""SELECT topic, n_relevant, n_distractor, n_snippet_only, words, CAST(floor(words * 1.3) AS BIGINT) AS tokens, n_relevant + n_distractor < 5 AS thin FROM (
   SELECT source AS topic, count(*) FILTER (WHERE ord % 3 > 0) AS n_relevant, count(*) FILTER (WHERE ord % 3 = 0) AS n_distractor, count(*) FILTER (WHERE n_chars < 300) AS n_snippet_only,
   CAST(sum({wc('content')}) AS BIGINT) AS words FROM topic_docs_v GROUP BY 1)""")
 def topic_counters(spark, d):
@@ -239,14 +239,16 @@ def near_dup_pairs(spark, d):
     return a.join(b, "id").where((F.col("a") < F.col("b")) & (j >= 0.1)).select("id", "a", "b", F.round(j, 6).alias("jaccard"))
 
 
+_ENDINGS = ["analysts said", "gold surged", "on trading volume", "the dollar surged", "and closed"]
+
+
 def _sentences(spark, d):
-    """First words of documents with an ending that meets one of the filters."""
-    endings = ["analysts said", "gold surged", "on trading volume", "the dollar surged", "and closed"]
-    ending = F.element_at(F.array(*[F.lit(e) for e in endings]), (F.col("doc_id") % 5 + 1).cast("int"))
-    return v.table(spark, d, "documents").select("doc_id", F.concat(F.substring("text", 1, 60), F.lit(" "), ending).alias("text"))
+    """Whole documents with an ending that meets one of the filters."""
+    ending = F.element_at(F.array(*[F.lit(e) for e in _ENDINGS]), (F.col("doc_id") % 5 + 1).cast("int"))
+    return v.table(spark, d, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), ending).alias("text"))
 
 
-_SENTENCES = """(SELECT doc_id, substring(text, 1, 60) || ' ' || ['analysts said', 'gold surged', 'on trading volume', 'the dollar surged', 'and closed'][doc_id % 5 + 1] AS text FROM documents)"""
+_SENTENCES = "(SELECT doc_id, coalesce(text, '') || ' ' || [" + ", ".join(f"'{e}'" for e in _ENDINGS) + "][doc_id % 5 + 1] AS text FROM documents)"
 
 
 @query(f"SELECT doc_id FROM {_SENTENCES} WHERE NOT {has('text', fixed.OPINION_MARKERS)}")
@@ -265,75 +267,100 @@ def event_filter(spark, d):
     return _sentences(spark, d).where(extract.keeps("text")).select("doc_id")
 
 
-_DATES = [(1, "20230313T120000Z"), (2, "2023-03-13"), (3, "20230313"), (4, "published 2023-03-13, late"), (5, ""), (6, "2023-13-40"), (7, None), (8, "2023-03-20")]
-_PARSED = {1: "2023-03-13", 2: "2023-03-13", 3: "2023-03-13", 4: "2023-03-13", 8: "2023-03-20"}
+def _cases(spark, d, cases: list, more: list = ()):
+    """doc_id, x: by doc_id, one of the raw strings that cases (columns over doc_id, day and text) give; more: further columns."""
+    docs = v.table(spark, d, "documents").select("doc_id", "text", F.date_add(F.lit("2022-10-01").cast("date"), (F.col("doc_id") % 700).cast("int")).alias("day"))
+    pick = F.coalesce(*[F.when(F.col("doc_id") % len(cases) == i, c) for i, c in enumerate(cases)])
+    return docs.select("doc_id", "day", pick.alias("x"), *more)
 
 
-def _values(rows: list[tuple]) -> str:
-    told = lambda x: "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
-    return "VALUES " + ", ".join("(" + ", ".join(map(told, r)) + ")" for r in rows)
+_DAY = "(SELECT doc_id, text, DATE '2022-10-01' + CAST(doc_id % 700 AS INTEGER) AS day FROM documents)"
+_as = lambda pattern: F.date_format("day", pattern)
 
 
-@query(f"""SELECT CAST(i AS INTEGER) AS i, CAST(p AS DATE) AS parsed_date, CASE WHEN p IS NULL THEN 'unknown' WHEN CAST(p AS DATE) <= DATE '2023-03-15' THEN 'before' ELSE 'after' END AS position
-  FROM ({_values([(i, _PARSED.get(i)) for i, _ in _DATES])}) t(i, p)""")
+@query(f"""SELECT doc_id, p AS parsed_date, CASE WHEN p IS NULL THEN 'unknown' WHEN p <= DATE '2023-06-15' THEN 'before' ELSE 'after' END AS position
+  FROM (SELECT doc_id, CASE WHEN doc_id % 8 < 4 THEN CAST(day AS DATE) END AS p FROM {_DAY})""")
 def timeline(spark, d):
-    df = spark.createDataFrame(_DATES, "i int, doc_date string").select("*", F.lit(1).alias("topic"), F.col("i").alias("ord"), F.lit("2023-03-15").cast("date").alias("event_date"))
-    return extract.timeline(df).select("i", "parsed_date", "position")
-
-
-_REPORTED = [(1, "2 hours ago", "2024-01-31"), (2, "3 weeks ago", "2024-01-10"), (3, "Mar 13, 2023", "2023-03-13"), (4, "March 13, 2023", "2023-03-13"), (5, "13 Mar 2023", "2023-03-13"),
-             (6, "3/13/2023", "2023-03-13"), (7, "2023-03-13", "2023-03-13"), (8, "soon", None), (9, "1 month ago", "2024-01-01")]
+    """Dates of documents written in four ways that are read, and four that are not."""
+    cases = [F.concat(_as("yyyyMMdd"), F.lit("T120000Z")), _as("yyyy-MM-dd"), _as("yyyyMMdd"), F.concat(F.lit("published "), _as("yyyy-MM-dd"), F.lit(", "), F.col("text")),
+             F.lit(""), F.concat(_as("yyyy"), F.lit("-13-40")), F.lit(None).cast("string"), F.lit("lately")]
+    df = _cases(spark, d, cases).select(F.lit(1).alias("topic"), F.col("doc_id").alias("ord"), F.col("x").alias("doc_date"), F.lit("2023-06-15").cast("date").alias("event_date"))
+    return extract.timeline(df).select(F.col("ord").alias("doc_id"), "parsed_date", "position")
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(p AS DATE) AS date FROM ({_values([(i, p) for i, _, p in _REPORTED])}) t(i, p)")
+@query(f"""SELECT doc_id, CAST(CASE doc_id % 13 WHEN 0 THEN as_of WHEN 1 THEN as_of WHEN 2 THEN as_of - n WHEN 3 THEN as_of - 7 * n WHEN 4 THEN as_of - 30 * n WHEN 5 THEN as_of - 365 * n
+  WHEN 6 THEN day WHEN 7 THEN day WHEN 8 THEN day WHEN 9 THEN day WHEN 10 THEN day END AS DATE) AS date FROM (SELECT *, DATE '2024-01-31' AS as_of, CAST(doc_id % 40 + 1 AS INTEGER) AS n FROM {_DAY})""")
 def reported_dates(spark, d):
-    df = spark.createDataFrame([(i, x) for i, x, _ in _REPORTED], "i int, x string")
-    return df.select("i", text.parse_reported_date("x", F.lit("2024-01-31").cast("date")).alias("date"))
+    n = (F.col("doc_id") % 40 + 1).cast("string")
+    ago = [F.concat(n, F.lit(f" {u} ago")) for u in ("minutes", "hour", "days", "weeks", "months", "years")]
+    told = [_as(p) for p in ("MMM d, yyyy", "MMMM dd, yyyy", "dd MMM yyyy", "M/d/yyyy", "yyyy-MM-dd")]
+    cases = [*ago, *told, F.lit("soon"), F.lit(None).cast("string")]
+    return _cases(spark, d, cases).select("doc_id", text.parse_reported_date("x", F.lit("2024-01-31").cast("date")).alias("date"))
 
 
-_LEAKS = [(1, "in 2022 it fell", "2023-07-01", True), (2, "on 2023-12-25 it fell", "2023-07-01", True), (3, "on September 3", "2023-07-01", False), (4, "on November 3", "2023-07-01", True),
-          (5, "rates may rise", "2023-07-01", False), (6, "rates may rise", "2023-10-01", True), (7, "nothing", "2023-10-01", False)]
+_MONTH_CASES = " OR ".join(f"(regexp_matches(x, '(?i)\\b{m}\\b') AND least(abs({i} - month(day)), 12 - abs({i} - month(day))) > 3)" for i, m in enumerate(fixed.MONTHS, 1))
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(x AS BOOLEAN) AS leaks FROM ({_values([(i, int(x)) for i, _, _, x in _LEAKS])}) t(i, x)")
+@query(f"""SELECT doc_id, len(list_filter(regexp_extract_all(x, '\\b((?:19|20)\\d{{2}})\\b', 1), lambda y: CAST(y AS INTEGER) <> year(day))) > 0
+  OR len(list_filter(regexp_extract_all(x, '\\b(\\d{{4}}-\\d{{2}}-\\d{{2}})\\b', 1), lambda t: abs(date_diff('day', CAST(TRY_CAST(t AS DATE) AS DATE), CAST(day AS DATE))) > 93)) > 0 OR {_MONTH_CASES} AS leaks
+  FROM (SELECT doc_id, day, coalesce(text, '') || CASE doc_id % 5 WHEN 0 THEN ' in ' || (2021 + doc_id % 4) WHEN 1 THEN ' on ' || strftime(day + CAST(doc_id % 200 AS INTEGER), '%Y-%m-%d') WHEN 2 THEN ' in '
+  || strftime(day + CAST(doc_id % 300 AS INTEGER), '%B') WHEN 3 THEN ' rates may rise' ELSE '' END AS x FROM {_DAY})""")
 def date_leak(spark, d):
-    df = spark.createDataFrame([(i, t, e) for i, t, e, _ in _LEAKS], "i int, t string, e string")
-    return df.select("i", text.date_leaks("t", F.to_date("e")).alias("leaks"))
+    later = lambda k, p: F.date_format(F.date_add("day", (F.col("doc_id") % k).cast("int")), p)
+    ends = [F.concat(F.lit(" in "), (2021 + F.col("doc_id") % 4).cast("string")), F.concat(F.lit(" on "), later(200, "yyyy-MM-dd")), F.concat(F.lit(" in "), later(300, "MMMM")), F.lit(" rates may rise"), F.lit("")]
+    cases = [F.concat(F.coalesce("text", F.lit("")), e) for e in ends]
+    return _cases(spark, d, cases).select("doc_id", text.date_leaks("x", "day").alias("leaks"))
 
 
-_ANSWERS = [(1, '{"answer":["A","C"]}', "A,C"), (2, '```json\n{"answer": "B"}\n```', "B"), (3, "the answer is A and C", "A,C"), (4, "- B. because", "B"), (5, "", ""), (6, '["D", "a"]', "A,D"), (7, "I pick C", "C")]
-
-
-@query(f"SELECT CAST(i AS INTEGER) AS i, x AS letters FROM ({_values([(i, x) for i, _, x in _ANSWERS])}) t(i, x)")
-def parse_answers(spark, d):
-    df = spark.createDataFrame([(i, t) for i, t, _ in _ANSWERS], "i int, t string")
-    return df.select("i", F.array_join(parsers.answer_of("t"), ",").alias("letters"))
+_GOLD = "list_filter(['A', 'B', 'C', 'D'], lambda c: (doc_id // 7 + 1) // CAST(pow(2, ascii(c) - 65) AS BIGINT) % 2 = 1)"
 
 
-_SCORES = [(1, '{"score": 2}', 2), (2, '```json\n{"score": "3", "reasoning": "x"}\n```', 3), (3, 'It is {"score": 1}.', 1), (4, "score: 2", 2), (5, "none", None)]
+def _gold():
+    names = F.array(*[F.lit(x) for x in "ABCD"])
+    return F.filter(names, lambda c: F.pmod(F.floor((F.floor(F.col("doc_id") / 7) + 1) / F.pow(F.lit(2), F.ascii(c) - 65)), F.lit(2)) == 1)
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(x AS INTEGER) AS score FROM ({_values([(i, x) for i, _, x in _SCORES])}) t(i, x)")
+@query(f"SELECT doc_id, CASE WHEN doc_id % 7 = 6 THEN '' ELSE array_to_string(g, ',') END AS letters FROM (SELECT doc_id, {_GOLD} AS g FROM documents)")
+def parse_answers(spark, d):
+    """Answers in six shapes, and replies that name no option."""
+    g = _gold()
+    quoted = F.concat(F.lit('["'), F.array_join(g, '","'), F.lit('"]'))
+    quoted = F.when(F.size(g) > 0, quoted).otherwise("[]")
+    lines = F.concat(F.lit("* "), F.array_join(g, ". yes\n* "), F.lit(". yes"))
+    cases = [F.concat(F.lit('{"answer":'), quoted, F.lit("}")), F.concat(F.lit('```json\n{"answer": '), quoted, F.lit("}\n```")), quoted,
+             F.concat(F.lit('it is {"reasoning": "x", "answer": '), quoted, F.lit("}, so")), F.concat(F.lit('"answer": ['), F.array_join(g, ", "), F.lit("] {")),
+             F.when(F.size(g) > 0, lines).otherwise(""), F.lit("not one of these")]
+    return _cases(spark, d, cases).select("doc_id", F.array_join(parsers.answer_of("x"), ",").alias("letters"))
+
+
+@query("SELECT doc_id, CAST(CASE WHEN doc_id % 5 < 4 THEN doc_id // 5 % 4 END AS INTEGER) AS score FROM documents")
 def parse_scores(spark, d):
-    return spark.createDataFrame([(i, t) for i, t, _ in _SCORES], "i int, t string").select("i", parsers.score_of("t").alias("score"))
-
+    n = F.pmod(F.floor(F.col("doc_id") / 5), F.lit(4)).cast("string")
+    cases = [F.concat(F.lit('{"score": '), n, F.lit("}")), F.concat(F.lit('```json\n{"score": "'), n, F.lit('", "reasoning": "x"}\n```')), F.concat(F.lit('It is {"score": '), n, F.lit("}, no more.")),
+             F.concat(F.lit("score: "), n), F.lit("nothing to tell")]
+    return _cases(spark, d, cases).select("doc_id", parsers.score_of("x").alias("score"))
 
-_LISTS = [(1, '["Fed cuts rates", "  Bank fails "]'), (2, 'Here: [{"event": "Strike", "doc": 2}] ok'), (3, "none")]
 
-
-@query(f"SELECT CAST(i AS INTEGER) AS i, event, CAST(doc AS INTEGER) AS doc FROM ({_values([(1, 'Fed cuts rates', None), (1, 'Bank fails', None), (2, 'Strike', 2)])}) t(i, event, doc)")
+@query("""SELECT doc_id, 'event ' || k || ' of ' || doc_id AS event, CAST(CASE WHEN doc_id % 4 = 1 THEN k END AS INTEGER) AS doc FROM (SELECT doc_id, unnest(range(1, doc_id % 3 + 2)) AS k FROM documents WHERE doc_id % 4 < 3)""")
 def parse_event_lists(spark, d):
-    df = spark.createDataFrame(_LISTS, "i int, t string")
-    return df.select("i", F.explode(parsers.events_of("t")).alias("e")).select("i", "e.event", "e.doc")
-
+    """Lists of one to three events: strings, objects and fenced strings, and replies without a list."""
+    ks = F.sequence(F.lit(1), (F.col("doc_id") % 3 + 1).cast("int"))
+    name = lambda k: F.concat(F.lit("event "), k.cast("string"), F.lit(" of "), F.col("doc_id").cast("string"))
+    plain = F.concat(F.lit('["'), F.array_join(F.transform(ks, name), ' ", "'), F.lit('"]'))
+    objects = F.concat(F.lit("Here: ["), F.array_join(F.transform(ks, lambda k: F.concat(F.lit('{"event": "'), name(k), F.lit('", "doc": '), k.cast("string"), F.lit("}"))), ","), F.lit("] done"))
+    cases = [plain, objects, F.concat(F.lit("```json\n"), plain, F.lit("\n```")), F.lit("none")]
+    return _cases(spark, d, cases).select("doc_id", F.explode(parsers.events_of("x")).alias("e")).select("doc_id", "e.event", "e.doc")
 
-_BATCHES = [(1, '[{"n": 1, "score": 5, "why": "x"}, {"n": 2, "score": 0}]'), (2, 'broken [{"n": 1, "score": 2}, {"n": 3, "score": 1'), (3, "{}")]
 
-
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(n AS INTEGER) AS n, CAST(score AS INTEGER) AS score FROM ({_values([(1, 1, 3), (1, 2, 0), (2, 1, 2)])}) t(i, n, score)")
+@query("""SELECT doc_id, CAST(k AS INTEGER) AS n, CAST(least(3, greatest(0, (doc_id + k) % 7 - 2)) AS INTEGER) AS score FROM (SELECT doc_id, unnest(range(1, doc_id % 5 + 2)) AS k FROM documents WHERE doc_id % 3 < 2)
+  WHERE doc_id % 3 = 0 OR k <= doc_id % 5""")
 def parse_batch_scores(spark, d):
-    df = spark.createDataFrame(_BATCHES, "i int, t string")
-    return df.select("i", F.explode(parsers.batch_scores_of("t")).alias("e")).select("i", "e.n", "e.score")
+    """Lists of scores, some out of range; the second shape breaks off within its last object, the third has none."""
+    ks = F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int"))
+    one = lambda k: F.concat(F.lit('{"n": '), k.cast("string"), F.lit(', "score": '), ((F.col("doc_id") + k) % 7 - 2).cast("string"), F.lit(', "why": "x"}'))
+    whole = F.concat(F.lit("["), F.array_join(F.transform(ks, one), ", "), F.lit("]"))
+    cases = [whole, F.regexp_replace(whole, r'"[^"]*"\}\]$', ""), F.lit("{}")]
+    return _cases(spark, d, cases).select("doc_id", F.explode(parsers.batch_scores_of("x")).alias("e")).select("doc_id", "e.n", "e.score")
 
 
 @query()
@@ -342,9 +369,13 @@ def greedy_dedup(spark, d):
     return extract.merge_mentions(c, 0.2)
 
 
-@query()
+_LABEL = "CASE " + " ".join(f"WHEN regexp_matches(t, '^(?:{p})$') THEN '{n}'" for n, p in extract.TAGS) + " END"
+
+
+@query(f"""SELECT label, n, round(n * 100 / sum(n) OVER (), 6) AS pct FROM (SELECT label, count(*) AS n FROM (SELECT {_LABEL} AS label FROM (SELECT unnest(regexp_extract_all(text, '{extract.TAGGED}')) AS t FROM (SELECT DISTINCT text FROM documents)))
+  WHERE label IS NOT NULL GROUP BY 1)""")
 def ner_counts(spark, d):
-    return extract.label_counts(v.table(spark, d, "benchmark"), "text")
+    return extract.label_counts(v.table(spark, d, "documents"), "text").select("label", "n", *r6("pct"))
 
 
 @query()
@@ -410,11 +441,91 @@ def rescore_merge(spark, d):
     return score.rescored(c, c.where("doc_id % 2 = 0").withColumn("consensus", F.lit(1)), ["topic_id", "ord"]).select("topic_id", "ord", "consensus")
 
 
-@query("SELECT topic_id, ord, CASE WHEN position = 'after' THEN 0 END AS consensus, position = 'after' AS zeroed FROM candidates_v")
+@query("SELECT topic_id, ord, CASE WHEN position = 'after' THEN 0 END AS consensus, position = 'after' AS zeroed FROM candidates_v WHERE ord < 3")
 def auto_zero(spark, d):
     c = v.candidates(spark, d).drop("consensus")
-    zero = score.auto_zero(c).select("topic_id", "ord", "consensus", F.lit(True).alias("zeroed"))
-    return zero.unionByName(score.to_score(c).select("topic_id", "ord", F.lit(None).cast("int").alias("consensus"), F.lit(False).alias("zeroed")))
+    zero = score.auto_zero(c, most=3).select("topic_id", "ord", "consensus", F.lit(True).alias("zeroed"))
+    return zero.unionByName(score.to_score(c, most=3).select("topic_id", "ord", F.lit(None).cast("int").alias("consensus"), F.lit(False).alias("zeroed")))
+
+
+# Models whose replies follow from the length of what they are asked, so that SQL can tell what they say.
+
+
+_ONCE = {"retries": 1}
+
+
+def _modest(prompt: str) -> str:
+    return '{"score": %d}' % (len(prompt) % 4)
+
+
+def _moody(prompt: str) -> str:
+    if len(prompt) % 7 == 0:
+        raise TimeoutError("no answer")
+    return "score: %d" % (len(prompt) // 4 % 4) if len(prompt) % 5 else "cannot say"
+
+
+def _lists(prompt: str) -> str:
+    return "[" + ", ".join('{"n": %d, "score": %d}' % (i, (len(prompt) + i) % 4) for i in range(1, 41) if (len(prompt) + i) % 6) + "]"
+
+
+def _broken(prompt: str) -> str:
+    if len(prompt) % 3 == 0:
+        raise ConnectionError("gone")
+    return "Scores: " + " ".join('{"n": %d, "score": "%d"}' % (i, (len(prompt) // 3 + 2 * i) % 5) for i in range(1, 41)) + " ["
+
+
+def _topic_docs(spark, d):
+    """A topic's candidates are its documents too: every third one is a distractor."""
+    c = v.candidates(spark, d)
+    return c.select("topic_id", "ord", F.col("text").alias("content"), F.when(F.col("doc_id") % 3 == 0, "distractor").otherwise("relevant").alias("role"), F.col("asset").alias("source"), F.lit("2023").alias("doc_date"))
+
+
+_SEEN = """seen_v AS (SELECT topic_id, least(8000, sum(length('[' || asset || ' 2023]' || chr(10) || substring(text, 1, 1500)) + 2) - 2) AS ctx FROM candidates_v WHERE doc_id % 3 <> 0 AND text <> '' GROUP BY 1)"""
+_ONE, _ALL = len(score.ASK_ONE % ("", "", "")), len(score.ASK_ALL % ("", "", ""))
+_AUTO = "SELECT topic_id, ord, 0 AS consensus, 0 AS spread, false AS needs_review, 'dated after the target event' AS why FROM candidates_v WHERE position = 'after'"
+_JUDGED = """SELECT topic_id, ord, CAST(round_even(mid, 0) AS INTEGER) AS consensus, CAST(hi - lo AS INTEGER) AS spread, n < 2 OR hi - lo >= 2 OR mid = 1.5 AS needs_review,
+  CASE WHEN n = 0 THEN 'no model scored this' WHEN n = 1 THEN 'only one model scored this, no cross-check' WHEN hi - lo >= 2 THEN 'models disagree by ' || CAST(hi - lo AS INTEGER) WHEN mid = 1.5 THEN 'sits on the include/exclude boundary' END AS why
+  FROM (SELECT topic_id, ord, count(s) AS n, min(s) AS lo, max(s) AS hi, median(s) AS mid FROM asked_v GROUP BY 1, 2)"""
+
+
+def _topics(spark, d):
+    return v.candidates(spark, d).select("topic_id", "target_event").distinct()
+
+
+def _told(df):
+    return df.select("topic_id", "ord", "consensus", "spread", "needs_review", F.coalesce("auto_zero", "review_reason").alias("why"))
+
+
+@query(f""", {_SEEN}, len_v AS (SELECT c.topic_id, c.ord, {_ONE} + length(target_event) + length(text) + coalesce(ctx, 0) AS n FROM candidates_v c LEFT JOIN seen_v s ON c.topic_id = s.topic_id WHERE position <> 'after'),
+asked_v AS (SELECT topic_id, ord, n % 4 AS s FROM len_v UNION ALL SELECT topic_id, ord, CASE WHEN n % 7 > 0 AND n % 5 > 0 THEN n // 4 % 4 END FROM len_v) {_JUDGED} UNION ALL {_AUTO}""")
+def scored_candidates(spark, d):
+    """Two models rate every candidate; one of them fails now and then."""
+    c = v.candidates(spark, d).drop("consensus", "score")
+    return _told(score.score_topics(c, _topics(spark, d), _topic_docs(spark, d), {"modest": _modest, "moody": _moody}, asking=_ONCE))
+
+
+_LISTED = """listed_v AS (SELECT topic_id, ord, row_number() OVER (PARTITION BY topic_id ORDER BY ord) AS k, text, target_event FROM candidates_v WHERE position <> 'after'),
+lens_v AS (SELECT l.topic_id, any_value(length(target_event)) + coalesce(any_value(ctx), 0) + sum(length(k || '. ' || text) + 1) - 1 + %d AS n FROM listed_v l LEFT JOIN seen_v s ON l.topic_id = s.topic_id GROUP BY 1)""" % _ALL
+
+
+@query(f""", {_SEEN}, {_LISTED}, asked_v AS (SELECT l.topic_id, l.ord, CASE WHEN (n + k) % 6 > 0 THEN (n + k) % 4 END AS s FROM listed_v l JOIN lens_v USING (topic_id)
+  UNION ALL SELECT l.topic_id, l.ord, least(3, (n // 3 + 2 * k) % 5) FROM listed_v l JOIN lens_v USING (topic_id) WHERE n % 3 > 0) {_JUDGED} UNION ALL {_AUTO}""")
+def batch_scored_candidates(spark, d):
+    """Two models score a topic's candidates in one call: one leaves some out, the other's lists are broken and it fails now and then."""
+    c = v.candidates(spark, d).drop("consensus", "score")
+    return _told(score.score_batched(c, _topics(spark, d), _topic_docs(spark, d), {"lists": _lists, "broken": _broken}, asking=_ONCE))
+
+
+@query(f""", {_SEEN}, {_LISTED}, open_v AS (SELECT topic_id FROM candidates_v GROUP BY 1 HAVING bool_or(consensus IS NULL)),
+asked_v AS (SELECT l.topic_id, l.ord, CASE WHEN (n + k) % 6 > 0 THEN (n + k) % 4 END AS s FROM listed_v l JOIN lens_v USING (topic_id) JOIN open_v USING (topic_id)),
+new_v AS (SELECT topic_id, ord, CAST(s AS INTEGER) AS consensus FROM asked_v UNION ALL SELECT topic_id, ord, 0 FROM candidates_v JOIN open_v USING (topic_id) WHERE position = 'after'),
+mended_v AS (SELECT DISTINCT topic_id FROM asked_v)
+SELECT topic_id, ord, consensus FROM new_v WHERE topic_id IN (SELECT topic_id FROM mended_v) UNION ALL SELECT topic_id, ord, consensus FROM candidates_v WHERE topic_id NOT IN (SELECT topic_id FROM mended_v)""")
+def rescored_topics(spark, d):
+    """Topics with unscored candidates are asked again, the others stay."""
+    c = v.candidates(spark, d).drop("score")
+    old = c.select("*", F.lit(0).alias("spread"), F.lit(0.0).alias("mean"), F.lit(False).alias("needs_review"), F.lit(None).cast("string").alias("review_reason"), F.lit(None).cast("string").alias("auto_zero"))
+    return score.rescore(old, _topics(spark, d), _topic_docs(spark, d), {"lists": _lists}, asking=_ONCE).select("topic_id", "ord", "consensus")
 
 
 # --- assembly
@@ -455,8 +566,8 @@ def balanced_pick(spark, d):
   WHERE lower(trim(b.text)) NOT IN (SELECT lower(trim(o.text)) FROM candidates_v o WHERE o.topic_id = a.topic_id) GROUP BY 1""")
 def cross_topic_pool(spark, d):
     c = v.candidates(spark, d)
-    own = c.select("topic_id", F.lower(F.trim("text")).alias("n"))
-    topics, pool = c.where("ord = 0").select("topic_id", "asset"), assemble.distractor_pool(c).withColumn("n", F.lower(F.trim("pool_text")))
+    own = c.select("topic_id", F.md5(assemble.norm("text")).alias("n"))
+    topics, pool = c.where("ord = 0").select("topic_id", "asset"), assemble.distractor_pool(c)
     return topics.join(pool, "asset").where("from_topic <> topic_id").join(own, ["topic_id", "n"], "left_anti").groupBy("topic_id").agg(F.count("*").alias("n"))
 
 
@@ -502,25 +613,27 @@ def word_overlap(spark, d):
     return gate.word_overlap(v.options(spark, d))
 
 
-_STRUCTURE = """(SELECT id, count(DISTINCT lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) < count(text) AS rep, count(*) FILTER (WHERE is_golden) AS ng, count(*) FILTER (WHERE is_golden AND letter = 'A') AS a,
+#: No text of the tables begins like a none option, so the queries take one that some do.
+_MARK = "Th"
+_STRUCTURE = f"""(SELECT id, count(DISTINCT lower(regexp_replace(text, '^\\s+|\\s+$', '', 'g'))) < count(text) AS rep, count(*) FILTER (WHERE is_golden) AS ng, count(*) FILTER (WHERE is_golden AND letter = 'A') AS a,
   count(*) FILTER (WHERE is_golden AND letter = 'B') AS b, count(*) FILTER (WHERE is_golden AND letter = 'C') AS c, count(*) FILTER (WHERE is_golden AND letter = 'D') AS d,
-  bool_or(contains(text, 'None of the other')) AS np, bool_or(contains(text, 'None of the other') AND is_golden) AS nc FROM options_v GROUP BY 1)"""
+  bool_or(contains(text, '{_MARK}')) AS np, bool_or(contains(text, '{_MARK}') AND is_golden) AS nc FROM options_v GROUP BY 1)"""
 
 
-@query(f"""SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS questions, avg(CAST(np AS INTEGER)) * 100 AS none_present_pct, avg(CAST(nc AS INTEGER)) * 100 AS none_correct_pct,
+@query(f"""SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS questions, avg(CAST(np AS INTEGER)) * 100 AS none_present_pct, avg(CASE WHEN np THEN CAST(nc AS INTEGER) END) * 100 AS none_correct_pct,
   avg(CAST(rep AS INTEGER)) * 100 AS repeated_pct, CAST(sum(a) AS DOUBLE) AS "gold_A", CAST(sum(b) AS DOUBLE) AS "gold_B", CAST(sum(c) AS DOUBLE) AS "gold_C", CAST(sum(d) AS DOUBLE) AS "gold_D",
   (greatest(sum(a), sum(b), sum(c), sum(d)) - least(sum(a), sum(b), sum(c), sum(d))) * 100.0 / greatest(1, sum(a) + sum(b) + sum(c) + sum(d)) AS position_spread_pct,
   avg(CAST(ng = 1 AS INTEGER)) * 100 AS gold_size_1_pct, avg(CAST(ng = 2 AS INTEGER)) * 100 AS gold_size_2_pct, avg(CAST(ng = 3 AS INTEGER)) * 100 AS gold_size_3_pct FROM {_STRUCTURE}) ON COLUMNS(*) INTO NAME metric VALUE value)""")
 def structural(spark, d):
-    return gate.structure(gate.option_rows(v.questions(spark, d))).select("metric", *r6("value"))
+    return gate.structure(gate.option_rows(v.questions(spark, d)), _MARK).select("metric", *r6("value"))
 
 
 @query(f"""SELECT list_aggregate(f, 'string_agg', ',') AS failures, len(f) = 0 AS passed FROM (SELECT list_filter([CASE WHEN gap > 4 THEN 'length' END, CASE WHEN ncp > 75 THEN 'none option' END, CASE WHEN sp > 12 THEN 'positions' END], lambda x: x IS NOT NULL) AS f
-  FROM (SELECT round(abs(avg(CASE WHEN is_golden THEN {wc('text')} END) - avg(CASE WHEN NOT is_golden THEN {wc('text')} END)), 2) AS gap FROM options_v), (SELECT avg(CAST(nc AS INTEGER)) * 100 AS ncp,
+  FROM (SELECT round(abs(avg(CASE WHEN is_golden THEN {wc('text')} END) - avg(CASE WHEN NOT is_golden THEN {wc('text')} END)), 2) AS gap FROM options_v), (SELECT avg(CASE WHEN np THEN CAST(nc AS INTEGER) END) * 100 AS ncp,
   (greatest(sum(a), sum(b), sum(c), sum(d)) - least(sum(a), sum(b), sum(c), sum(d))) * 100.0 / greatest(1, sum(a) + sum(b) + sum(c) + sum(d)) AS sp FROM {_STRUCTURE}))""")
 def gate_verdict(spark, d):
     o = gate.option_rows(v.questions(spark, d))
-    return gate.verdict(gate.length_balance(o), gate.structure(o)).withColumn("failures", F.when(F.col("failures") != "", F.col("failures")))
+    return gate.verdict(gate.length_balance(o), gate.structure(o, _MARK)).withColumn("failures", F.when(F.col("failures") != "", F.col("failures")))
 
 
 @query()
@@ -612,12 +725,38 @@ def distinct_in_order(spark, d):
     return profile.distinct_in_order(v.table(spark, d, "documents"), "lang", "doc_id")
 
 
-@query(f"""SELECT metric, round(value, 6) AS value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS questions, CAST(count(DISTINCT (asset, event_date)) AS DOUBLE) AS events, count(*) / count(DISTINCT (asset, event_date)) AS per_event,
-  avg(len(list_filter(string_split(golden_answer, ','), lambda x: x <> ''))) AS mean_gold, avg(CAST(len(list_filter(string_split(golden_answer, ','), lambda x: x <> '')) = 1 AS INTEGER)) * 100 AS size_1_pct,
-  avg(CAST(len(list_filter(string_split(golden_answer, ','), lambda x: x <> '')) = 2 AS INTEGER)) * 100 AS size_2_pct, avg(CAST(len(list_filter(string_split(golden_answer, ','), lambda x: x <> '')) = 3 AS INTEGER)) * 100 AS size_3_pct,
-  avg({wc('target_event')}) AS target_words FROM questions_v) ON COLUMNS(*) INTO NAME metric VALUE value)""")
+_SIZE = "len(list_filter(string_split(golden_answer, ','), lambda x: x <> ''))"
+
+
+@query(f""", m AS (SELECT metric, value FROM (UNPIVOT (SELECT CAST(count(*) AS DOUBLE) AS questions, CAST(count(DISTINCT (asset, event_date)) AS DOUBLE) AS events, count(*) / count(DISTINCT (asset, event_date)) AS per_event,
+  avg({_SIZE}) AS mean_gold, avg(CAST({_SIZE} = 1 AS INTEGER)) * 100 AS size_1_pct, avg(CAST({_SIZE} = 2 AS INTEGER)) * 100 AS size_2_pct, avg(CAST({_SIZE} = 3 AS INTEGER)) * 100 AS size_3_pct,
+  avg(CAST({_SIZE} > 1 AS INTEGER)) * 100 AS multi_answer_pct, avg({wc('target_event')}) AS target_words FROM questions_v) ON COLUMNS(*) INTO NAME metric VALUE value)),
+t AS (SELECT source AS topic, count(*) AS n, sum({wc("coalesce(text, '')")}) AS words FROM documents GROUP BY 1), l AS (SELECT coalesce(lang, '') AS lang, count(*) AS n, count(*) FILTER (WHERE doc_id % 4 = 0) AS off FROM documents GROUP BY 1),
+x AS (SELECT metric, value FROM (UNPIVOT (SELECT avg(n) AS docs_per_topic, avg(words) AS words_per_topic, avg(words) * 1.3 AS tokens_per_topic FROM t) ON COLUMNS(*) INTO NAME metric VALUE value)),
+y AS (SELECT metric, value FROM (UNPIVOT (SELECT CAST(count(*) FILTER (WHERE lang <> '') AS DOUBLE) AS unique_sources, sum(n) FILTER (WHERE r <= 5) * 100.0 / sum(n) AS top5_source_share_pct, sum(off) * 100.0 / sum(n) AS distractor_pct
+  FROM (SELECT *, row_number() OVER (ORDER BY n DESC, lang) AS r FROM l)) ON COLUMNS(*) INTO NAME metric VALUE value))
+SELECT metric, round(value, 6) AS value FROM m UNION ALL SELECT metric, round(value, 6) FROM x UNION ALL SELECT metric, round(value, 6) FROM y UNION ALL SELECT 'by_asset:' || asset, CAST(count(*) AS DOUBLE) FROM questions_v GROUP BY asset""")
 def dataset_profile(spark, d):
-    return finalise.profile(v.questions(spark, d)).select("metric", *r6("value"))
+    docs = v.table(spark, d, "documents").select(F.col("source").alias("topic_id"), F.col("lang").alias("source"), F.when(F.col("doc_id") % 4 == 0, "distractor").otherwise("relevant").alias("role"), F.col("text").alias("content"))
+    return finalise.profile(v.questions(spark, d), docs).select("metric", *r6("value"))
+
+
+@query(f"""SELECT 'mean_gold' AS metric, 1.574 AS published, round(avg({_SIZE}), 6) AS found FROM questions_v UNION ALL SELECT 'multi_answer_pct', 43.58, round(avg(CAST({_SIZE} > 1 AS INTEGER)) * 100, 6) FROM questions_v
+  UNION ALL SELECT 'docs_per_topic', 19.67, NULL""")
+def published_figures(spark, d):
+    return finalise.against_published(finalise.profile(v.questions(spark, d))).select("metric", "published", *r6("found"))
+
+
+@query("SELECT round(avg(n), 6) AS mean_size FROM (SELECT source, count(*) AS n FROM documents GROUP BY 1)")
+def average_topic_size(spark, d):
+    topics = v.table(spark, d, "documents").groupBy("source").agg(F.collect_list("doc_id").alias("docs"))
+    return retrieve.average_size(topics).select(*r6("mean_size"))
+
+
+@query("SELECT topic, n_relevant FROM (SELECT source AS topic, count(*) FILTER (WHERE doc_id % 3 > 0) AS n_relevant FROM documents GROUP BY 1) ORDER BY n_relevant DESC, topic LIMIT 1")
+def fullest_topic(spark, d):
+    n = v.table(spark, d, "documents").groupBy(F.col("source").alias("topic")).agg(F.count_if(F.col("doc_id") % 3 > 0).alias("n_relevant"))
+    return retrieve.fullest_topic(n)
 
 
 # --- review, splits, evaluation
@@ -653,7 +792,8 @@ def model_compare(spark, d):
     return s.select("model", "n", F.round("exact_match", 4).alias("exact_match"), F.round("f1", 4).alias("f1"), "under_selected", "over_selected")
 
 
-@query("""SELECT CAST(n_gold AS INTEGER) AS n_gold, asset, count(*) AS n, round(avg(exact_match), 4) AS exact_match, round(avg(f1), 4) AS f1 FROM results_v GROUP BY GROUPING SETS ((n_gold), (asset))""")
+@query("""SELECT CAST(n_gold AS INTEGER) AS n_gold, asset, count(*) AS n, round_even(avg(exact_match), 3) AS exact_match, round_even(avg(f1), 3) AS f1, CASE WHEN grouping(n_gold) = 0 THEN round_even(avg(n_pred), 2) END AS mean_predicted
+  FROM results_v GROUP BY GROUPING SETS ((n_gold), (asset))""")
 def failure_analysis(spark, d):
     return evaluate.failures_by(_results(spark, d))
 
@@ -699,15 +839,12 @@ def event_closes(spark, d):
 @query("""SELECT asset, date, asset || ' moved ' || CAST(CAST(round(pct * 100) AS BIGINT) AS VARCHAR) || ' bp on ' || CAST(date AS VARCHAR) AS target FROM (SELECT asset, date, (exp(ret) - 1) * 100 AS pct, z FROM zscores_v) WHERE abs(z) > 2""")
 def target_text(spark, d):
     moves = series.big_moves(v.prices(spark, d), z_threshold=2.0)
-    bp = F.round(F.col("pct_move") * 100).cast("bigint").cast("string")
-    return moves.select("asset", "date", F.concat("asset", F.lit(" moved "), bp, F.lit(" bp on "), F.col("date").cast("string")).alias("target"))
+    return series.target_text(moves).select("asset", "date", "target")
 
 
 @query("SELECT asset, date, CAST(row_number() OVER (ORDER BY asset, date) - 1 AS BIGINT) AS topic_id FROM zscores_v WHERE abs(z) > 2")
 def positional_ids(spark, d):
-    """Positions of the few selected events, not of raw rows."""
-    moves = series.big_moves(v.prices(spark, d), z_threshold=2.0).select("asset", "date")
-    return moves.withColumn("topic_id", (F.row_number().over(Window.orderBy("asset", "date")) - 1).cast("bigint"))
+    return series.positional_ids(series.big_moves(v.prices(spark, d), z_threshold=2.0).select("asset", "date"))
 
 
 @query("""SELECT o_orderkey FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 5 > 0 THEN CAST(o_orderdate AS DATE) END AS r, DATE '1995-06-15' AS e, DATE '1995-07-' || CASE WHEN o_orderkey % 2 = 0 THEN '01' ELSE '31' END AS t FROM orders)
@@ -732,27 +869,30 @@ def length_gaps(spark, d):
 _FAMILIES = " || ".join(f"CASE WHEN {has('text', stems)} THEN '{i}' ELSE '' END" for i, stems in enumerate(fixed.ACTION_STEMS))
 
 
+#: The families as a list; 'x' and the text's own side differ, so that no family is not taken for a shared one.
+_FAMILIES_LIST = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {has('text', stems)} THEN '{i}' END" for i, stems in enumerate(fixed.ACTION_STEMS)) + ", 'none' || letter], lambda x: x IS NOT NULL), ',')"
+
+
 @query(f"SELECT doc_id, {_FAMILIES} AS families FROM documents")
 def action_families(spark, d):
     return v.table(spark, d, "documents").select("doc_id", F.array_join(F.transform(text.actions("text"), lambda x: x.cast("string")), "").alias("families"))
 
 
-@query("SELECT CAST(a.i AS INTEGER) AS a, CAST(b.i AS INTEGER) AS b, CAST(least(abs(a.i - b.i), 12 - abs(a.i - b.i)) AS INTEGER) AS gap FROM range(1, 13) a(i), range(1, 13) b(i)")
+@query("SELECT o_orderkey, CAST(least(abs(month(o_orderdate) - m), 12 - abs(month(o_orderdate) - m)) AS INTEGER) AS gap FROM (SELECT *, o_orderkey % 12 + 1 AS m FROM orders)")
 def month_gaps(spark, d):
-    a, b = spark.range(1, 13).select(F.col("id").cast("int").alias("a")), spark.range(1, 13).select(F.col("id").cast("int").alias("b"))
-    return a.join(b, F.lit(True)).select("a", "b", text.month_distance("a", "b").alias("gap"))
+    return v.table(spark, d, "orders").select("o_orderkey", text.month_distance(F.month("o_orderdate"), F.col("o_orderkey") % 12 + 1).cast("int").alias("gap"))
 
 
-_EVENTS = [("Binance halts withdrawals on Monday", "On Tuesday Binance paused all trading", True), ("", "Binance halts", False), ("Binance grows", "Binance halts withdrawals", False),
-           ("Fed raises rates by half a point", "Fed raises rates by half point", True)]
+_NAMES = "list_distinct(list_filter(list_transform(regexp_extract_all(text, '\\b[A-Z][a-zA-Z&.]{2,}\\b'), lambda t: trim(lower(t), '.')), lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in fixed.GENERIC_NAMES) + "], t)))"
 
 
-@query(f"SELECT CAST(i AS INTEGER) AS i, CAST(x AS BOOLEAN) AS same FROM ({_values([(i, int(s)) for i, (_, _, s) in enumerate(_EVENTS)])}) t(i, x)")
+@query(f"""SELECT a.id, len(a.t) > 0 AND len(b.t) > 0 AND ({jac('a.t', 'b.t')} >= 0.45 OR (len(list_intersect(a.e, b.e)) > 0 AND len(list_intersect(a.a, b.a)) > 0)) AS same
+  FROM (SELECT id, {_CONTENT} AS t, {_NAMES} AS e, string_split({_FAMILIES_LIST}, ',') AS a FROM options_v WHERE letter = 'A') a JOIN (SELECT id, {_CONTENT} AS t, {_NAMES} AS e, string_split({_FAMILIES_LIST}, ',') AS a FROM options_v WHERE letter = 'B') b ON a.id = b.id""")
 def same_events(spark, d):
-    df = spark.createDataFrame([(i, a, b) for i, (a, b, _) in enumerate(_EVENTS)], "i int, a string, b string")
-    f = lambda c: (text.content_tokens(c), text.entities(c), text.actions(c))
-    (ta, ea, aa), (tb, eb, ab) = f("a"), f("b")
-    return df.select("i", text.same_event(ta, tb, ea, eb, aa, ab).alias("same"))
+    """The first two options of every question."""
+    o = v.options(spark, d).select("id", "letter", text.content_tokens("text").alias("t"), text.entities("text").alias("e"), text.actions("text").alias("a"))
+    a, b = (o.where(F.col("letter") == x).select("id", *[F.col(c).alias(f"{c}{x}") for c in "tea"]) for x in "AB")
+    return a.join(b, "id").select("id", text.same_event("tA", "tB", "eA", "eB", "aA", "aB").alias("same"))
 
 
 @query("""SELECT id, golden_answer, kept FROM (SELECT id, golden_answer, list_aggregate(list_filter(string_split(golden_answer, ','), lambda x: x <> '' AND x <> 'A'), 'string_agg', ',') AS kept FROM questions_v) WHERE kept IS NOT NULL""")

@@ -18,16 +18,22 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
 
 
 def options(spark: SparkSession, d: str) -> DataFrame:
-    """id, source, qn, topic_id, letter, text, score, is_golden, doc_id, n_chars, target: four documents of a source make a question."""
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", F.substring("text", 1, 200).alias("text"))
+    """id, source, qn, topic_id, letter, text, score, is_golden, doc_id, n_chars, target: four documents of a source make a question.
+
+    Where a source's last question lacks documents, the source's first ones fill it. Targets are all benchmark items in turn.
+    """
+    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", "text")
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    rn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
-    df = docs.withColumn("rn", rn).withColumn("qn", F.floor(F.col("rn") / 4).cast("int"))
+    rn = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
+    df = docs.withColumn("rn", rn).withColumn("n", F.count("*").over(Window.partitionBy("source")))
+    places = F.when(F.col("rn") < F.pmod(-F.col("n"), F.lit(4)), F.array("rn", F.col("rn") + F.col("n"))).otherwise(F.array("rn"))
+    df = df.withColumn("rn", F.explode(places)).withColumn("qn", F.floor(F.col("rn") / 4).cast("int"))
     df = df.withColumn("n", F.count("*").over(Window.partitionBy("source", "qn"))).where("n = 4")
     df = df.join(labels, "doc_id", "left").withColumn("score", (F.col("quality") * 2 + 1 - F.col("toxic")).cast("int"))
     letter = F.element_at(F.array(*[F.lit(x) for x in LETTERS]), (F.col("rn") % 4 + 1).cast("int"))
     target = table(spark, d, "benchmark").select(F.col("item_id").alias("target_id"), F.col("text").alias("target"))
-    df = df.withColumn("target_id", (F.col("qn") % 40).cast("long")).join(F.broadcast(target.where("target_id < 40")), "target_id", "left")
+    n_targets = target.agg((F.max("target_id") + 1).alias("n_targets"))
+    df = df.crossJoin(F.broadcast(n_targets)).withColumn("target_id", (F.col("qn") % F.col("n_targets")).cast("long")).join(target, "target_id", "left")
     return df.select(
         F.concat_ws("_", "source", "qn").alias("id"), "source", "qn", (F.col("qn") * 100 + F.substring("source", 4, 9).cast("int")).cast("long").alias("topic_id"), letter.alias("letter"),
         "text", "score", F.coalesce(F.col("score") >= 2, F.lit(False)).alias("is_golden"), "doc_id", "n_chars", F.coalesce("target", F.lit("")).alias("target_event"),
@@ -101,13 +107,14 @@ def topic_docs(spark: SparkSession, d: str) -> DataFrame:
 SQL = r"""
 WITH prices_v AS (SELECT o_orderpriority AS asset, CAST(o_orderdate AS DATE) AS date, avg(o_totalprice) AS close FROM orders GROUP BY 1, 2),
 labels_v AS (SELECT doc_id, max(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
-numbered_v AS (SELECT doc_id, source, n_chars, substring(text, 1, 200) AS text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn FROM documents),
+placed_v AS (SELECT doc_id, source, n_chars, text, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS rn, count(*) OVER (PARTITION BY source) AS k FROM documents),
+numbered_v AS (SELECT doc_id, source, n_chars, text, rn FROM placed_v UNION ALL SELECT doc_id, source, n_chars, text, rn + k FROM placed_v WHERE rn < (4 - k % 4) % 4),
 options_v AS (
   SELECT n.source || '_' || (n.rn // 4) AS id, n.source, CAST(n.rn // 4 AS INTEGER) AS qn, CAST((n.rn // 4) * 100 + CAST(substring(n.source, 4) AS INTEGER) AS BIGINT) AS topic_id,
     chr(CAST(65 + n.rn % 4 AS INTEGER)) AS letter, n.text, CAST(l.quality * 2 + 1 - l.toxic AS INTEGER) AS score, coalesce(l.quality * 2 + 1 - l.toxic >= 2, false) AS is_golden,
     n.doc_id, n.n_chars, coalesce(b.text, '') AS target_event
   FROM (SELECT *, count(*) OVER (PARTITION BY source, rn // 4) AS n FROM numbered_v) n
-  LEFT JOIN labels_v l ON n.doc_id = l.doc_id LEFT JOIN benchmark b ON b.item_id = (n.rn // 4) % 40 WHERE n.n = 4),
+  LEFT JOIN labels_v l ON n.doc_id = l.doc_id LEFT JOIN benchmark b ON b.item_id = (n.rn // 4) % (SELECT max(item_id) + 1 FROM benchmark) WHERE n.n = 4),
 questions_v AS (
   SELECT id, source, qn, topic_id, target_event, source AS asset, CAST(DATE '2023-01-01' + CAST(qn // 2 AS INTEGER) AS DATE) AS event_date,
     CASE WHEN qn % 10 < 6 THEN 'train' WHEN qn % 10 < 8 THEN 'dev' ELSE 'test' END AS split,

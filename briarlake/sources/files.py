@@ -50,6 +50,34 @@ def read_sheets(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def write_dump(df: DataFrame, path: str) -> None:
+    """A stage's rows (topics, extracted, scored) as a table, and as JSON beside it for other programs."""
+    df.write.mode("overwrite").parquet(f"{path}/table")
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(f"{path}/json")
+
+
+def read_dump(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/table")
+
+
+def backup(spark: SparkSession, path: str) -> str:
+    """Copies a file or table to the next free name path.backupN, and gives that name."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(conf)
+    k = 1
+    while fs.exists(at(f"{path}.backup{k}")):
+        k += 1
+    if not jvm.org.apache.hadoop.fs.FileUtil.copy(fs, at(path), fs, at(f"{path}.backup{k}"), False, conf):
+        raise OSError(f"{path} could not be copied")
+    return f"{path}.backup{k}"
+
+
+def has_answers(df: DataFrame, column: str = "golden_answer") -> bool:
+    """Whether a split has answers: a test split lacks the column."""
+    return column in df.columns
+
+
 def report_lines(report: DataFrame) -> DataFrame:
     """metric, value rows as aligned text lines."""
     return report.select(F.format_string("%-28s %s", "metric", F.col("value").cast("string")).alias("line"))

@@ -145,6 +145,26 @@ def test_rebalance_evens_letters(spark):
     assert len(shifts) == 100 and all(abs(shifts.count(s) - 25) <= 1 for s in range(4))
 
 
+def test_rebalance_follows_the_emptiest_letters(spark):
+    rng = random.Random(4)
+    for size in (7, 60, 900):
+        rows = [(f"q{i}", ",".join(sorted(rng.sample("ABCD", rng.choice([1, 1, 1, 2, 2, 3]))) if rng.random() < 0.7 else ["A"])) for i in range(size)]
+        shifts = {r.id: r["shift"] for r in assemble.rebalanced_shifts(spark.createDataFrame(rows, "id string, golden_answer string")).collect()}
+        assert set(shifts) == {i for i, _ in rows} and set(shifts.values()) <= {0, 1, 2, 3}
+
+        def spread(deal):
+            used = [0] * 4
+            for i, g in sorted(rows, key=lambda r: -len(r[1])):
+                gold = ["ABCD".index(x) for x in g.split(",")]
+                s = deal(i, gold, used)
+                for x in gold:
+                    used[(x + s) % 4] += 1
+            return max(used) - min(used)
+
+        greedy = spread(lambda i, gold, used: min(range(4), key=lambda s: sum(used[(x + s) % 4] for x in gold)))
+        assert spread(lambda i, gold, used: shifts[i]) <= greedy + 3
+
+
 def _flat(spark):
     o = [("one", 3, "correct", True), ("two", 0, "unrelated", False), ("three", 0, "unrelated", False), ("four", 1, "background", False)]
     df = spark.createDataFrame([("gold", 1, o)], "asset string, topic_id int, options array<struct<text:string,consensus:int,type:string,correct:boolean>>")
@@ -194,6 +214,167 @@ def test_gate_fails_what_leaks(spark):
     assert gate.leakage(o.limit(10)).first().error
 
 
+def test_none_options_count_where_they_are_shown(spark):
+    none = "None of the other options are correct causes."
+    rows = [(f"q{i}", "t", "a b", "c d", "e f", none if i % 5 == 0 else "g h", "D" if i % 5 == 0 else "ABC"[i % 3]) for i in range(50)]
+    q = spark.createDataFrame(rows, "id string, target_event string, option_A string, option_B string, option_C string, option_D string, golden_answer string")
+    o = gate.option_rows(q)
+    m = {r.metric: r.value for r in gate.structure(o).collect()}
+    assert (m["none_present_pct"], m["none_correct_pct"]) == (20.0, 100.0)
+    assert gate.verdict(gate.length_balance(o), gate.structure(o)).first().failures == "none option"
+    plain = gate.option_rows(q.where("golden_answer <> 'D'"))
+    assert {r.metric: r.value for r in gate.structure(plain).collect()}["none_correct_pct"] is None
+    assert "none" not in gate.verdict(gate.length_balance(plain), gate.structure(plain)).first().failures
+
+
+def test_topics_draw_what_they_lack(spark):
+    """One of three distractors is missing: one comes from another topic, near in time, and none that names another year."""
+    t = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    rows = [(1, "gold", "2023-05-01", 0, t("c", 5), 3, "before"), (1, "gold", "2023-05-01", 1, t("l", 5), 0, "before"), (1, "gold", "2023-05-01", 2, t("m", 6), 1, "before"),
+            (2, "gold", "2023-06-01", 0, t("n", 5), 3, "before"), (2, "gold", "2023-06-01", 1, "in 2019 " + t("x", 3), 0, "before"), (3, "gold", "2021-01-01", 0, t("f", 5), 0, "before"),
+            (4, "oil", "2023-05-01", 0, t("o", 5), 0, "before"), (5, "gold", "2023-05-20", 0, t("L", 5).replace("L", "l"), 0, "before")]
+    c = spark.createDataFrame(rows, "topic_id int, asset string, d string, ord int, text string, consensus int, position string").withColumn("event_date", F.to_date("d"))
+    topics = c.select("topic_id", F.lit("a move").alias("target_event")).distinct()
+    built = {r.topic_id: r for r in assemble.build_questions(c, topics, none_prob=0.0).collect()}
+    texts = [built[1][f"option_{x}"] for x in "ABCD"]
+    assert sorted(texts) == sorted([t("c", 5), t("l", 5), t("m", 6), t("n", 5)])
+    assert sorted(built[1].option_types.values()) == ["background", "correct", "semantic_crosstopic", "unrelated"]
+    # with the near one gone, the whole pool is met
+    far = {r.topic_id: r for r in assemble.build_questions(c.where("topic_id <> 2"), topics, none_prob=0.0).collect()}
+    assert t("f", 5) in [far[1][f"option_{x}"] for x in "ABCD"]
+
+
+def test_first_candidates_are_scored_or_zeroed(spark):
+    c = spark.createDataFrame([(1, i, f"t{i}", p) for i, p in enumerate(["before", "after", None, "unknown", "after"])], "topic_id int, ord int, text string, position string")
+    assert [r.ord for r in score.auto_zero(c, 3).collect()] == [1] and sorted(r.ord for r in score.to_score(c, 3).collect()) == [0, 2]
+    both = score.auto_zero(c).select("ord").unionByName(score.to_score(c).select("ord"))
+    assert sorted(r.ord for r in both.collect()) == [0, 1, 2, 3, 4]
+
+
+def test_scoring_by_several_models(spark):
+    c = spark.createDataFrame([(1, 0, "x", "before"), (1, 1, "y", "after"), (1, 2, "z", "before"), (2, 0, "w", "before")], "topic_id int, ord int, text string, position string")
+    topics = spark.createDataFrame([(1, "e1"), (2, "e2")], "topic_id int, target_event string")
+    docs = spark.createDataFrame([(1, 0, "report", "relevant", "s", "d"), (1, 1, "noise", "distractor", "s", "d")], "topic_id int, ord int, content string, role string, source string, doc_date string")
+
+    def first(prompt):
+        assert "noise" not in prompt and ("e2" in prompt or "[s d]\nreport" in prompt)
+        return '{"score": 2}' if "Candidate: x" in prompt else "7" if "Candidate: z" in prompt else '{"score": 9}'
+
+    def second(prompt):
+        raise ValueError("model_not_found")
+
+    out = {(r.topic_id, r.ord): r for r in score.score_topics(c, topics, docs, {"a": first, "b": second}, asking={"retries": 1}).collect()}
+    assert (out[1, 0].consensus, out[1, 0].review_reason) == (2, "only one model scored this, no cross-check")
+    assert (out[1, 1].consensus, out[1, 1].auto_zero) == (0, "dated after the target event") and out[1, 2].review_reason == out[2, 0].review_reason == "no model scored this"
+    told = score.rate(c, topics, docs, {"b": second}, asking={"retries": 1, "workers": 1})
+    assert {r.failure for r in told.collect()} == {"ValueError", "unavailable"}
+
+    def lists(prompt):
+        if "e2" in prompt:
+            raise OSError("down")
+        assert "1. x\n2. z" in prompt
+        return 'so: [{"n": 1, "score": 3, "why": "w"}, {"n": 2'
+
+    once = {"retries": 1}
+    got = {(r.topic_id, r.ord): r for r in score.score_batched(c, topics, docs, {"m": lists}, asking=once).collect()}
+    assert set(got) == {(1, 0), (1, 1), (1, 2)} and got[1, 0].consensus == 3 and not got[1, 0].needs_review and got[1, 2].review_reason == "no score returned"
+    failed = score.failed_topics(score.rate_batched(c, topics, docs, {"m": lists}, asking=once)).collect()
+    assert [(r.topic_id, r.error) for r in failed] == [(2, "every model failed to score this topic: m: OSError")]
+    scored = score.score_topics(c, topics, docs, {"a": first, "b": second}, asking=once)
+    again = {(r.topic_id, r.ord): r.consensus for r in score.rescore(scored, topics, docs, {"m": lists}, asking=once).collect()}
+    assert again == {(1, 0): 3, (1, 1): 0, (1, 2): None, (2, 0): None}
+
+
+def test_search_fetch_and_topics(spark):
+    pages = {"http://a.reuters.com/1": (200, "<p>" + "word " * 130 + "</p>"), "http://www.bbc.co.uk/2": (200, "<p>short</p>"), "http://www.ft.com/3": (404, "x"), "http://cnn.com/4": (200, "<p>" + "off " * 130 + "</p>")}
+
+    def get(url, params):
+        if params["q"] == "NFT market":
+            raise OSError("down")
+        if params["q"] in ("bitcoin price", "bitcoin selloff investors"):
+            return {"hits": [{"url": u, "title": "Markets", "snippet": "a line"} for u in list(pages)[:3]] + [{"url": "http://blog.example/9", "title": "no"}, {"url": "http://cnn.com/x", "title": "gold rate today"}]}
+        return {"hits": [{"url": "http://cnn.com/4", "title": "Off"}, {"url": "http://a.reuters.com/1", "title": "On"}]} if params["q"].startswith("block") else {}
+
+    news = providers.HttpNews(get, "http://search", lambda q, day, most: {"q": q, "day": day, "n": most}, lambda r: r.get("hits", []), interval=0.0, sleep=lambda s: None)
+    events = spark.createDataFrame([(1, "crypto", "2023-03-01"), (2, "gold", "2023-03-01")], "topic int, asset string, d string").withColumn("date", F.to_date("d"))
+
+    def page(url):
+        return pages[url]
+
+    docs = retrieve.topic_documents(events, news.search, lambda hits: providers.fetched(hits, page, delay=0.0))
+    got = [(r.topic, r.url, r.role, r.content_is_snippet) for r in docs.orderBy("topic", "ord").collect()]
+    assert got == [(1, "http://a.reuters.com/1", "relevant", False), (1, "http://www.bbc.co.uk/2", "relevant", True), (1, "http://www.ft.com/3", "relevant", True), (1, "http://cnn.com/4", "distractor", False)]
+    topics = {r.topic: r for r in retrieve.topics_of(docs, events, min_docs=4).collect()}
+    assert (topics[1].n_relevant, topics[1].n_distractor, topics[1].n_snippet_only, topics[1].thin) == (3, 1, 2, False) and topics[2].thin and topics[2].n_relevant == 0
+    assert providers.dispatch([("live", 1), ("offline", 2)], {}) == 2 and providers.dispatch([("live", 1), ("offline", 2)], {"live": "k"}) == 1
+    got = providers.DownloadedPrices(lambda ticker, a, b: [(a, 1.0), (b, None)], {"gold": "G"}).fetch(spark, ["gold"], "2023-01-01", "2023-01-02")
+    assert [(str(r.date), r.close) for r in got.collect()] == [("2023-01-01", 1.0)]
+    assert providers.probe({"a": lambda p: "hi", "b": lambda p: "", "c": lambda p: 1 / 0}) == {"a": "ok", "b": "empty", "c": "ZeroDivisionError: division by zero"}
+
+
+def test_thin_topics_are_asked_again(spark):
+    body = "Central bank raises rates again today after long talks. " * 8
+    docs = spark.createDataFrame([(1, 0, body, "s1", "2023-01-01"), (1, 1, body, "s2", "20230103")], "topic int, ord int, content string, source string, doc_date string")
+    docs = docs.withColumn("target", F.lit("gold moved")).withColumn("event_date", F.to_date(F.lit("2023-01-02")))
+
+    def model(prompt):
+        if "Already found" in prompt:
+            assert "Strike halts output at the port" in prompt
+            return '[{"event": "Strike halts all output at the port", "doc": 2}, {"event": "Refinery closes after fire near coast", "doc": 2}]'
+        return '[{"event": "Strike halts output at the port", "doc": 1}, {"event": "gold surged to a new record high", "doc": 1}]'
+
+    one = extract.candidates(docs, model).collect()
+    assert [(r.text, r.position) for r in one] == [("Strike halts output at the port", "before")]
+    two = {r.text: r for r in extract.candidates(docs, model, least=6).collect()}
+    r = two["Strike halts all output at the port"]
+    assert len(two) == 2 and (r.n_mentions, r.sources, r.position) == (2, ["s1", "s2"], "before") and two["Refinery closes after fire near coast"].position == "after"
+
+
+def test_context_takes_what_fits(spark):
+    rng = random.Random(6)
+    rows = [(t, i, "x" * rng.choice([0, 1, 5, 300, 2000])) for t in range(4) for i in range(60)]
+    for clip, most in ((1500, 8000), (10, 50), (1, 7)):
+        got = {r.topic: r.context for r in retrieve.context(spark.createDataFrame(rows, "topic int, ord int, content string"), clip, most).collect()}
+        assert got == {t: "\n\n".join(c[:clip] for k, _, c in rows if k == t and c)[:most] for t in range(4)}
+
+
+def test_profiles_and_reports(spark):
+    q = _flat(spark).withColumn("asset", F.lit("gold"))
+    docs = spark.createDataFrame([(1, "a", "relevant", "x y"), (1, "b", "distractor", None), (2, "a", None, "z")], "topic_id int, source string, role string, content string")
+    m = {r.metric: r.value for r in finalise.profile(q, docs, published=True).collect()}
+    assert m["by_asset:gold"] == 1 and m["docs_per_topic"] == 1.5 and m["unique_sources"] == 2 and m["published:mean_gold"] == 1.574 and m["multi_answer_pct"] == 0
+    lines = [r.line for r in evaluate.comparison_lines(evaluate.summary(registry._results(spark, SF))).orderBy("place").collect()]
+    assert lines[0].split() == ["model", "n", "exact", "F1", "prec", "recall", "pred/gold"] and lines[2].startswith("m1 ") and len(lines) == 4
+    assert files.has_answers(q) and not files.has_answers(q.drop("golden_answer"))
+
+
+def test_dumps_and_backups(spark, tmp_path):
+    q = _flat(spark)
+    files.write_dump(q, f"{tmp_path}/d")
+    assert files.read_dump(spark, f"{tmp_path}/d").count() == 1 and '"golden_answer":"A"' in spark.read.text(f"{tmp_path}/d/json").first().value
+    assert files.backup(spark, f"{tmp_path}/d").endswith("d.backup1") and files.backup(spark, f"{tmp_path}/d").endswith("d.backup2")
+    assert files.read_dump(spark, f"{tmp_path}/d.backup2").count() == 1
+
+
+def test_resume_commits_in_parts_and_recovers(spark, tmp_path):
+    path = f"file://{tmp_path}/state"
+    items = spark.createDataFrame([(str(i), f"p{i}") for i in range(40)], "key string, payload string")
+    log = tmp_path / "log"
+
+    def work(p):
+        with open(log, "a") as f:
+            f.write(p + "\n")
+        return p
+
+    assert resume.resumable_map(items, work, path, save_every=10).count() == 40
+    assert len(log.read_text().split()) == 40 and resume.resumable_map(items, work, path, save_every=10).count() == 40 and len(log.read_text().split()) == 40
+    for f in (tmp_path / "state").glob("*.parquet"):
+        f.write_bytes(b"broken")
+    assert resume.resumable_map(items.limit(3), work, path).count() == 3 and (tmp_path / "state.corrupt").exists()
+    ev = spark.createDataFrame([("gold", "2023-01-01", "x")], "asset string, event_date string, p string")
+    assert tuple(resume.stage_items(ev, F.col("p")).first()) == ("gold_2023-01-01", "x")
+
+
 def test_resume(spark, tmp_path):
     path, calls = f"file://{tmp_path}/state", []
 
