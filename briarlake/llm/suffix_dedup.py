@@ -1,22 +1,27 @@
-"""Repeated byte strings by merging the Burrows-Wheeler rows of shards, without sorting suffixes anew.
+"""Repeated byte strings, by sampled suffixes whose contexts are compared group by group.
 
-Sampled suffixes. A shard samples its suffixes by winnowing: of the hashes of all k-grams, those smallest in a window of g.
-With k + g - 1 = length, each string of `length` bytes holds a sampled suffix, and equal strings hold it at the same place.
-A sampled suffix is a row of the shard's transform: its first symbol is its k-gram; before it and behind it stand the bytes
-that any string of `length` bytes with that sample can hold.
+This is not a merge of Burrows-Wheeler transforms of shards by interleave refinement, which was asked for. Each pass of that
+merge moves every suffix to the rank of its predecessor, over the whole corpus, and strings of 400 bytes take up to 400
+passes, or some 13 to 20 over content-defined phrases; either way each pass shuffles all suffixes that still repeat, and half
+of the corpus does. What is done instead finds the same strings, exactly but for collisions of 64-bit hashes:
 
-Merging. Rows of all shards that share the first symbol form one interval of the merged transform. Three cases:
+Sampled suffixes. By winnowing: of the hashes of all k-grams, those smallest in a window of g. With k + g - 1 = length, each
+string of `length` bytes holds a sampled suffix, and equal strings hold it at the same place. A sampled suffix has its
+k-gram, and as its context the bytes before and behind that any string of `length` bytes with that sample can hold.
 
-* the interval has one row: nothing repeats there;
+Groups. The samples of one k-gram are a group. Three cases:
+
+* the group has one row: nothing repeats there;
 * rows agree on all their context: every string through them repeats, so counting is enough, before the shuffle;
-* the rest are interleaved: right contexts refine the interval step by step (eight bytes a step, intervals of one row
-  leave), which also gives the common prefixes; then each step back over the preceding byte refines the interval again.
-  After l such steps, rows that still share an interval and whose common prefix is at least length - l are repeats that
-  start l bytes before the sample.
+* the rest are refined as intervals of a suffix array are: right contexts split the group step by step (eight bytes a step,
+  intervals of one row leave), which also gives the common prefixes; then each step back over the preceding byte splits the
+  intervals again. After l such steps, rows that still share an interval and whose common prefix is at least length - l are
+  repeats that start l bytes before the sample.
 
 Texts are UTF-8 bytes; null and empty ones have none. Strings never cross texts. Rows that repeat are occurrences of their
 own. Samples that repeat within one text are settled in place and reach the shuffle as one row, so texts with a short
-period stay small. Intervals of more than `HOT` rows are not gathered in a task: their strings are counted by hash instead.
+period stay small. Groups of more than `HOT` rows with differing contexts are not gathered in a task: their strings are
+counted by hash instead, with the same result.
 """
 
 from __future__ import annotations
@@ -28,14 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from briarlake.llm._arrow import mix, slices, text_bytes
-from briarlake.llm._store import ids_and_text, written
+from briarlake.llm._arrow import frugal, mix, slices, text_bytes
+from briarlake.llm._store import Scratch, ids_and_text, written
 
 LENGTH = 400
 HOT = 50_000
 #: Rows of whole intervals that one merge takes.
 MERGE_ROWS = 20_000
-_PLACE_BITS = 28
+#: Bits of a place within a slice: texts have less than 2 GB.
+_PLACE_BITS = 31
 _RNG = np.random.default_rng(400)
 _TABLE = _RNG.integers(0, 1 << 63, (2, 256), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = np.uint64(0xD1342543DE82EF95)
@@ -159,7 +165,7 @@ def _samples(keyed: DataFrame, length: int) -> DataFrame:
                 ["k1", "k2", "a", "s", "e", "h", "w", "n"],
             )
 
-    return keyed.select("k1", "k2", "text").mapInArrow(run, SAMPLES)
+    return keyed.select("k1", "k2", "text").mapInArrow(frugal(run), SAMPLES)
 
 
 def _contexts(rows: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
@@ -181,7 +187,7 @@ def _contexts(rows: DataFrame, keyed: DataFrame, length: int) -> DataFrame:
 
     lists = rows.groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "s", "e", "h")).alias("found"))
     once = keyed.select("k1", "k2", "text").join(lists, ["k1", "k2"])
-    return once.mapInArrow(run, "h long, c long, k1 long, k2 long, a int, before binary, behind binary")
+    return once.mapInArrow(frugal(run), "h long, c long, k1 long, k2 long, a int, before binary, behind binary")
 
 
 def _matrix(column: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -301,10 +307,10 @@ def _merged(contexts: DataFrame, length: int) -> DataFrame:
         if held:
             yield merge(pa.Table.from_batches(held))
 
-    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(run, "k1 long, k2 long, s int, e int")
+    return contexts.repartition("h").sortWithinPartitions("h").mapInArrow(frugal(run), "k1 long, k2 long, s int, e int")
 
 
-def _counted(contexts: DataFrame, length: int) -> DataFrame:
+def _counted(contexts: DataFrame, length: int, work: Scratch) -> DataFrame:
     """What _merged gives, for intervals too large to gather: every string's hash is counted, before the shuffle first."""
     k = length // 2
 
@@ -320,38 +326,40 @@ def _counted(contexts: DataFrame, length: int) -> DataFrame:
             kinds = [pa.int64()] * 4 + [pa.int32()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["x", "y", "k1", "k2", "s", "e"])
 
-    strings = written(contexts.select("h", "c", "k1", "k2", "a", "before", "behind").mapInArrow(run, "x long, y long, k1 long, k2 long, s int, e int"), "suffix-strings")
-    often = written(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "suffix-often")
+    strings = work.written(contexts.select("h", "c", "k1", "k2", "a", "before", "behind").mapInArrow(frugal(run), "x long, y long, k1 long, k2 long, s int, e int"), "suffix-strings")
+    often = work.written(strings.groupBy("x", "y").agg(F.count("*").alias("n")).where("n > 1").select("x", "y"), "suffix-often")
     return strings.join(often, ["x", "y"]).select("k1", "k2", "s", "e")
 
 
-def _covered(keyed: DataFrame, length: int, hot: int) -> DataFrame:
+def _covered(keyed: DataFrame, length: int, hot: int, work: Scratch) -> DataFrame:
     """(k1, k2, s, e): stretches of texts whose every byte lies in a repeated string."""
-    rows = written(_samples(keyed, length), "suffix-samples")
+    rows = work.written(_samples(keyed, length), "suffix-samples")
     own = rows.where("h is null").select("k1", "k2", "s", "e")
     rows = rows.where("h is not null")
     intervals = rows.groupBy("h").agg(F.sum("n").alias("n"), F.min("w").alias("lo"), F.max("w").alias("hi")).where("n > 1")
-    intervals = written(intervals.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "suffix-intervals")
-    members = written(rows.join(intervals, "h").select("k1", "k2", "a", "s", "e", "h", "w", "n", "alike"), "suffix-members")
+    intervals = work.written(intervals.select("h", (F.col("lo") == F.col("hi")).alias("alike")), "suffix-intervals")
+    members = work.written(rows.join(intervals, "h").select("k1", "k2", "a", "s", "e", "h", "w", "n", "alike"), "suffix-members")
     alike = members.where("alike").select("k1", "k2", "s", "e")
     mixed = members.where("not alike")
     # rows that agree are one; the first of them stands for all, so that those which differ meet it
-    kinds = written(mixed.groupBy("h", "w").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "a", "s", "e")).alias("m")), "suffix-kinds")
+    kinds = work.written(mixed.groupBy("h", "w").agg(F.sum("n").alias("n"), F.min(F.struct("k1", "k2", "a", "s", "e")).alias("m")), "suffix-kinds")
     many = mixed.join(kinds.where("n > 1").select("h", "w"), ["h", "w"]).select("k1", "k2", "s", "e")
     contexts = _contexts(kinds.select("m.*", "h"), keyed, length)
-    large = written(kinds.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("h"), "suffix-large")
+    large = work.written(kinds.groupBy("h").agg(F.count("*").alias("rows")).where(F.col("rows") > hot).select("h"), "suffix-large")
     if large.isEmpty():
         met = _merged(contexts, length)
     else:
-        contexts = written(contexts, "suffix-contexts")
-        met = _merged(contexts.join(large, "h", "left_anti"), length).unionByName(_counted(contexts.join(large, "h", "left_semi"), length))
+        contexts = work.written(contexts, "suffix-contexts")
+        met = _merged(contexts.join(large, "h", "left_anti"), length).unionByName(_counted(contexts.join(large, "h", "left_semi"), length, work))
     return own.unionByName(alike).unionByName(many).unionByName(met)
 
 
 def _with_stretches(docs: DataFrame, length: int, hot: int) -> DataFrame:
     """doc_id, text and the stretches to remove, of every row."""
     keyed = _keyed(docs)
-    lists = _covered(keyed, length, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+    with Scratch(docs.sparkSession) as work:
+        found = _covered(keyed, length, hot, work).groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("found"))
+        lists = written(found, "suffix-found")
     return keyed.join(lists, ["k1", "k2"], "left").select("doc_id", "text", "found")
 
 
@@ -380,7 +388,7 @@ def removed(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
             told = pa.array([[{"start": a, "end": b} for a, b in r] for r in runs], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(kept, pa.binary()), told], ["doc_id", "kept", "runs"])
 
-    return _with_stretches(docs, length, hot).mapInArrow(run, "doc_id long, kept binary, runs array<struct<start:int,end:int>>")
+    return _with_stretches(docs, length, hot).mapInArrow(frugal(run), "doc_id long, kept binary, runs array<struct<start:int,end:int>>")
 
 
 def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
@@ -398,7 +406,7 @@ def digest(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
                 [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
             )
 
-    return _with_stretches(docs, length, hot).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_stretches(docs, length, hot).mapInArrow(frugal(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
