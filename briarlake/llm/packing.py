@@ -34,7 +34,7 @@ CAPACITY = 1024
 #: Rests are cut at powers of two down to this length.
 SMALLEST = 64
 #: Distinct chunks of text whose ids a task keeps.
-CACHE = 300_000
+CACHE = 120_000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 

@@ -37,7 +37,7 @@ TWO_ERRORS = 9
 #: Tokens on each side of a hit that are its context.
 CONTEXT = 4
 #: Distinct tokens that a worker remembers.
-CACHE = 600_000
+CACHE = 200_000
 _BUCKETS = 4096
 #: Tokens added to both sides of a context ratio, and tokens of clean background added to the windows of clean hits.
 SHRINK, BACKGROUND = 2.0, 200.0
