@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, text
-from briarlake.functions.session import sound_unions
+from briarlake.functions.session import settled, sound_unions
 
 LETTERS = ["A", "B", "C", "D"]
 
@@ -105,7 +105,9 @@ def build_questions(
     """
     sound_unions(candidates.sparkSession)
     words = topics.select("topic_id", "target_event", text.content_tokens("target_event", fixed.SHORT_STOPWORDS).alias("target_words"))
-    scored = candidates.join(words.drop("target_event"), "topic_id").withColumn("type", distractor_class())
+    scored = candidates.select("topic_id", "asset", "event_date", "ord", "text", "consensus", "position").join(words.drop("target_event"), "topic_id")
+    scored = settled(scored.withColumn("type", distractor_class()).drop("target_words", "position"))
+    candidates = scored
     correct = correct_options(scored)
     local = scored.where("consensus < 2 or consensus is null").select("topic_id", "ord", "text", "type", F.coalesce("consensus", F.lit(0)).alias("consensus"))
     have = local.groupBy("topic_id").agg(F.count("*").alias("have"))

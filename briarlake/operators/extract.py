@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, parsers, text
-from briarlake.functions.session import sound_unions
+from briarlake.functions.session import settled, sound_unions
 from briarlake.operators.retrieve import within_budget
 from briarlake.sources.providers import call_model, offline_model
 
@@ -146,7 +146,7 @@ def timeline(candidates: DataFrame, event_date: str = "event_date", doc_date: st
     return df.withColumn("position", position).orderBy("topic", F.asc_nulls_last("parsed_date"), "ord")
 
 
-def candidates(docs: DataFrame, model: Callable[[str], str] = offline_model, least: int = 0, store: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
+def candidates(docs: DataFrame, model: Callable[[str], str] = offline_model, least: int = 0, store: Callable[[DataFrame], DataFrame] = settled) -> DataFrame:
     """From documents (topic, target, event_date, ord, content, source, doc_date) to merged candidates on a timeline.
 
     One call a topic; topics with fewer than `least` candidates are asked once more, with what was found, and both passes

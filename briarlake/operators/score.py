@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from briarlake.functions import fixed, parsers
-from briarlake.functions.session import sound_unions
+from briarlake.functions.session import settled, sound_unions
 from briarlake.operators.retrieve import evidence
 from briarlake.sources.providers import Model, call_models
 
@@ -110,8 +110,8 @@ def rate(candidates: DataFrame, topics: DataFrame, docs: DataFrame, models: dict
 
 
 def score_topics(candidates: DataFrame, topics: DataFrame, docs: DataFrame, models: dict[str, Model], most: int = 40, store=None, asking: dict | None = None) -> DataFrame:
-    """Candidates rated one by one by several models, and those after the event at 0. store(df) writes what models told."""
-    store = store or (lambda df: df)
+    """Candidates rated one by one by several models, and those after the event at 0. store(df) writes what models told (by default, a checkpoint where the session has a folder for it)."""
+    store = store or settled
     return _scored(candidates, consensus(store(rate(candidates, topics, docs, models, most, asking)), ["topic_id", "ord"]), most)
 
 
@@ -150,7 +150,7 @@ def score_batched(candidates: DataFrame, topics: DataFrame, docs: DataFrame, mod
     Candidates that a reply leaves out stay unscored. Of a topic that every model failed only those after the event come
     back, as failed_topics tells. With one model nothing is reviewed but what has no score: there is nothing to compare.
     """
-    store = store or (lambda df: df)
+    store = store or settled
     told = store(rate_batched(candidates, topics, docs, models, most, asking))
     alive = told.where("score is not null").select("topic_id", "model").distinct()
     places = numbered(candidates, most).select("topic_id", "ord", "n").join(alive, "topic_id")
