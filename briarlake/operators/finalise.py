@@ -12,11 +12,16 @@ from briarlake.operators.score import krippendorff_alpha
 def assign_reviews(queue: DataFrame, key: str = "item", overlap: float = 0.15, annotators: int = 3, seed: str = "42") -> DataFrame:
     """annotator, item, is_overlap: max(1, floor(n * overlap)) items for everybody, the rest dealt round in hash order.
 
-    The queue is what people read, so its order is one window over its keys alone.
+    Places are counted within the 256 ranges of the hash's first byte, and the counts of the ranges before are added.
     """
-    n = queue.agg(F.greatest(F.lit(1), F.floor(F.count("*") * overlap)).alias("n_overlap"))
-    order = F.row_number().over(Window.orderBy(F.md5(F.concat(F.lit(seed), F.col(key).cast("string"))), key)) - 1
-    df = queue.select(key).withColumn("rn", order).crossJoin(F.broadcast(n)).withColumn("is_overlap", F.col("rn") < F.col("n_overlap"))
+    df = queue.select(key).withColumn("h", F.md5(F.concat(F.lit(seed), F.col(key).cast("string")))).withColumn("b", F.substring("h", 1, 2))
+    counts = df.groupBy("b").agg(F.count("*").alias("c"))
+    before = F.coalesce(F.sum("c").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.select("b", before.alias("start"))
+    n = counts.agg(F.greatest(F.lit(1), F.floor(F.coalesce(F.sum("c"), F.lit(0)) * overlap)).alias("n_overlap"))
+    place = F.row_number().over(Window.partitionBy("b").orderBy("h", key)) - 1
+    df = df.withColumn("place", place).join(F.broadcast(starts), "b").withColumn("rn", F.col("place") + F.col("start"))
+    df = df.crossJoin(F.broadcast(n)).withColumn("is_overlap", F.col("rn") < F.col("n_overlap"))
     everybody = F.sequence(F.lit(0), F.lit(annotators - 1))
     who = F.when(F.col("is_overlap"), everybody).otherwise(F.array(F.pmod(F.col("rn") - F.col("n_overlap"), F.lit(annotators)).cast("int")))
     return df.select(F.explode(who).alias("annotator"), F.col(key), "is_overlap")

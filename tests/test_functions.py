@@ -74,3 +74,13 @@ def test_udfs_run_in_workers(spark):
     df = spark.createDataFrame([('{"answer":["A"]}',), (None,)], "t string")
     assert [r[0] for r in df.select(parsers.answer_of("t")).collect()] == [["A"], []]
     assert df.select(F.size(parsers.events_of("t"))).count() == 2
+
+
+def test_table_functions(spark):
+    from briarlake.functions import tables
+
+    tables.register(spark)
+    rows = spark.sql("SELECT * FROM explode_options('w', 'x', 'y', NULL, 'B,D')").collect()
+    assert [tuple(r) for r in rows] == [("A", "w", False), ("B", "x", True), ("C", "y", False), ("D", None, True)]
+    rows = spark.sql("""SELECT t.event, t.doc FROM VALUES ('[{"event": "e", "doc": 2}, "f"]'), ('none') v(raw), LATERAL parse_events(raw) t""").collect()
+    assert sorted(map(tuple, rows), key=str) == [("e", 2), ("f", None)]
