@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 LETTERS = ["A", "B", "C", "D"]
@@ -17,12 +17,13 @@ def prices(spark: SparkSession, d: str) -> DataFrame:
     return o.groupBy(F.col("o_orderpriority").alias("asset"), F.to_date("o_orderdate").alias("date")).agg(F.avg("o_totalprice").alias("close"))
 
 
-def options(spark: SparkSession, d: str) -> DataFrame:
+def options(spark: SparkSession, d: str, text: Column | str = "text") -> DataFrame:
     """id, source, qn, topic_id, letter, text, score, is_golden, doc_id, n_chars, target: four documents of a source make a question.
 
     Where a source's last question lacks documents, the source's first ones fill it. Targets are all benchmark items in turn.
+    text: what of a document's text is carried, which its windows and joins move whole otherwise.
     """
-    docs = table(spark, d, "documents").select("doc_id", "source", "n_chars", "text")
+    docs = table(spark, d, "documents").withColumn("text", F.col(text) if isinstance(text, str) else text).select("doc_id", "source", "n_chars", "text")
     labels = table(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
     rn = (F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1).cast("long")
     df = docs.withColumn("rn", rn).withColumn("n", F.count("*").over(Window.partitionBy("source")))
@@ -56,9 +57,9 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return q.withColumn("asset", F.col("source")).withColumn("event_date", F.date_add(F.lit("2023-01-01").cast("date"), F.floor(F.col("qn") / 2).cast("int"))).withColumn("split", split)
 
 
-def candidates(spark: SparkSession, d: str) -> DataFrame:
+def candidates(spark: SparkSession, d: str, text: Column | str = "text") -> DataFrame:
     """Options as scored candidates of their topic: ord, consensus, position, and the event's date."""
-    o = options(spark, d)
+    o = options(spark, d, text)
     ord_ = F.ascii("letter") - 65
     position = F.when(F.col("doc_id") % 11 == 0, "after").when(F.col("doc_id") % 7 == 0, "unknown").otherwise("before")
     return o.select(
