@@ -41,9 +41,9 @@ def options(spark: SparkSession, d: str, text: Column | str = "text") -> DataFra
     )
 
 
-def questions(spark: SparkSession, d: str) -> DataFrame:
+def questions(spark: SparkSession, d: str, text: Column | str = "text") -> DataFrame:
     """The flat form, with asset, event_date, split, golden_answer, causal_strength and option_types."""
-    o = options(spark, d)
+    o = options(spark, d, text)
     first = lambda x, c: F.max(F.when(F.col("letter") == x, F.col(c)))
     kind = F.when(F.col("score") >= 2, "correct").when(F.col("score") == 1, "background").otherwise("unrelated")
     q = o.withColumn("kind", kind).groupBy("id", "source", "qn", "topic_id", "target_event").agg(

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import glob
+import hashlib
 import itertools
 import math
 import os
 import random
 import statistics
+from collections import Counter
 
 import pandas as pd
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
@@ -214,6 +217,33 @@ def test_gate_fails_what_leaks(spark):
     assert gate.leakage(o.limit(10)).first().error
 
 
+@pytest.mark.parametrize("features", [1, 2, 5, 12, 40, 2000])
+def test_leakage_counts_the_terms_that_plain_counting_finds(spark, features):
+    texts = [" ".join("abcdefghij"[(i * j * j + j) % (2 + i % 9)] * 2 for j in range(i % 13)) for i in range(60)]
+    counts = Counter(g for t in texts for w in [t.split()] for g in [*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))])
+    want = sorted(counts, key=lambda g: (-counts[g], " " in g, g))[:features]
+    said = spark.createDataFrame([(t.split(),) for t in texts], "words array<string>")
+    assert gate.top_terms(said, features) == want and (features < 40 or any(" " in g for g in want))
+
+
+@pytest.mark.parametrize("n", [1, 2, 6, 11, 16, 101, 1003])
+def test_leakage_holds_out_a_fifth_by_percent_rank(spark, n):
+    df = spark.createDataFrame([(float(i % 3 == 0), hashlib.md5(str(i % 90).encode()).hexdigest()) for i in range(n)], "label double, h string")
+    ranges = df.groupBy("label", F.substring("h", 1, 3).alias("range")).agg(F.count("*").alias("n")).collect()
+    bounds = gate.held_out(df, ranges)
+    place = F.percent_rank().over(Window.partitionBy("label").orderBy("h"))
+    assert all((r.h <= bounds[r.label]) == (r.place < 0.2) for r in df.withColumn("place", place).collect())
+
+
+def test_leakage_moves_keys_and_takes_null_and_empty_texts(spark):
+    rows = [(f"q{i}", x, None if i % 7 == 0 else "" if i % 7 == 1 else f"{'right' if x == 'A' else 'wrong'} answer {i % 5}", x == "A") for i in range(80) for x in "ABCD"]
+    o = spark.createDataFrame(rows, "id string, letter string, text string, is_golden boolean")
+    texts = o.select(F.concat("id", "letter").alias("key"), "text")
+    plain, keyed = gate.leakage(o).first(), gate.leakage(o.withColumn("text", F.concat("id", "letter")), texts=texts).first()
+    assert plain == keyed and plain.error is None and plain.n_options == 320 and plain.gap_pp >= 0
+    assert gate.leakage(o.withColumn("text", F.lit("? !"))).first().error == "no words"
+
+
 def test_none_options_count_where_they_are_shown(spark):
     none = "None of the other options are correct causes."
     rows = [(f"q{i}", "t", "a b", "c d", "e f", none if i % 5 == 0 else "g h", "D" if i % 5 == 0 else "ABC"[i % 3]) for i in range(50)]
